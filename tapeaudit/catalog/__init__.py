@@ -5,4 +5,5 @@ from . import (  # noqa: F401
     load,
     joins,
     history,
+    xs,
 )

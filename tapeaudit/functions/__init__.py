@@ -1,3 +1,3 @@
-from .core import full, lagged, ratio, rows_back, sym_order, tidy  # noqa: F401
+from .core import full, lagged, ratio, rows_back, settle, sym_order, tidy  # noqa: F401
 from .normal import norm_cdf, norm_ppf  # noqa: F401
 from .uniform import uniform  # noqa: F401

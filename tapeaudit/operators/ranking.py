@@ -52,38 +52,43 @@ def value_bin(v: Column) -> Column:
     )
 
 
-def value_counts(df: DataFrame, by, value: str, weight: Column | None = None) -> DataFrame:
-    """(by, value) -> ties, less (rows with a smaller value), n (rows of the group).
+def running(vals: DataFrame, by, value: str, **totals: str) -> DataFrame:
+    """For rows with one entry per (by, value): adds, per total `name=column`, the sum of
+    that column over smaller values (name_less) and over the group (name_all).
 
     Nulls come first, as in an ascending sort.
     """
     by = list(by)
-    one = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    vals = df.groupBy(*by, value).agg(one.alias("ties")).withColumn("_bin", value_bin(F.col(value)))
+    vals = vals.withColumn("_bin", value_bin(F.col(value)))
     g = Window.partitionBy(*by)
-    bins = (
-        vals.groupBy(*by, "_bin")
-        .agg(F.sum("ties").alias("_c"))
-        .select(
-            *by,
-            "_bin",
-            (F.sum("_c").over(g.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-            .alias("_before"),
-            F.sum("_c").over(g).alias("n"),
-        )
+    upto = g.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = vals.groupBy(*by, "_bin").agg(*[F.sum(c).alias("_c_" + n) for n, c in totals.items()])
+    bins = bins.select(
+        *by,
+        "_bin",
+        *[(F.sum("_c_" + n).over(upto) - F.col("_c_" + n)).alias("_b_" + n) for n in totals],
+        *[F.sum("_c_" + n).over(g).alias(n + "_all") for n in totals],
     )
     w = (
         Window.partitionBy(*by, "_bin")
         .orderBy(F.col(value).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        join_on(vals, bins, [*by, "_bin"], "inner")
-        .withColumn("less", F.col("_before") + F.sum("ties").over(w) - F.col("ties"))
-        .drop("_bin", "_before")
+    out = join_on(vals, bins, [*by, "_bin"], "inner")
+    return out.select(
+        *[c for c in vals.columns if c != "_bin"],
+        *[n + "_all" for n in totals],
+        *[(F.col("_b_" + n) + F.sum(c).over(w) - F.col(c)).alias(n + "_less") for n, c in totals.items()],
     )
 
 
+def value_counts(df: DataFrame, by, value: str) -> DataFrame:
+    """(by, value) -> ties, less (rows with a smaller value), n (rows of the group)."""
+    by = list(by)
+    vals = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    return running(vals, by, value, n="ties").withColumnsRenamed({"n_less": "less", "n_all": "n"})
+
+
 def _narrow(width) -> bool:
     return width is not None and width <= MAX_GROUP
 
