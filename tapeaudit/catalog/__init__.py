@@ -6,4 +6,6 @@ from . import (  # noqa: F401
     joins,
     history,
     xs,
+    outcomes,
+    tests_and_trials,
 )
