@@ -8,4 +8,5 @@ from . import (  # noqa: F401
     xs,
     outcomes,
     tests_and_trials,
+    streams,
 )

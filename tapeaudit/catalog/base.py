@@ -110,21 +110,24 @@ def query(name: str, sql: str | None = None):
 def oracle(final: str) -> str:
     """Prefix `final` with the common table expressions it mentions (x_...)."""
     order: list[str] = []
+    seen: set[str] = set()
     final = _settle(final)
 
     def visit(text):
         for name in re.findall(r"\bx_\w+", text):
-            if name in CTES and name not in order:
+            if name in CTES and name not in seen:
+                seen.add(name)
                 visit(CTES[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(final)
     if not order:
         return final
     # recursive expressions declare their columns in the name
     recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in order) else ""
-    ctes = ",\n".join(f"{n} AS (\n{_settle(CTES[n])}\n)" for n in order)
+    # materialised: each shared step is evaluated once, however often it is used
+    how = {n: "" if "/*recursive*/" in CTES[n] else "MATERIALIZED " for n in order}
+    ctes = ",\n".join(f"{n} AS {how[n]}(\n{_settle(CTES[n])}\n)" for n in order)
     if final.lstrip().upper().startswith("WITH "):
         return f"WITH {recursive}{ctes},\n{final.lstrip()[5:]}"
     return f"WITH {recursive}{ctes}\n{final}"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import uniform
+from ..config import RiskLimits
+from ..functions import cut, uniform
 from ..operators import calendar, features, folds, labels, models, perf, ranking, trades
 from ..sources import panels
 from .base import CTES, query, r, rounded
@@ -29,7 +30,7 @@ def model_rows(d):
     return labels.model_rows(d.panel, d.labels)
 
 
-def predictions(d):
+def predictions(d, shared=False):
     """Scores of the two rule models, and hash scores that stand in for two fitted ones."""
     m = model_rows(d).filter("year(dt) >= 1997").select(*ROWCOLS)
     name = F.explode(F.array(*[F.lit(n) for n in ("gbm", "logistic", "always_long", "momentum_rule")])).alias("model_name")
@@ -41,7 +42,8 @@ def predictions(d):
         .otherwise(uniform("model_name", "symbol", "dt"))
     )
     p = p.withColumn("y_prob", prob).withColumn("y_true", F.col("label_win_5d").cast("double"))
-    return p.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")).drop("label_win_5d", "mom_21d", "above_200")
+    p = p.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")).drop("label_win_5d", "mom_21d", "above_200")
+    return cut(p) if shared else p
 
 
 @query(
@@ -100,9 +102,9 @@ def ranked(d):
 
 def series(d):
     """One net return per strategy and date: (strategy, dt, ret)."""
-    p = predictions(d)
+    p = predictions(d, shared=True)
     u = models.union_strategies(models.strategy_daily(models.rank_predictions(p, d.names)), models.baseline_daily(p))
-    return u.select(F.col("model_name").alias("strategy"), "dt", F.col("ret_net").alias("ret"))
+    return cut(u.select(F.col("model_name").alias("strategy"), "dt", F.col("ret_net").alias("ret")))
 
 
 @query("strategy_daily", f"SELECT model_name, dt, n_selected, {r('ret_net ret_gross hit_rate mean_prob')} FROM x_sd")
@@ -126,7 +128,7 @@ def benchmark_daily(d):
 
 @query("union_strategies", f"SELECT model_name, dt, n_selected, selection, {r('ret_net ret_gross')} FROM x_all")
 def union_strategies(d):
-    p = predictions(d)
+    p = predictions(d, shared=True)
     return rounded(
         models.union_strategies(models.strategy_daily(models.rank_predictions(p, d.names)), models.baseline_daily(p))
     )
@@ -202,7 +204,7 @@ SELECT r.model_name, r.fold_id, f.test_start, avg(fwd_ret_5d_net) AS m FROM x_ra
 LEFT JOIN (SELECT fold_id, avg(fwd_ret_5d_net) AS m FROM x_pred WHERE model_name='always_long' GROUP BY fold_id) b ON b.fold_id=s.fold_id""",
 )
 def fold_excess(d):
-    p = predictions(d)
+    p = predictions(d, shared=True)
     return rounded(models.fold_excess(models.fold_summary(models.rank_predictions(p, d.names), fold_table(d)), p))
 
 
@@ -231,7 +233,7 @@ JOIN x_auc a USING (model_name, fold_id)"""
 
 
 def evaluated(d):
-    return models.model_eval(predictions(d).withColumn("ret", F.col("fwd_ret_5d_net")))
+    return models.model_eval(predictions(d, shared=True).withColumn("ret", F.col("fwd_ret_5d_net")))
 
 
 @query(
@@ -260,7 +262,7 @@ def pool_folds(d):
 
 
 def _split(d):
-    m = model_rows(d)
+    m = cut(model_rows(d))
     return m, folds.split_folds(m, fold_table(d))
 
 
@@ -297,8 +299,8 @@ def score_frozen(d):
     """Fit before the cutoff, save, load, score after it; stages by first forward run."""
     import tempfile
 
-    m = model_rows(d)
-    where = d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="frozen-")
+    m = cut(model_rows(d))
+    where = d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-frozen-")
     path = f"{where}/frozen_logistic"
     models.fit("logistic", m.filter("dt <= date'2000-12-31'")).write().overwrite().save(path)
     s = models.score_frozen(path, m, F.lit("2000-12-31").cast("date"), F.lit("2001-06-01").cast("date"))
@@ -332,7 +334,7 @@ SELECT *, (exit_raw-entry_raw)*shares AS gross_pnl, 2*greatest(1.0e0,0.005e0*sha
  (exit_raw-entry_raw)*shares-(2*greatest(1.0e0,0.005e0*shares)+(entry_raw+exit_raw)*0.0007e0*shares) AS net_pnl FROM (
 SELECT e.*, CASE WHEN hit.k IS NOT NULL THEN 'stop' ELSE 'horizon' END AS exit_reason, CASE WHEN hit.k IS NOT NULL THEN e.stop ELSE h5.open END AS exit_raw,
   coalesce(hit.dt, h5.dt) AS exit_dt, coalesce(hit.day_index, h5.day_index)-e.day_index AS sessions_held FROM (
- SELECT *, CAST(least(floor(100.0e0/risk_ps), floor(5000.0e0/top_n/entry_px)) AS BIGINT) AS shares FROM (
+ SELECT *, CAST(least(floor(100000.0e0/risk_ps), floor(5000000.0e0/top_n/entry_px)) AS BIGINT) AS shares FROM (
  SELECT *, entry_px-stop AS risk_ps FROM (
  SELECT *, entry_px-stop_atr*atr_14 AS stop FROM (
  SELECT s.model_name, s.symbol, s.dt, s.day_index, s.y_prob, s.atr_14, s.next_open AS entry_raw, s.next_open*(1+0.0007e0) AS entry_px, g.threshold, g.top_n, g.stop_atr, p.pos
@@ -349,9 +351,13 @@ CTES["x_sweep"] = grid_trades("model_name='gbm'", "(0.5e0),(0.55e0),(0.6e0)", "(
 TK = "symbol, dt, shares"
 
 
+# prices here are unit prices with very wide ranges; the account is sized to them
+DESK = RiskLimits(account=1e7)
+
+
 def entries(d):
     s = trades.topk_per_date(predictions(d).filter("model_name = 'gbm'"), 3, 0.55)
-    return trades.trade_entries(s.withColumn("top_n", F.lit(3)).withColumn("stop_atr", F.lit(1.5)))
+    return trades.trade_entries(s.withColumn("top_n", F.lit(3)).withColumn("stop_atr", F.lit(1.5)), risk=DESK)
 
 
 def traded(d):
@@ -360,9 +366,9 @@ def traded(d):
 
 @query(
     "trade_entries",
-    f"""SELECT symbol, dt, CAST(least(floor(100.0e0/(1.5e0*atr_14+(entry_px-entry_px))), floor(5000.0e0/3/entry_px)) AS BIGINT) AS shares, {r('entry_raw entry_px', 4)}, round(entry_px-1.5e0*atr_14,4)+0.0 AS stop FROM (
+    f"""SELECT symbol, dt, CAST(least(floor(100000.0e0/(entry_px-(entry_px-1.5e0*atr_14))), floor(5000000.0e0/3/entry_px)) AS BIGINT) AS shares, {r('entry_raw entry_px', 4)}, round(entry_px-1.5e0*atr_14,4)+0.0 AS stop FROM (
  SELECT *, next_open AS entry_raw, next_open*(1+0.0007e0) AS entry_px, row_number() OVER (PARTITION BY dt ORDER BY y_prob DESC, symbol) AS rk FROM x_pred
- WHERE model_name='gbm' AND y_prob>=0.55) WHERE rk<=3 AND next_open IS NOT NULL AND atr_14>0 AND least(floor(100.0e0/(1.5e0*atr_14)), floor(5000.0e0/3/entry_px))>=1""",
+ WHERE model_name='gbm' AND y_prob>=0.55) WHERE rk<=3 AND next_open IS NOT NULL AND atr_14>0 AND least(floor(100000.0e0/(entry_px-(entry_px-1.5e0*atr_14))), floor(5000000.0e0/3/entry_px))>=1""",
 )
 def trade_entries(d):
     return rounded(entries(d).select("symbol", "dt", "shares", "entry_raw", "entry_px", "stop"), 4)
@@ -386,13 +392,13 @@ def trade_cost_identity(d):
 
 
 CTES["x_eq"] = """
-SELECT *, greatest(max(equity) OVER (ORDER BY dt), 10000) AS peak FROM (
-SELECT dt, net_pnl, trades, 10000+sum(net_pnl) OVER (ORDER BY dt) AS equity FROM (SELECT exit_dt AS dt, sum(net_pnl) AS net_pnl, count(*) AS trades FROM x_trades GROUP BY exit_dt))"""
+SELECT *, greatest(max(equity) OVER (ORDER BY dt), 10000000) AS peak FROM (
+SELECT dt, net_pnl, trades, 10000000+sum(net_pnl) OVER (ORDER BY dt) AS equity FROM (SELECT exit_dt AS dt, sum(net_pnl) AS net_pnl, count(*) AS trades FROM x_trades GROUP BY exit_dt))"""
 
 
-@query("equity_from_trades", f"SELECT dt, trades, {r('net_pnl equity peak', 4)}, round((peak-equity)/peak,6)+0.0 AS drawdown FROM x_eq")
+@query("equity_from_trades", f"SELECT dt, trades, {r('net_pnl equity peak', 2)}, round((peak-equity)/peak,6)+0.0 AS drawdown FROM x_eq")
 def equity_from_trades(d):
-    return rounded(trades.equity_from_trades(traded(d)), 4, drawdown=6)
+    return rounded(trades.equity_from_trades(traded(d), account=DESK.account), 2, drawdown=6)
 
 
 METRICS = """count(*) AS trades, round(sum(gross_pnl),3)+0.0 AS gross_pnl, round(sum(costs),3)+0.0 AS total_costs, round(sum(net_pnl),3)+0.0 AS net_pnl,
@@ -421,7 +427,7 @@ SELECT 'strategy' AS series, dt, round(equity/first_value(equity) OVER (ORDER BY
 UNION ALL SELECT 'benchmark', dt, round(adj_close/first_value(adj_close) OVER (ORDER BY dt),6)+0.0 FROM x_ix WHERE symbol='MKT' AND dt IN (SELECT dt FROM x_eq)""",
 )
 def growth_of_1(d):
-    e = trades.equity_from_trades(traded(d)).select("dt", F.col("equity").alias("value"))
+    e = cut(trades.equity_from_trades(traded(d), account=DESK.account).select("dt", F.col("equity").alias("value")))
     m = calendar.market_only(d.ix).select("dt", F.col("adj_close").alias("value")).join(e.select("dt"), "dt", "left_semi")
     c = e.withColumn("series", F.lit("strategy")).unionByName(m.withColumn("series", F.lit("benchmark")))
     return rounded(perf.growth_of_one(c).select("series", "dt", "growth"))
@@ -445,22 +451,22 @@ CTES["x_ent"] = """
 SELECT s.symbol, s.dt, p.pos, s.entry_px, s.entry_px-1.5e0*s.atr_14 AS stop, s.entry_px-(s.entry_px-1.5e0*s.atr_14) AS risk_ps FROM (
  SELECT *, next_open*(1+0.0007e0) AS entry_px, row_number() OVER (PARTITION BY dt ORDER BY y_prob DESC, symbol) AS rk FROM x_pred WHERE model_name='gbm' AND y_prob>=0.55) s
 JOIN x_pos p ON p.symbol=s.symbol AND p.dt=s.dt WHERE s.rk<=3 AND s.next_open IS NOT NULL AND s.atr_14>0
- AND least(floor(100.0e0/(s.entry_px-(s.entry_px-1.5e0*s.atr_14))), floor(5000.0e0/3/s.entry_px))>=1"""
+ AND least(floor(100000.0e0/(s.entry_px-(s.entry_px-1.5e0*s.atr_14))), floor(5000000.0e0/3/s.entry_px))>=1"""
 
 SWEEP = ((0.50, 0.55, 0.60), (1, 3, 5), (1.0, 1.5, 2.0, 2.5, 3.0))
 
 
 def swept(d):
     s = predictions(d).filter("model_name = 'gbm'")
-    return trades.param_sweep(s, trades.with_paths(d.ix, 5), *SWEEP)
+    return trades.param_sweep(s, trades.with_paths(d.ix, 5), *SWEEP, risk=DESK)
 
 
-CTES["x_sw"] = "SELECT threshold, top_n, stop_atr, count(*) AS trades, sum(net_pnl)/10000*100 AS return_pct FROM x_sweep GROUP BY 1, 2, 3"
+CTES["x_sw"] = "SELECT threshold, top_n, stop_atr, count(*) AS trades, sum(net_pnl)/10000000*100 AS return_pct FROM x_sweep GROUP BY 1, 2, 3"
 
 
 @query("param_sweep", "SELECT threshold, top_n, stop_atr, trades, round(return_pct,5)+0.0 AS return_pct FROM x_sw")
 def param_sweep(d):
-    return rounded(trades.sweep_returns(swept(d)), 5, threshold=6, stop_atr=6)
+    return rounded(trades.sweep_returns(swept(d), DESK.account), 5, threshold=6, stop_atr=6)
 
 
 SENS = """count(*) AS variants, round(max(return_pct),5)+0.0 AS best, round(min(return_pct),5)+0.0 AS worst, round(median(return_pct),5)+0.0 AS median,
@@ -475,7 +481,7 @@ SENS = """count(*) AS variants, round(max(return_pct),5)+0.0 AS best, round(min(
     ),
 )
 def sensitivity_summary(d):
-    return rounded(trades.sensitivity_summary(trades.sweep_returns(swept(d))), 5)
+    return rounded(trades.sensitivity_summary(trades.sweep_returns(swept(d), DESK.account)), 5)
 
 
 # --------------------------------------------------------------------- journal

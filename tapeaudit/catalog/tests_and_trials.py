@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import norm_cdf, norm_ppf
+from ..functions import cut, norm_cdf, norm_ppf
 from ..functions import normal
 from ..operators import audit, features, inference, labels, signals, trials
 from ..operators.calendar import index_bars, trading_calendar
@@ -226,7 +226,7 @@ CTES["x_zoo"] = """SELECT z.signal, z.horizon, z.trades, z.dates, z.nn AS n_nono
 
 
 def zoo(d):
-    f = forward_net(d)
+    f = cut(forward_net(d))
     return inference.zoo_eval(inference.rule_returns(fired(d), f), inference.average_stock(f), ZREPS)
 
 
@@ -381,16 +381,18 @@ def picks(d):
     from ..operators.trades import topk_per_date
 
     p = predictions(d).filter("model_name = 'gbm' and dt >= date'2000-01-01'").select("symbol", "dt", "y_prob")
-    return topk_per_date(p, 3, 0.55).withColumn("stage", F.when(F.col("dt") >= F.lit("2001-01-01").cast("date"), "live").otherwise("holdout"))
+    p = topk_per_date(p, 3, 0.55)
+    return cut(p.withColumn("stage", F.when(F.col("dt") >= F.lit("2001-01-01").cast("date"), "live").otherwise("holdout")))
 
 
-def results(d):
-    return trials.matured(picks(d), d.labels).filter(F.dayofmonth("dt") <= 20)
+def results(d, p=None):
+    return trials.matured(picks(d) if p is None else p, d.labels).filter(F.dayofmonth("dt") <= 20)
 
 
 @query("antijoin_seen", "SELECT p.symbol, p.dt, p.stage FROM x_picks p WHERE NOT EXISTS (SELECT 1 FROM x_res r WHERE r.symbol=p.symbol AND r.dt=p.dt)")
 def antijoin_seen(d):
-    return trials.pending(picks(d), results(d)).select("symbol", "dt", "stage")
+    p = picks(d)
+    return trials.pending(p, results(d, p)).select("symbol", "dt", "stage")
 
 
 @query(
@@ -403,7 +405,7 @@ SELECT stage, CAST(sum(k) AS BIGINT) AS trades, count(*) AS dates, round(count(*
 )
 def ledger_record(d):
     bench = d.labels.filter("symbol = 'MKT'").select("dt", F.col("fwd_ret_5d_net").alias("bench"))
-    return rounded(trials.ledger_record(results(d), bench))
+    return rounded(trials.ledger_record(cut(results(d)), bench))
 
 
 @query("set_diff", "SELECT DISTINCT dt FROM x_all WHERE model_name='always_long' EXCEPT SELECT DISTINCT dt FROM x_all WHERE model_name='gbm' UNION ALL (SELECT dt FROM x_picks INTERSECT SELECT dt FROM x_cal WHERE dow=1)")

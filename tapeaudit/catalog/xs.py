@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MARKET
-from ..functions import settle
+from ..functions import cut, lagged, settle
 from ..operators import books, entities, features, inference, labels, perf, quality, ranking, xsection
 from ..sources import panels
 from .base import CTES, query, r, rounded
@@ -30,7 +30,7 @@ def wide(d):
 
 
 def zscored(d):
-    p = xsection.zscore(wide(d), ["dt", "sector"], SIG)
+    p = xsection.zscore(wide(d), ["dt", "sector"], SIG, width=d.wide_names)
     return p.withColumns({"z_" + s: settle("z_" + s, 9) for s in SIG})
 
 
@@ -217,7 +217,7 @@ _weights("risk", "risk")
 FROM x_wt_risk GROUP BY signal, dt""",
 )
 def book_weighted(d):
-    w = books.weights(long_scores(d), "score", "risk", Q, ["signal"])
+    w = books.weights(long_scores(d), "score", "risk", Q, ["signal"], width=d.wide_names)
     return rounded(books.book_weighted(w, "fwd_21", by=["signal"]))
 
 
@@ -238,7 +238,7 @@ def residuals(d, p=None):
     p = long_scores(d) if p is None else p
     # mom126 explains itself, so its own residual is rounding noise
     p = p.filter("signal <> 'mom126'")
-    e = xsection.residualize(p, "score", FACTORS, ["signal", "dt"], sector="sector", min_names=40)
+    e = xsection.residualize(p, "score", FACTORS, ["signal", "dt"], sector="sector", min_names=40, width=d.wide_names)
     return e.withColumn("resid", settle("resid", 8))
 
 
@@ -427,7 +427,7 @@ FROM (SELECT signal, sharpe, sh FROM (SELECT signal, round(sh,6)+0.0 AS sharpe,
 JOIN (SELECT signal, greatest(least(corr(score,l),0.99),-0.99) AS c FROM x_auto WHERE score IS NOT NULL AND l IS NOT NULL GROUP BY signal) a USING (signal)""",
 )
 def breadth_realised(d):
-    p = long_scores(d)
+    p = cut(long_scores(d))
     st = perf.perf_stats(sector_book(d, p), H, ["signal"]).select("signal", "sharpe")
     ic = ic_of(d, p).groupBy("signal").agg(F.avg("ic").alias("ic"))
     rho = xsection.score_autocorr(p, "score", H, ["signal"], min_pairs=1)
@@ -583,11 +583,23 @@ def materiality_corr(d):
 
 # ------------------------------------------------------------------- breadth
 CTES["x_pr0"] = """
-SELECT symbol, dt, ret, ret-avg(ret) OVER (PARTITION BY dt, sector) AS neutral FROM x_wresearch WHERE ret IS NOT NULL AND year(dt)>=1999"""
+SELECT symbol, dt, ret, ret-avg(ret) OVER (PARTITION BY dt, sector) AS neutral FROM (
+ SELECT w.symbol, w.dt, s.sector, adj/lag(adj) OVER (PARTITION BY w.symbol ORDER BY w.dt)-1.0 AS ret FROM (
+  SELECT symbol, CAST(date_trunc('week', dt) AS DATE) AS dt, arg_max(adj_close, dt) AS adj FROM x_bars WHERE symbol<>'MKT' GROUP BY 1, 2) w
+ JOIN x_symbols s ON s.symbol=w.symbol) WHERE ret IS NOT NULL"""
 CTES["x_pr1"] = """
 SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS c, (SELECT count(DISTINCT dt) FROM x_pr0) AS t FROM x_pr0) WHERE c=t"""
 
 
+def weekly_returns(d):
+    """Weekly returns of the brands, which have a bar in nearly every week."""
+    week = d.bars.filter(F.col("symbol") != MARKET).groupBy("symbol", F.trunc("dt", "week").alias("dt")).agg(
+        F.max_by("adj_close", F.col("dt")).alias("adj")
+    )
+    week = week.withColumn("ret", F.col("adj") / lagged("adj", order="dt") - 1.0).filter("ret is not null")
+    return week.join(d.symbols.select("symbol", "sector"), "symbol").select("symbol", "dt", "sector", "ret")
+
+
 def pr_sql(col):
     return f"""(SELECT sum(rho*rho) FROM (SELECT a.symbol, b.symbol, corr(a.{col}, b.{col}) AS rho FROM x_pr1 a JOIN x_pr1 b ON a.dt=b.dt GROUP BY a.symbol, b.symbol))"""
 
@@ -599,8 +611,8 @@ def pr_sql(col):
 UNION ALL SELECT 'neutral', count(DISTINCT symbol), CAST(max(t) AS INTEGER), round({pr_sql('neutral')},4)+0.0, round(pow(count(DISTINCT symbol),2)/{pr_sql('neutral')},6)+0.0 FROM x_pr1 HAVING count(*)>0""",
 )
 def participation_ratio(d):
-    p = features.research_panel(d.wix, (H,)).filter("ret is not null and year(dt) >= 1999")
-    p = ranking.group_join(p.select("symbol", "dt", "sector", "ret"), ["dt", "sector"], F.avg("ret").alias("_m"))
+    p = weekly_returns(d)
+    p = ranking.group_join(p, ["dt", "sector"], d.names, _m=F.avg("ret"))
     both = F.explode(
         F.array(F.struct(F.lit("raw").alias("kind"), F.col("ret").alias("v")), F.struct(F.lit("neutral").alias("kind"), (F.col("ret") - F.col("_m")).alias("v")))
     ).alias("k")
@@ -610,8 +622,7 @@ def participation_ratio(d):
 
 @query("breadth_curve")
 def breadth_curve(d):
-    p = features.research_panel(d.wix, (H,)).filter("ret is not null and year(dt) >= 1999")
-    return rounded(inference.breadth_curve(p, (2, 5, 10, 20, 50, 100, 200, 400, 800)), sum_sq_corr=4)
+    return rounded(inference.breadth_curve(weekly_returns(d), (2, 5, 10, 20, 50, 100, 200, 400, 800), width=d.names), sum_sq_corr=4)
 
 
 @query(

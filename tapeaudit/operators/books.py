@@ -73,16 +73,16 @@ def weights(
             .otherwise(0.0)
         )
     elif method in METHODS:
-        d = ranking.group_join(df, cell, F.avg(score).alias("_m"))
+        d = ranking.group_join(df, cell, width, _m=F.avg(score))
         raw = F.col(score) - F.col("_m")
         if method != "signal":
             raw = F.try_divide(raw, F.col(vol))
     else:
         raise ValueError(method)
     d = d.withColumn("_w", F.coalesce(raw, F.lit(0.0)))
-    d = ranking.group_join(d, cell, F.sum(F.abs("_w")).alias("_g"))
+    d = ranking.group_join(d, cell, width, _g=F.sum(F.abs("_w")))
     d = d.withColumn("_w", F.coalesce(F.try_divide("_w", "_g"), F.lit(0.0)))
-    d = ranking.group_join(d, [*by, "dt"], F.sum(F.abs("_w")).alias("_t"))
+    d = ranking.group_join(d, [*by, "dt"], width, _t=F.sum(F.abs("_w")))
     return d.select(*df.columns, F.coalesce(F.try_divide("_w", "_t"), F.lit(0.0)).alias("w"))
 
 
@@ -155,12 +155,12 @@ def live_book(
     """Positions for the latest full date: sector z-score, factor residual, outer sector
     buckets, equal dollars, whole shares."""
     d = latest_section(panel, [score, *factors], min_names)
-    d = xsection.zscore(d, ["dt", sector], [score], "_z_").filter(F.col("_z_" + score).isNotNull())
-    d = xsection.residualize(d, "_z_" + score, factors, out="res", min_names=1).filter("res is not null")
+    d = xsection.zscore(d, ["dt", sector], [score], "_z_", width).filter(F.col("_z_" + score).isNotNull())
+    d = xsection.residualize(d, "_z_" + score, factors, out="res", min_names=1, width=width).filter("res is not null")
     d = xsection.with_bucket(d, ["dt", sector], "res", q, adaptive=True, width=width)
     side = F.when(F.col("bucket") == 0, -1).when(F.col("bucket") == F.col("top_bucket"), 1)
     d = d.withColumn("side", side).filter("side is not null")
-    d = ranking.group_join(d, ["dt"], F.count(F.lit(1)).alias("_n"))
+    d = ranking.group_join(d, ["dt"], width, _n=F.count(F.lit(1)))
     usd = F.lit(float(gross_usd)) / F.col("_n")
     return d.select(
         "symbol", "dt", sector, "res", "close", F.col("side").cast("int").alias("side"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TRADING_DAYS
-from ..functions import norm_cdf, norm_ppf, uniform
+from ..functions import cut, norm_cdf, norm_ppf, uniform
 from . import perf, ranking
 
 EULER = 0.5772156649015329
@@ -79,13 +79,13 @@ def excess_over(series: DataFrame, baseline: str, strategy: str = "strategy") ->
 
 def boot_paired_p(series: DataFrame, baseline: str, reps: int = 5000, mean_block: float = 10) -> DataFrame:
     """Mean excess over the baseline, interval, and p under the null of no difference."""
-    c = boot_mean_ci(excess_over(series, baseline), reps, mean_block)
+    c = boot_mean_ci(cut(excess_over(cut(series), baseline)), reps, mean_block)
     return c.select("strategy", F.col("mean").alias("excess"), "lo", "hi", F.col("p").alias("p_raw"))
 
 
 def reality_check(series: DataFrame, baseline: str, reps: int = 5000, mean_block: float = 10) -> DataFrame:
     """Null distribution of the best excess over all strategies, resampled jointly by date."""
-    d = excess_over(perf.align_common_dates(series), baseline)
+    d = cut(excess_over(perf.align_common_dates(cut(series)), baseline))
     mean = d.groupBy("strategy").agg(F.avg("ret").alias("_m"))
     d = indexed(d, ["strategy"]).join(mean, "strategy").withColumn("c", F.col("ret") - F.col("_m"))
     draws = stationary_draws(
@@ -171,12 +171,12 @@ def participation_ratio(
 
     by = list(by) or ["_all"]
     d = returns.withColumn("_all", F.lit(1)) if by == ["_all"] else returns
-    d = d.filter(F.col(ret).isNotNull())
+    d = cut(d.filter(F.col(ret).isNotNull()).select(*by, symbol, date, ret))
     dates = d.groupBy(*by).agg(F.countDistinct(date).alias("_t"))
     rows = d.groupBy(*by, symbol).agg(
         F.sort_array(F.collect_list(F.struct(date, ret))).alias("_v"), F.count(F.lit(1)).alias("_n")
     )
-    rows = ranking.join_on(rows, dates, by, "inner").filter(F.col("_n") == F.col("_t"))
+    rows = cut(ranking.join_on(rows, dates, by, "inner").filter(F.col("_n") == F.col("_t")))
     rows = rows.select(F.to_json(F.struct(*by)).alias("_g"), *by, F.transform("_v", lambda x: x[ret]).alias("_v"))
     groups = rows.groupBy("_g", *by).agg(F.count(F.lit(1)).alias("n_names"), F.max(F.size("_v")).alias("n_dates"))
 
@@ -206,11 +206,13 @@ def participation_ratio(
     return out.drop("_g", "_all")
 
 
-def breadth_curve(returns: DataFrame, sizes=(50, 100, 200, 400, 800), sector: str = "sector") -> DataFrame:
+def breadth_curve(
+    returns: DataFrame, sizes=(50, 100, 200, 400, 800), sector: str = "sector", width: int | None = None
+) -> DataFrame:
     """Effective bets for growing sets of names, raw and after removing the sector mean of the date."""
     d = returns.filter("ret is not null")
-    d = ranking.group_join(d, ["dt", sector], F.avg("ret").alias("_m"))
-    d = d.withColumn("_r", F.col("ret") - F.col("_m"))
+    d = ranking.group_join(d, ["dt", sector], width, _m=F.avg("ret"))
+    d = cut(d.select("symbol", "dt", "ret", (F.col("ret") - F.col("_m")).alias("_r")))
     days = d.agg(F.countDistinct("dt").alias("_d")).withColumn("_j", F.lit(1))
     names = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).withColumn("_j", F.lit(1)).join(days, "_j")
     names = names.filter("_n = _d").select("symbol", F.lit(1).alias("_a"), uniform(F.lit("pick"), "symbol").alias("_u"))
@@ -255,10 +257,13 @@ def zoo_eval(
     """Every (rule, horizon) in one job: trades, dates, Sharpe on every h-th date, excess over
     the average stock, its bootstrap p, and the hit rate.  Thin ones keep nulls."""
     by = ["signal", "horizon"]
-    size = traded.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("trades"), F.avg((F.col("ret") > 0).cast("int")).alias("hit_rate")
+    # one row per rule, horizon and date from here on
+    per = cut(
+        traded.groupBy(*by, "dt").agg(
+            F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("_c"), F.sum((F.col("ret") > 0).cast("int")).alias("_h")
+        )
     )
-    per = traded.groupBy(*by, "dt").agg(F.avg("ret").alias("ret"))
+    size = per.groupBy(*by).agg(F.sum("_c").alias("trades"), (F.sum("_h") / F.sum("_c")).alias("hit_rate"))
     w = Window.partitionBy(*by).orderBy("dt")
     per = per.withColumn("_k", (F.row_number().over(w) - 1) % F.col("horizon") == 0)
     r = F.when(F.col("_k"), F.col("ret"))
@@ -273,7 +278,7 @@ def zoo_eval(
     out = out.withColumn("sharpe", F.when(ok, F.col("_ratio") * F.sqrt(TRADING_DAYS / F.col("horizon"))))
     good = out.filter(ok).select(*by)
     ex = per.join(bench, ["horizon", "dt"]).join(good, by, "left_semi")
-    ex = ex.select(*by, "dt", (F.col("ret") - F.col("bench")).alias("ret"))
+    ex = cut(ex.select(*by, "dt", (F.col("ret") - F.col("bench")).alias("ret")))
     boot = _zoo_boot(ex, by, reps)
     out = out.join(boot, by, "left")
     return out.select(

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 MAX_GROUP = 1_000_000
 HEAVY_TIE = 1_000_000
 BINS_PER_OCTAVE = 64
@@ -104,7 +106,8 @@ def with_counts(df: DataFrame, by, value: str, width=None) -> DataFrame:
             F.count(F.lit(1)).over(o.rangeBetween(0, 0)).alias("ties"),
             F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"),
         )
-    return join_on(df, value_counts(df, by, value), [*by, value])
+    base = cut(df)
+    return join_on(base, value_counts(base, by, value), [*by, value])
 
 
 def percent_rank(df: DataFrame, by, value: str, out: str, width=None) -> DataFrame:
@@ -147,11 +150,16 @@ def row_numbers(
     return r.drop("less", "ties", "n", "_p", "_before")
 
 
-def group_join(df: DataFrame, by, *aggs: Column) -> DataFrame:
-    """Aggregate per group (map-side first) and attach the result to every row.
+def group_join(df: DataFrame, by, width: int | None = None, **aggs: Column) -> DataFrame:
+    """Attach group aggregates to every row, name=aggregate.
 
-    Used instead of a window: the group is never gathered in one task, and the
-    small side is broadcast by the adaptive planner only if it measures small.
+    A group known to be narrow is a window: one shuffle.  Otherwise the rows are
+    materialised, aggregated map-side and joined back, so that no group is gathered
+    in one task; the small side is broadcast only if it measures small.
     """
     by = list(by)
-    return join_on(df, df.groupBy(*by).agg(*aggs), by)
+    if _narrow(width):
+        w = Window.partitionBy(*by)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    base = cut(df)
+    return join_on(base, base.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)

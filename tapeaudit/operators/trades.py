@@ -136,8 +136,10 @@ def trade_metrics(trades: DataFrame, by=()) -> DataFrame:
     )
 
 
-def simulate(candidates: DataFrame, paths: DataFrame, horizon: int = 5, costs: CostModel = COSTS) -> DataFrame:
-    return trade_costs(trade_exits(trade_entries(candidates, costs=costs), paths, horizon), costs)
+def simulate(
+    candidates: DataFrame, paths: DataFrame, horizon: int = 5, costs: CostModel = COSTS, risk: RiskLimits = RISK
+) -> DataFrame:
+    return trade_costs(trade_exits(trade_entries(candidates, costs=costs, risk=risk), paths, horizon), costs)
 
 
 def param_grid(thresholds, top_ns, stop_atrs):
@@ -155,7 +157,7 @@ def param_grid(thresholds, top_ns, stop_atrs):
 
 
 def param_sweep(
-    signals: DataFrame, paths: DataFrame, thresholds, top_ns, stop_atrs, horizon: int = 5
+    signals: DataFrame, paths: DataFrame, thresholds, top_ns, stop_atrs, horizon: int = 5, risk: RiskLimits = RISK
 ) -> DataFrame:
     """All variants in one job: rank once, then each surviving signal meets its variants.
 
@@ -165,7 +167,7 @@ def param_sweep(
     v = F.explode(param_grid(thresholds, top_ns, stop_atrs)).alias("v")
     d = best.select("*", v).select("*", "v.*").drop("v")
     d = d.filter((F.col("y_prob") >= F.col("threshold")) & (F.col("rk") <= F.col("top_n")))
-    return simulate(d, paths, horizon)
+    return simulate(d, paths, horizon, risk=risk)
 
 
 VARIANT = ("threshold", "top_n", "stop_atr")

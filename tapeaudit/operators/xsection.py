@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lagged
+from ..functions import cut, lagged
 from . import ranking
 
 
-def zscore(df: DataFrame, by, cols, prefix: str = "z_") -> DataFrame:
+def zscore(df: DataFrame, by, cols, prefix: str = "z_", width: int | None = None) -> DataFrame:
     """(x - mean) / sample deviation inside each group; null when there is no spread."""
     cols = list(cols)
-    aggs = [F.avg(c).alias("_m_" + c) for c in cols] + [F.stddev_samp(c).alias("_s_" + c) for c in cols]
-    d = ranking.group_join(df, by, *aggs)
+    aggs = {"_m_" + c: F.avg(c) for c in cols} | {"_s_" + c: F.stddev_samp(c) for c in cols}
+    d = ranking.group_join(df, by, width, **aggs)
     z = [F.try_divide(F.col(c) - F.col("_m_" + c), F.col("_s_" + c)).alias(prefix + c) for c in cols]
     keep = [c for c in df.columns if prefix + c not in df.columns and c not in {prefix + x for x in cols}]
     return d.select(*keep, *z)
@@ -124,7 +124,7 @@ def _solve(moments: DataFrame, k: int) -> DataFrame:
 
 def residualize(
     df: DataFrame, score: str, factors, by=("dt",), sector: str | None = None, out: str = "resid",
-    min_names: int = 30, need_share: float | None = None,
+    min_names: int = 30, need_share: float | None = None, width: int | None = None,
 ) -> DataFrame:
     """Residual of a per-group regression of the score on the factors and an intercept.
 
@@ -140,7 +140,7 @@ def residualize(
         use = [F.lit(True)] * k
     else:
         d = ranking.group_join(
-            d, by, F.count(F.lit(1)).alias("_rows"), *[F.count(f).alias(f"_c{i}") for i, f in enumerate(factors)]
+            d, by, width, _rows=F.count(F.lit(1)), **{f"_c{i}": F.count(f) for i, f in enumerate(factors)}
         )
         use = [F.col(f"_c{i}") > F.col("_rows") * need_share for i in range(k)]
     some = use[0]
@@ -153,17 +153,21 @@ def residualize(
     cell = [*by, sector] if sector else by
     mean = lambda c: F.avg(F.when(F.col("_ok"), F.col(c)))
     xs = [f"_x{i}" for i in range(k)]
-    d = ranking.group_join(d, cell, mean(score).alias("_my"), *[mean(x).alias("_m" + x) for x in xs])
+    d = ranking.group_join(d, cell, width, _my=mean(score), **{"_m" + x: mean(x) for x in xs})
     d = d.withColumns({x: F.when(F.col("_ok"), F.col(x) - F.col("_m" + x)) for x in xs})
     d = d.withColumn("_y", F.when(F.col("_ok"), F.col(score) - F.col("_my")))
     cols = [*xs, "_y"]
-    moments = d.filter("_ok").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.col(xs[i]) * F.col(cols[j])).alias(f"a_{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(i, k + 1)],
-    )
-    moments = moments.withColumns({f"a_{j}_{i}": F.col(f"a_{i}_{j}") for i in range(k) for j in range(i + 1, k)})
-    beta = _solve(moments.filter(F.col("_n") >= min_names), k).select(*by, *[f"b{i}" for i in range(k)])
-    d = ranking.join_on(d, beta, by)
+    sums = {f"a_{i}_{j}": F.sum(F.col(xs[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k + 1)}
+    sums["_n"] = F.count("_y")
+    mirror = {f"a_{j}_{i}": F.col(f"a_{i}_{j}") for i in range(k) for j in range(i + 1, k)}
+    if width is not None and width <= ranking.MAX_GROUP:
+        d = ranking.group_join(d, by, width, **sums).withColumns(mirror)
+        d = _solve(d, k).withColumn("_y", F.when(F.col("_n") >= min_names, F.col("_y")))
+    else:
+        d = cut(d)
+        moments = d.filter("_ok").groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()])
+        moments = moments.filter(F.col("_n") >= min_names).withColumns(mirror)
+        d = ranking.join_on(d, _solve(moments, k).select(*by, *[f"b{i}" for i in range(k)]), by)
     fitted = sum((F.col(f"b{i}") * F.col(x) for i, x in enumerate(xs[1:], 1)), F.col("b0") * F.col(xs[0]))
     return d.select(*df.columns, (F.col("_y") - fitted).alias(out))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import settle
+from ..functions import cut, settle
 from ..operators import books, fundamentals, perf, ranking, xsection
 
 
@@ -27,8 +27,8 @@ def factor_attribution(scored: DataFrame, h: int, q: int = 5, width: int | None
     d = d.select("*", "v.variant", "v.s").drop("v")
     by = ["signal", "variant"]
     book = books.book_costed(d, "s", f"fwd_{h}", q=q, by=by, width=width)
-    net = book.select(*by, "dt", F.col("net").alias("ret"))
-    st = perf.perf_stats(net, h, by)
+    net = cut(book.select(*by, "dt", F.col("net").alias("ret")))
+    st = cut(perf.perf_stats(net, h, by))
     first = net.filter("variant = 'raw'").groupBy("signal").agg(F.min("dt").alias("first_dt"))
     pick = lambda v: st.filter(F.col("variant") == v)
     a = pick("raw").select("signal", F.col("n").alias("n_obs"), F.col("sharpe").alias("raw_sharpe"), F.col("t").alias("raw_t"))
@@ -44,7 +44,8 @@ def cap_spectrum(
     costs, and the median cost.  Every row counts in its class and in 'all'."""
     cls = F.explode(F.array(F.lit("all"), F.col("bucket"))).alias("cls")
     d = panel.select("symbol", "dt", "sector", score, fwd, "half_bps", cls)
-    d = xsection.zscore(d, ["cls", "dt", "sector"], [score], "_z_").withColumn("s", settle("_z_" + score, 9))
+    d = xsection.zscore(d, ["cls", "dt", "sector"], [score], "_z_", width).withColumn("s", settle("_z_" + score, 9))
+    d = cut(d)
     info = d.groupBy("cls").agg(
         F.countDistinct("symbol").alias("names"), F.median("half_bps").alias("med_half_bps")
     )
@@ -52,7 +53,7 @@ def cap_spectrum(
     side = F.explode(
         F.array(F.struct(F.lit("g").alias("side"), F.col("gross").alias("ret")), F.struct(F.lit("n").alias("side"), F.col("net").alias("ret")))
     ).alias("s")
-    st = perf.perf_stats(b.select("cls", "dt", side).select("cls", "dt", "s.side", "s.ret"), h, ["cls", "side"])
+    st = cut(perf.perf_stats(b.select("cls", "dt", side).select("cls", "dt", "s.side", "s.ret"), h, ["cls", "side"]))
     g = st.filter("side = 'g'").select("cls", F.col("ret_ann").alias("gross_ret"), F.col("sharpe").alias("gross_sharpe"))
     n = st.filter("side = 'n'").select(
         "cls", F.col("ret_ann").alias("net_ret"), F.col("sharpe").alias("net_sharpe"), F.col("t").alias("net_t"), F.col("n").alias("n_obs")
@@ -71,7 +72,7 @@ def sleeve_compare(
         F.array(*[F.struct(F.lit(n).alias("book"), F.col(n).alias("s")) for n in [*sleeves, "both"]])
     ).alias("b")
     d = d.select("symbol", "dt", "sector", fwd, long).select("symbol", "dt", "sector", fwd, "b.book", "b.s")
-    series = books.book_sector_neutral(d, "s", fwd, q, ["book"], width=width)
+    series = cut(books.book_sector_neutral(d, "s", fwd, q, ["book"], width=width))
     legs = series.filter(F.col("book").isin(*sleeves))
     k = len(sleeves)
     full = legs.groupBy("dt").agg(F.count("ret").alias("_k")).filter(F.col("_k") == k)
@@ -90,7 +91,8 @@ def portfolio_methods(
 ) -> DataFrame:
     """Four constructions of one score: quintile, signal weight, risk weight, factor neutral."""
     d = panel.filter(F.col(score).isNotNull() & F.col(fwd).isNotNull() & F.col("half_bps").isNotNull())
-    d = xsection.residualize(d, score, factors, out="neutral_score", min_names=30, need_share=0.5)
+    d = xsection.residualize(d, score, factors, out="neutral_score", min_names=30, need_share=0.5, width=width)
+    d = cut(d)
     parts = []
     for name, col, method in (
         ("A quintile", score, "quintile"), ("B signal", score, "signal"), ("C risk", score, "risk"),
