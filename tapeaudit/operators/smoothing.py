@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sym_order
 
@@ -73,7 +74,7 @@ def macd(df: DataFrame, col: str = "adj_close", fast=12, slow=26, signal=9) -> D
 
 def ema_grouped(df: DataFrame, col: str, out: str, alpha: float, min_periods: int) -> DataFrame:
     """The same average by pandas inside one symbol's group; kept to test `ema` against."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def one(pdf):
         pdf = pdf.sort_values("day_index")

@@ -89,7 +89,7 @@ def wide_bars(spark, sf_dir) -> DataFrame:
 
 def symbols(spark, sf_dir) -> DataFrame:
     brand = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()
-    num = F.substring("symbol", 7, 10).cast("int")
+    num = F.substring("symbol", 7, 10).try_cast("int")
     stocks = brand.select(
         "symbol",
         F.col("symbol").alias("name"),
