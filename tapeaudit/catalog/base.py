@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calendar, features, labels, quality
+from ..functions import cut
 from ..functions.core import ROUND_AT
 from ..sources import panels
 
@@ -28,7 +29,8 @@ class Data:
 
     @cached_property
     def bars(self):
-        return panels.bars(self.spark, self.dir)
+        """The stored bar table: at most one row per symbol and session, read by many branches."""
+        return cut(panels.bars(self.spark, self.dir))
 
     @cached_property
     def symbols(self):
@@ -65,7 +67,7 @@ class Data:
 
     @cached_property
     def wbars(self):
-        return panels.wide_bars(self.spark, self.dir)
+        return cut(panels.wide_bars(self.spark, self.dir))
 
     @cached_property
     def wsymbols(self):

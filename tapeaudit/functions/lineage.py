@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; a session without one (a
+    test on one machine) gets a temporary folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-tables-")
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the cluster's checkpoint folder and read it from there.
+    """Write `df` once as Parquet in the shared folder and read it from there.
 
-    The folder is the one the session names in spark.checkpoint.dir, so lost
-    executors do not lose it.  Only a session without one (a test) gets its own.
+    The branches that follow prune columns, see the real size, and do not recompute
+    what lies before; a lost executor loses nothing.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

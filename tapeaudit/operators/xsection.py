@@ -160,14 +160,10 @@ def residualize(
     sums = {f"a_{i}_{j}": F.sum(F.col(xs[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k + 1)}
     sums["_n"] = F.count("_y")
     mirror = {f"a_{j}_{i}": F.col(f"a_{i}_{j}") for i in range(k) for j in range(i + 1, k)}
-    if width is not None and width <= ranking.MAX_GROUP:
-        d = ranking.group_join(d, by, width, **sums).withColumns(mirror)
-        d = _solve(d, k).withColumn("_y", F.when(F.col("_n") >= min_names, F.col("_y")))
-    else:
-        d = cut(d)
-        moments = d.filter("_ok").groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()])
-        moments = moments.filter(F.col("_n") >= min_names).withColumns(mirror)
-        d = ranking.join_on(d, _solve(moments, k).select(*by, *[f"b{i}" for i in range(k)]), by)
+    d = cut(d.select(*df.columns, *xs, "_y", "_ok"))
+    moments = d.filter("_ok").groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()])
+    moments = moments.filter(F.col("_n") >= min_names).withColumns(mirror)
+    d = ranking.join_on(d, _solve(moments, k).select(*by, *[f"b{i}" for i in range(k)]), by)
     fitted = sum((F.col(f"b{i}") * F.col(x) for i, x in enumerate(xs[1:], 1)), F.col("b0") * F.col(xs[0]))
     return d.select(*df.columns, (F.col("_y") - fitted).alias(out))
 
