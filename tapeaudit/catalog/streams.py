@@ -39,14 +39,16 @@ def stream_dq(d):
     return rounded(d.spark.read.parquet(f"{w}/out"))
 
 
+SCORED = "symbol string, dt date, y_prob double, ts timestamp"
+
+
 def _stored(d, w):
     p = predictions(d, shared=True).filter("model_name = 'gbm' and y_prob >= 0.9")
     p.select("symbol", "dt", "y_prob", F.col("dt").cast("timestamp").alias("ts")).write.parquet(f"{w}/scored")
     p.select(
         "symbol", F.col("dt").cast("timestamp").alias("ts"), F.col("fwd_ret_5d_net").alias("ret_net"), F.col("y_true").cast("int").alias("win")
     ).filter(F.dayofmonth("ts") <= 20).write.parquet(f"{w}/outcomes")
-    schema = "symbol string, dt date, y_prob double, ts timestamp"
-    return flows.read_files(d.spark, f"{w}/scored", schema, per_trigger=2)
+    return flows.read_files(d.spark, f"{w}/scored", SCORED, per_trigger=2)
 
 
 CTES["x_sp"] = "SELECT symbol, dt, y_prob, fwd_ret_5d_net, y_true FROM x_pred WHERE model_name='gbm' AND y_prob>=0.9"
@@ -66,7 +68,8 @@ def stream_predictions(d):
 )
 def stream_matured(d):
     w = flows.work_dir(d.spark, "matured")
-    s = flows.read_files(d.spark, f"{w}/scored", "symbol string, dt date, y_prob double, ts timestamp", per_trigger=100_000) if _stored(d, w) is not None else None
+    _stored(d, w)
+    s = flows.read_files(d.spark, f"{w}/scored", SCORED, per_trigger=100_000)
     o = flows.read_files(d.spark, f"{w}/outcomes", "symbol string, ts timestamp, ret_net double, win int", per_trigger=100_000)
     flows.stream_matured(s, o, f"{w}/out", f"{w}/checkpoint")
     return rounded(d.spark.read.parquet(f"{w}/out").select("symbol", F.col("ts").cast("date").alias("dt"), "y_prob", "ret_net", "win"))
