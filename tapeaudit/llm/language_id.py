@@ -23,7 +23,8 @@ SAMPLE = 4_000
 #: Every so many-th of these rows sets the temperature instead.
 CALIBRATION = 5
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
+#: Values are shares of a document, so steps are long.
+ALPHA, BETA, L1, L2 = 20.0, 1.0, 1e-3, 1e-4
 #: Characters of text that a task works on at once.
 CHUNK = 250_000
 _HELD_OUT = 2
@@ -110,7 +111,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, classes: in
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss (golden-section search on its logarithm)."""
+    """The temperature with the least log loss between 0.1 and 10 (golden-section search on its logarithm)."""
     if not len(labels):
         return 1.0
 
@@ -118,7 +119,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         p = _softmax(logits / np.exp(log_t))
         return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
 
-    low, high, part = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
+    low, high, part = np.log(0.1), np.log(10.0), (np.sqrt(5) - 1) / 2
     for _ in range(50):
         a, b = high - part * (high - low), low + part * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
