@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeaudit.functions import cut
 from tapeaudit.llm import bpe_codec, decontaminate, language_id, line_dedup, minhash
-from tapeaudit.llm.common import hinted, table
+from tapeaudit.llm.common import hinted, row_key, table
 from tapeaudit.llm.queries import vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,11 +17,12 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter, and doubtful ones, go."""
-    model = language_id.fit(docs)
-    return (
-        language_id.predict(docs.select(*COLUMNS), model)
-        .filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
-    )
+    model, text = language_id.fit(docs), F.col("text")
+    keys = row_key("doc_id", text)
+    judged = language_id.predict(docs.select("text", *keys), model, keep=["__row_id", "__row_fp"])
+    doubtful = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)
+    gone = cut(judged.filter(doubtful).select("__row_id", "__row_fp").distinct())
+    return docs.select(*COLUMNS, *keys).join(hinted(gone), ["__row_id", "__row_fp"], "left_anti").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

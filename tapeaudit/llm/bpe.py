@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Words whose encodings a worker keeps; the memory is emptied when it is full.
-MEMORY = 400_000
+MEMORY = 200_000
 #: A word longer than this many bytes is merged exactly and not kept.
 LONG_WORD = 512
 _NEVER = np.int64(1) << 40
@@ -295,12 +295,12 @@ class Memory(dict):
             self.clear()
 
 
-def batches(texts: Iterable[str], chars: int) -> Iterable[list[str]]:
-    """Consecutive texts of about `chars` characters together."""
+def batches(texts: Iterable[str], chars: int, least: int = 0) -> Iterable[list[str]]:
+    """Consecutive texts of about `chars` characters together; a text counts as `least` characters at least."""
     group, size = [], 0
     for t in texts:
         group.append(t)
-        size += len(t)
+        size += max(len(t), least)
         if size >= chars:
             yield group
             group, size = [], 0

@@ -19,7 +19,7 @@ UNKNOWN = "und"
 SLOTS = 1 << 16
 ORDER = 3
 #: Labelled rows that the classifier is fitted on, at most; languages share them about equally.
-SAMPLE = 4_000
+SAMPLE = 2_000
 #: Every so many-th of these rows sets the temperature instead.
 CALIBRATION = 5
 EPOCHS = 3
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 slots = ngram_slots(text.as_py())
                 at, count = np.unique(slots, return_counts=True)
                 value = (count / max(1, len(slots)) * idf[at]).astype(np.float32)
-                seen.append((draw, known[lang.as_py()], np.append(at.astype(np.int64), SLOTS), np.append(value, np.float32(1)), len(slots)))
+                seen.append((draw, known[lang.as_py()], np.append(at.astype(np.int32), SLOTS).astype(np.int32), np.append(value, np.float32(1)), len(slots)))
         seen.sort(key=lambda r: r[:2])
         fitted = [r for i, r in enumerate(seen) if i % CALIBRATION or len(seen) < 2 * CALIBRATION]
         rest = [r for i, r in enumerate(seen) if i % CALIBRATION == 0]

@@ -24,7 +24,7 @@ WORD = re.compile(r"\w+")
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 _UNI, _CONTEXT, _PAIR = 0, 1, 2
-_hashes: bpe.Memory = bpe.Memory()  # per worker process
+_hashes: bpe.Memory = bpe.Memory(60_000)  # per worker process
 
 
 def tokens(text: str) -> np.ndarray:

@@ -22,13 +22,15 @@ BANDS, ROWS = 24, 5
 #: Texts of one band that are compared in one task with another such block.
 BLOCK = 128
 #: Characters of text that a task works on at once.
-CHUNK = 400_000
+CHUNK = 200_000
+#: What a text counts there at least, for the darts of a short text are as many.
+LEAST = 2_000
 WORD = re.compile(r"\w+")
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Chance of at most 0, 1, 2, ... darts in a region of area 1.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1, 20)]))
-_words: bpe.Memory = bpe.Memory()  # per worker process: hashes of words
+_words: bpe.Memory = bpe.Memory(60_000)  # per worker process: hashes of words
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,7 +129,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for part in parts:
             at = 0
-            for group in bpe.batches((t.as_py() or "" for t in part.column(3)), CHUNK):
+            for group in bpe.batches((t.as_py() or "" for t in part.column(3)), CHUNK, LEAST):
                 sets = [shingles(t, size) for t in group]
                 full = [k for k, s in enumerate(sets) if len(s[0])]
                 nodes, keys = [None] * len(group), [None] * len(group)
