@@ -23,6 +23,8 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 #: Bytes after which a task starts another file, and bytes of a file that one task reads.
 FILE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
+#: Tasks of a reading job; beyond that a task has several ranges.
+MOST_TASKS = 50_000
 _STEP = 1 << 16
 
 
@@ -183,7 +185,9 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
     digest, or a cut-off record, is an error.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
-    ranges = files.filter("length > 0").select("path", "length", starts.alias("start")).repartition("path", "start")
+    ranges = files.filter("length > 0").select("path", "length", starts.alias("start"))
+    # a number of its own: the rows are tiny, and the adaptive planner would put them all into one task
+    ranges = ranges.repartition(min(max(1, ranges.count()), MOST_TASKS), "path", "start")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for part in parts:
