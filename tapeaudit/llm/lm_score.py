@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +11,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cut
 from . import bpe
 from .common import hinted
 
-#: The shared vocabulary: words hashed to this many entries, word pairs to that many.
-WORDS, PAIRS = 1 << 16, 1 << 19
 #: Added count per word, and how many observations the single-word model is worth as a prior of the pair model.
 ALPHA, PRIOR = 0.5, 4.0
+#: A pair is frequent when it holds one in so many of all words, so there are no more frequent pairs than that.
+FREQUENT = 500_000
+#: The same for words by the number of different pairs that they are part of.
+COMMON = 50_000
+#: Words that a task counts at once, and characters of text that it scores at once.
 CHUNK = 400_000
 WORD = re.compile(r"\w+")
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
-_UNI, _CONTEXT, _PAIR = 0, 1, 2
 _hashes: bpe.Memory = bpe.Memory(60_000)  # per worker process
 
 
@@ -37,119 +39,150 @@ def tokens(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
 
 
-def slots(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary entries of each word, of the word before it, and of both together."""
+def pairs(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the one before it, and a 64-bit name of both together."""
     before = np.concatenate([[START], hashed[:-1]]).astype(np.uint64)
     both = (before * np.uint64(0xBF58476D1CE4E5B9) + hashed) * np.uint64(0x94D049BB133111EB)
-    return ((hashed % np.uint64(WORDS)).astype(np.int64), (before % np.uint64(WORDS)).astype(np.int64), (both >> np.uint64(45)).astype(np.int64))
+    return before, both ^ (both >> np.uint64(29))
 
 
-@dataclass
-class Models:
-    """Counts of both models: rows 0 (target) and 1 (background) of uni, context and pair."""
+def pair_counts(docs: DataFrame, target: Column, text_col: str = "text") -> DataFrame:
+    """pair, v, w (the two words), t and b: how often each pair of words occurs in the target rows and in all rows.
 
-    uni: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    def losses(self, hashed: np.ndarray) -> tuple[float, float]:
-        """Mean negative log probability per word under each model.
-
-        The background's counts are scaled to the target's number of words first, so that both models give the
-        same weight to what they have not seen.
-        """
-        w, v, vw = slots(hashed)
-        out = []
-        for m in (0, 1):
-            scale = self.uni[0].sum() / max(self.uni[m].sum(), 1)
-            single = (self.uni[m, w] * scale + ALPHA) / (self.uni[m].sum() * scale + ALPHA * WORDS)
-            p = (self.pair[m, vw] * scale + PRIOR * single) / (np.maximum(self.context[m, v], self.pair[m, vw]) * scale + PRIOR)
-            out.append(float(-np.log(p).mean()))
-        return out[0], out[1]
-
-
-def fit(docs: DataFrame, target: Column, text_col: str = "text") -> Models:
-    """Count words and pairs of the target rows and of all rows (the background) over one hashed vocabulary.
-
-    Every document is counted. Tasks add up their own documents and send a row per vocabulary entry that they
-    met; the sums, WORDS x 2 + PAIRS rows at most whatever the corpus, come to the driver.
+    Every document is counted and the table grows with the corpus. Tasks send a row per pair and chunk, which are
+    added up before and after the shuffle, so a pair that is everywhere costs a row per task.
     """
     source = docs.select(F.col(text_col).cast("string"), F.coalesce(target, F.lit(False)))
-    sizes = {_UNI: WORDS, _CONTEXT: WORDS, _PAIR: PAIRS}
+
+    def counted(found: list[np.ndarray], wanted: list[bool]) -> pa.RecordBatch:
+        v, both = (np.concatenate(x) for x in zip(*map(pairs, found)))
+        w = np.concatenate(found)
+        mine = np.repeat(wanted, [len(x) for x in found])
+        name, first, which = np.unique(both, return_index=True, return_inverse=True)
+        t, b = np.bincount(which, mine, len(name)).astype(np.int64), np.bincount(which, minlength=len(name))
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (name, v[first], w[first])), pa.array(t), pa.array(b)], ["pair", "v", "w", "t", "b"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        counts = {kind: np.zeros((2, n), np.int64) for kind, n in sizes.items()}
+        found, wanted, held = [], [], 0
         for part in parts:
-            rows = zip(part.column(0), part.column(1).to_pylist())
-            group: dict[bool, list] = {True: [], False: []}
-            held = 0
-
-            def flush() -> None:
-                for wanted, found in group.items():
-                    if found:
-                        for kind, at in zip(counts, map(np.concatenate, zip(*found))):
-                            got = np.bincount(at, minlength=sizes[kind])
-                            counts[kind][1] += got
-                            if wanted:
-                                counts[kind][0] += got
-                        found.clear()
-
-            for text, wanted in rows:
+            for text, mine in zip(part.column(0), part.column(1).to_pylist()):
                 hashed = tokens(text.as_py() or "")
                 if len(hashed):
-                    group[wanted].append(slots(hashed))
+                    found.append(hashed)
+                    wanted.append(mine)
                     held += len(hashed)
-                if held > CHUNK:
-                    flush()
-                    held = 0
-            flush()
-        for kind, (t, b) in counts.items():
-            at = np.flatnonzero(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at), pa.array(t[at]), pa.array(b[at])], ["kind", "at", "t", "b"])
-
-    rows = (
-        source.mapInArrow(run, "kind tinyint, at bigint, t bigint, b bigint").groupBy("kind", "at")
-        .agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    )
-    kind, at, both = rows["kind"].to_numpy(), rows["at"].to_numpy(), np.stack([rows["t"].to_numpy(), rows["b"].to_numpy()])
-    tables = []
-    for k, n in sizes.items():
-        table = np.zeros((2, n))
-        table[:, at[kind == k]] = both[:, kind == k]
-        tables.append(table)
-    return Models(*tables)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, target_loss, background_loss and score (their difference per word; low is like the target)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+                if held >= CHUNK:
+                    yield counted(found, wanted)
+                    found, wanted, held = [], [], 0
+        if found:
+            yield counted(found, wanted)
+
+    rows = source.mapInArrow(run, "pair bigint, v bigint, w bigint, t bigint, b bigint")
+    return rows.groupBy("pair", "v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _with_word(rows: DataFrame, key: str, names: tuple[str, str], total: int) -> DataFrame:
+    """`rows` with the counts of their word `key` in both models. Words of more than a 1/COMMON of all pairs, at most
+    COMMON of them, are broadcast; no other word is frequent enough to burden a task."""
+    counts = cut(rows.groupBy(key).agg(F.sum("t").alias(names[0]), F.sum("b").alias(names[1]), F.count(F.lit(1)).alias("__n")))
+    common = F.col("__n") * COMMON >= total
+    hot = F.broadcast(counts.filter(common).drop("__n"))
+    rest = rows.join(F.broadcast(counts.filter(common).select(key)), key, "left_anti").join(counts.filter(~common).drop("__n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def pair_losses(counts: DataFrame) -> DataFrame:
+    """pair, b, target_loss, background_loss: the negative log probability of a pair's second word after its first.
+
+    Both models have the words of all rows as vocabulary, the same smoothing, and the single-word model as prior of the
+    pair model. The background's counts are scaled to the target's number of words, so that both models
+    give the same weight to what they have not seen. One row of totals comes to the driver.
+    """
+    counts = cut(counts)
+    all_of = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    vocabulary = max(1, counts.select("w").distinct().count())
+    rows = _with_word(_with_word(counts, "w", ("ut", "ub"), all_of.n), "v", ("ct", "cb"), all_of.n)
+    target = float(all_of.t or 0)
+    out = {}
+    for m, name in (("t", "target_loss"), ("b", "background_loss")):
+        scale = F.lit(target / max(all_of[m] or 0, 1))
+        single = (F.col(f"u{m}") * scale + ALPHA) / (target + ALPHA * vocabulary)
+        out[name] = -F.ln((F.col(m) * scale + PRIOR * single) / (F.col(f"c{m}") * scale + PRIOR))
+    return rows.select("pair", "b", *(x.alias(name) for name, x in out.items()))
+
+
+def score(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, target_loss, background_loss and score (their difference per word; low is like the target).
+
+    The losses of frequent pairs (FREQUENT at most) are broadcast and added up where the text is read. Every
+    other pair of a document becomes a row that meets its loss in a join; none of these pairs has more than
+    a 1/FREQUENT of all words, so no key is hot. The sums per document are taken in a second shuffle.
+    """
+    losses = cut(losses)
+    total = losses.agg(F.sum("b")).first()[0] or 0
+    frequent = F.col("b") * FREQUENT >= total
+    known = losses.filter(frequent).select("pair", "target_loss", "background_loss").toArrow()
+    order = np.argsort(known["pair"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy()[order] for c in known.column_names))
     kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).isNull(), text).alias("fp"), text.alias("text"))
+
+    def scored(ids: pa.Array, fps: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        names, ts, bs = shared.value
+        at, pair, n = [np.arange(len(texts))], [fps], [np.zeros(len(texts), np.int64)]
+        base = np.zeros((3, len(texts)))
+        for i, one in enumerate(texts):
+            hashed = tokens(one)
+            if not len(hashed):
+                continue
+            found, times = np.unique(pairs(hashed)[1].view(np.int64), return_counts=True)
+            place = np.minimum(np.searchsorted(names, found), max(len(names) - 1, 0))
+            hit = names[place] == found if len(names) else np.zeros(len(found), bool)
+            base[:, i] = len(hashed), times[hit] @ ts[place[hit]], times[hit] @ bs[place[hit]]
+            at.append(np.full(int((~hit).sum()), i))
+            pair.append(found[~hit])
+            n.append(times[~hit])
+        at = np.concatenate(at)
+        more = np.arange(len(at)) >= len(texts)  # rows of pairs follow the row of each text
+        own = [pa.array(np.resize(x, len(at)) if len(x) else np.zeros(0), mask=more) for x in base]
+        full = pa.StructArray.from_arrays([own[0].cast(pa.int64()), *own[1:]], ["tokens", "t", "b"], mask=pa.array(more))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(fps[at]), pa.array(np.concatenate(pair)), pa.array(np.concatenate(n)), full], ["id", "fp", "pair", "n", "base"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for part in parts:
-            n, t, b = [], [], []
-            for text in part.column(1):
-                hashed = tokens(text.as_py() or "")
-                one, two = shared.value.losses(hashed) if len(hashed) else (None, None)
-                n.append(len(hashed))
-                t.append(one)
-                b.append(two)
-            diff = [None if x is None else x - y for x, y in zip(t, b)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, diff))], names)
-
-    names = [id_col, "n_tokens", "target_loss", "background_loss", "score"]
-    schema = f"`{id_col}` {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+            start, fps = 0, part.column(1).to_numpy()
+            for group in bpe.batches((t.as_py() or "" for t in part.column(2)), CHUNK):
+                end = start + len(group)
+                yield scored(part.column(0).slice(start, len(group)), fps[start:end], group)
+                start = end
+
+    rows = source.mapInArrow(run, f"id {kind}, fp bigint, pair bigint, n bigint, base struct<tokens:bigint,t:double,b:double>")
+    rare = losses.filter(~frequent).select("pair", "target_loss", "background_loss")
+    met = rows.join(rare, "pair", "left").select(
+        "id", "fp", F.coalesce("base.tokens", F.lit(0)).alias("tokens"), F.col("base").isNotNull().cast("bigint").alias("copies"),
+        F.coalesce("base.t", F.col("n") * F.col("target_loss")).alias("t"), F.coalesce("base.b", F.col("n") * F.col("background_loss")).alias("b"),
+    )
+    sums = met.groupBy("id", "fp").agg(*(F.sum(c).alias(c) for c in ("tokens", "copies", "t", "b")))
+    # rows that repeat an id and a text were added up together
+    many = sums.withColumn("k", F.explode(F.expr("sequence(0, (copies - 1) div 10000)")))
+    each = many.withColumn("k", F.explode(F.expr("sequence(1, least(10000, copies - k * 10000))")))
+    t, b = (F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")) for c in ("t", "b"))
+    return each.select(
+        F.col("id").alias(id_col), F.expr("tokens div copies").alias("n_tokens"), t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score")
+    )
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document against the documents whose ids `target_ids` lists (its first column).
 
     Both models share vocabulary, order and smoothing; the target model has the listed documents, the background all.
-    Ids that repeat or are missing from `docs` change nothing. A null, empty or wordless text has 0 tokens and
-    null losses. With no target both models are smoothed alike and say little, but every row has a score. Rows
-    that repeat an id are rows of their own. No rows in, no rows out.
+    Words and pairs are counted under 64-bit hashes, with no limit to their number. Ids that repeat or are missing
+    from `docs` change nothing. A null, empty or wordless text has 0 tokens and null losses. With no target both
+    models are smoothed alike and say little, but every row has a score. Rows that repeat an id are rows of
+    their own. No rows in, no rows out.
     """
     wanted = target_ids.select(F.col(target_ids.columns[0]).alias("__target")).filter("__target is not null").distinct()
     marked = docs.select(F.col(id_col), F.col(text_col)).join(hinted(wanted), F.col(id_col) == F.col("__target"), "left")
-    return score(docs, fit(marked, F.col("__target").isNotNull(), text_col), id_col, text_col)
+    losses = pair_losses(pair_counts(marked, F.col("__target").isNotNull(), text_col))
+    return score(docs, losses, id_col, text_col)

@@ -159,7 +159,10 @@ def test_language_id_ignores_held_out_labels(spark, odd):
     assert {x for _, x in out} <= {"und", "en", "el", "la"}
 
 
-def test_lm_scores_against_a_direct_count(spark):
+@pytest.mark.parametrize("frequent,common", [(lm_score.FREQUENT, lm_score.COMMON), (4, 3), (1, 1)])
+def test_lm_scores_against_a_direct_count(spark, monkeypatch, frequent, common):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_score, "COMMON", common)
     rows = [(1, "the cat sat"), (2, "the dog sat down"), (3, "a cat"), (4, ""), (5, "The cat sat")]
     out = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(1,), (2,), (2,)], "d int")).collect()}
     words = {i: re.findall(r"\w+", t.lower()) for i, t in rows}
@@ -168,13 +171,14 @@ def test_lm_scores_against_a_direct_count(spark):
         pairs = [p for i in ids for p in zip(["<s>", *words[i]], words[i])]
         counts.append((Counter(w for _, w in pairs), Counter(v for v, _ in pairs), Counter(pairs)))
     total = sum(counts[0][0].values())
+    vocabulary = len(counts[1][0])
 
     def loss(i, m):
         uni, context, both = counts[m]
         scale = total / sum(uni.values())
         out = 0.0
         for p in zip(["<s>", *words[i]], words[i]):
-            single = (uni[p[1]] * scale + lm_score.ALPHA) / (total + lm_score.ALPHA * lm_score.WORDS)
+            single = (uni[p[1]] * scale + lm_score.ALPHA) / (total + lm_score.ALPHA * vocabulary)
             out -= math.log((both[p] * scale + lm_score.PRIOR * single) / (context[p[0]] * scale + lm_score.PRIOR))
         return out / len(words[i])
 
