@@ -11,9 +11,16 @@ from .outcomes import predictions
 CTES["x_ticks"] = "SELECT event_id, 'E' || (user_id % 25) AS symbol, ts, value FROM events"
 
 
+DELIVERIES = 10
+
+
+def symbol():
+    return F.concat(F.lit("E"), F.col("user_id") % 25).alias("symbol")
+
+
 def ticks(d):
     s = flows.read_files(d.spark, d.dir, flows.TICKS, "events.parquet")
-    return s.select("event_id", F.concat(F.lit("E"), F.col("user_id") % 25).alias("symbol"), "ts", "value")
+    return s.select("event_id", symbol(), "ts", "value")
 
 
 @query(
@@ -23,9 +30,11 @@ def ticks(d):
 )
 def stream_upsert_bars(d):
     w = flows.work_dir(d.spark, "bars")
-    flows.stream_upsert_bars(ticks(d), f"{w}/log", f"{w}/checkpoint")
-    # the same delivery again must not change the result
-    flows.stream_upsert_bars(ticks(d), f"{w}/log", f"{w}/checkpoint2")
+    # hours are spread over all files, and a file is a micro-batch
+    d.spark.read.parquet(f"{d.dir}/events.parquet").repartition(DELIVERIES, "event_id").write.parquet(f"{w}/ticks")
+    for again in ("", "2"):  # the same deliveries again must not change the result
+        s = flows.read_files(d.spark, f"{w}/ticks", flows.TICKS, delivery=True)
+        flows.stream_upsert_bars(s.select("*", symbol()), f"{w}/log", f"{w}/checkpoint{again}")
     return rounded(flows.latest_bars(d.spark, f"{w}/log"))
 
 
@@ -43,15 +52,15 @@ SCORED = "symbol string, dt date, y_prob double, ts timestamp"
 
 
 def _stored(d, w):
-    p = predictions(d, shared=True).filter("model_name = 'gbm' and y_prob >= 0.9")
+    p = predictions(d, shared=True).filter("model_name = 'gbm'")
     p.select("symbol", "dt", "y_prob", F.col("dt").cast("timestamp").alias("ts")).write.parquet(f"{w}/scored")
     p.select(
         "symbol", F.col("dt").cast("timestamp").alias("ts"), F.col("fwd_ret_5d_net").alias("ret_net"), F.col("y_true").cast("int").alias("win")
-    ).filter(F.dayofmonth("ts") <= 20).write.parquet(f"{w}/outcomes")
+    ).write.parquet(f"{w}/outcomes")
     return flows.read_files(d.spark, f"{w}/scored", SCORED, per_trigger=2)
 
 
-CTES["x_sp"] = "SELECT symbol, dt, y_prob, fwd_ret_5d_net, y_true FROM x_pred WHERE model_name='gbm' AND y_prob>=0.9"
+CTES["x_sp"] = "SELECT symbol, dt, y_prob, fwd_ret_5d_net, y_true FROM x_pred WHERE model_name='gbm'"
 
 
 @query("stream_predictions", f"SELECT symbol, dt, {r('y_prob')} FROM x_sp")
@@ -64,7 +73,7 @@ def stream_predictions(d):
 
 @query(
     "stream_matured",
-    "SELECT symbol, dt, round(y_prob,6)+0.0 AS y_prob, round(fwd_ret_5d_net,6)+0.0 AS ret_net, CAST(y_true AS INTEGER) AS win FROM x_sp WHERE day(dt)<=20",
+    "SELECT symbol, dt, round(y_prob,6)+0.0 AS y_prob, round(fwd_ret_5d_net,6)+0.0 AS ret_net, CAST(y_true AS INTEGER) AS win FROM x_sp",
 )
 def stream_matured(d):
     w = flows.work_dir(d.spark, "matured")

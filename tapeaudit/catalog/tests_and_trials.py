@@ -372,27 +372,31 @@ def chain_verify(d):
 # -------------------------------------------------------------- forward record
 CTES["x_picks"] = """
 SELECT symbol, dt, y_prob, CASE WHEN dt>=DATE '2001-01-01' THEN 'live' ELSE 'holdout' END AS stage FROM (
- SELECT *, row_number() OVER (PARTITION BY dt ORDER BY y_prob DESC, symbol) AS rn FROM x_pred WHERE model_name='gbm' AND y_prob>=0.55 AND dt>=DATE '2000-01-01') WHERE rn<=3"""
+ SELECT *, row_number() OVER (PARTITION BY dt ORDER BY y_prob DESC, symbol) AS rn FROM x_pred WHERE model_name='gbm' AND y_prob>=0.55) WHERE rn<=3"""
 CTES["x_res"] = """
-SELECT p.*, l.fwd_ret_5d_net AS ret_net, l.label_win_5d AS win FROM x_picks p JOIN x_labels l ON l.symbol=p.symbol AND l.dt=p.dt WHERE l.fwd_ret_5d_net IS NOT NULL AND day(p.dt)<=20"""
+SELECT p.*, l.fwd_ret_5d_net AS ret_net, l.label_win_5d AS win FROM x_picks p JOIN x_labels l ON l.symbol=p.symbol AND l.dt=p.dt WHERE l.fwd_ret_5d_net IS NOT NULL"""
 
 
 def picks(d):
     from ..operators.trades import topk_per_date
 
-    p = predictions(d).filter("model_name = 'gbm' and dt >= date'2000-01-01'").select("symbol", "dt", "y_prob")
+    p = predictions(d).filter("model_name = 'gbm'").select("symbol", "dt", "y_prob")
     p = topk_per_date(p, 3, 0.55)
     return cut(p.withColumn("stage", F.when(F.col("dt") >= F.lit("2001-01-01").cast("date"), "live").otherwise("holdout")))
 
 
 def results(d, p=None):
-    return trials.matured(picks(d) if p is None else p, d.labels).filter(F.dayofmonth("dt") <= 20)
+    return trials.matured(picks(d) if p is None else p, d.labels)
 
 
-@query("antijoin_seen", "SELECT p.symbol, p.dt, p.stage FROM x_picks p WHERE NOT EXISTS (SELECT 1 FROM x_res r WHERE r.symbol=p.symbol AND r.dt=p.dt)")
+#: What is pending is judged as of this day.
+AS_OF = "2001-01-01"
+
+
+@query("antijoin_seen", f"SELECT p.symbol, p.dt, p.stage FROM x_picks p WHERE NOT EXISTS (SELECT 1 FROM x_res r WHERE r.symbol=p.symbol AND r.dt=p.dt AND r.dt<DATE '{AS_OF}')")
 def antijoin_seen(d):
     p = picks(d)
-    return trials.pending(p, results(d, p)).select("symbol", "dt", "stage")
+    return trials.pending(p, results(d, p).filter(F.col("dt") < F.lit(AS_OF).cast("date"))).select("symbol", "dt", "stage")
 
 
 @query(

@@ -1,18 +1,19 @@
 """Structured Streaming flows: arriving bars, predictions, their results and quality rows.
 
-State lives in logs of Parquet: each micro-batch owns one directory, named by its
-number, and overwrites it when it is retried.  Readers merge on read with the same
-operators the batch layer uses, so nothing is rewritten as the table grows.
+State lives in logs of Parquet: each micro-batch owns one directory, named by its stream's
+checkpoint and its number, and overwrites it when it is retried.  Readers merge on read,
+so nothing is rewritten as the table grows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quality, trials
+from ..operators import trials
 
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -27,11 +28,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def read_files(spark: SparkSession, path: str, schema: str, glob: str | None = None, per_trigger: int = 1) -> DataFrame:
+def read_files(
+    spark: SparkSession, path: str, schema: str, glob: str | None = None, per_trigger: int = 1, delivery: bool = False
+) -> DataFrame:
+    """Parquet files as they arrive; `delivery` adds a column of that name with the file's name."""
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.parquet(path)
+    files = r.parquet(path)
+    return files.select("*", F.col("_metadata.file_name").alias("delivery")) if delivery else files
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, batch=None, out: str | None = None) -> None:
@@ -41,36 +46,56 @@ def run_to_end(stream: DataFrame, checkpoint: str, batch=None, out: str | None =
     q.awaitTermination()
 
 
-def append_log(log: str, shape=lambda df: df):
-    """foreachBatch function: write the batch under its own number."""
+def append_log(log: str, checkpoint: str, shape=lambda df: df):
+    """foreachBatch function: write the batch, and when, under its stream's name and its own number.
+
+    A stream is named by its checkpoint, so two streams never overwrite each other and a restarted one
+    goes on in its own folder.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(df: DataFrame, batch_id: int) -> None:
-        shape(df).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        out = shape(df).withColumn("written", F.current_timestamp())
+        out.write.mode("overwrite").parquet(f"{log}/stream={stream}/batch={batch_id}")
 
     return write
 
 
-def hourly_bars(ticks: DataFrame) -> DataFrame:
-    """Bars of one hour per symbol from (symbol, ts, event_id, value)."""
-    first, last = F.struct("ts", "event_id"), F.struct("ts", "event_id")
-    return ticks.groupBy("symbol", F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.min_by("value", first).alias("open"),
+def partial_bars(ticks: DataFrame) -> DataFrame:
+    """What each delivery adds to the hourly bars of a symbol, from (delivery, symbol, ts, event_id, value).
+
+    First and last tick carry their place in time, so the parts of an hour can be put together in any order.
+    """
+    tick = F.struct("ts", "event_id", "value")
+    return ticks.groupBy("delivery", "symbol", F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.min(tick).alias("first"),
         F.max("value").alias("high"),
         F.min("value").alias("low"),
-        F.max_by("value", last).alias("close"),
+        F.max(tick).alias("last"),
         F.count(F.lit(1)).alias("volume"),
     )
 
 
 def stream_upsert_bars(ticks: DataFrame, log: str, checkpoint: str) -> None:
-    """Turn arriving ticks into bars and append them; `latest_bars` resolves re-deliveries."""
-    run_to_end(ticks, checkpoint, append_log(log, hourly_bars))
+    """Append what arriving ticks add to the bars; `latest_bars` puts the parts together."""
+    run_to_end(ticks, checkpoint, append_log(log, checkpoint, partial_bars))
 
 
 def latest_bars(spark: SparkSession, log: str) -> DataFrame:
-    """The newest delivery of every (symbol, hour)."""
+    """Every (symbol, hour), put together from all deliveries; of a delivery that came again, the newest one counts.
+
+    An hour may be spread over any number of deliveries and micro-batches, in any order.
+    """
     rows = spark.read.option("basePath", log).parquet(log)
-    return quality.upsert_latest(rows, rows.filter("false"), ["symbol", "hour"], "batch").drop("batch")
+    newest = F.max_by(F.struct("first", "high", "low", "last", "volume"), F.struct("written", "stream", "batch"))
+    parts = rows.groupBy("delivery", "symbol", "hour").agg(newest.alias("p"))
+    return parts.groupBy("symbol", "hour").agg(
+        F.min("p.first")["value"].alias("open"),
+        F.max("p.high").alias("high"),
+        F.min("p.low").alias("low"),
+        F.max("p.last")["value"].alias("close"),
+        F.sum("p.volume").alias("volume"),
+    )
 
 
 def stream_predictions(scored: DataFrame, log: str, checkpoint: str, keys=("dt", "symbol")) -> None:
