@@ -204,11 +204,19 @@ def block_links(nodes: list[bytes], sets: list[np.ndarray], labels: list[bytes],
 
 
 def _block_links(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links inside bands (band, n, node, label) by pairs of blocks; see block_links."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = placed.withColumn("other", other).select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+    """Links inside bands (band, node, label, main: the band's largest label) by pairs of blocks; see block_links.
+
+    Nodes of the main label are connected already. They are dealt to blocks behind those of the others, and only pairs
+    of blocks of which one holds others are compared: the work grows with others times members.
+    """
+    others = F.col("label") != F.col("main")
+    sizes = members.groupBy("band").agg(F.sum(others.cast("int")).alias("m"), F.sum((~others).cast("int")).alias("k"))
+    placed = members.join(sizes, "band").withColumns({"front": F.ceil(F.col("m") / block), "back": F.ceil(F.col("k") / block)})
+    mine = F.when(others, F.pmod(F.xxhash64("node"), "front")).otherwise(F.col("front") + F.pmod(F.xxhash64("node"), "back"))
+    last = F.col("front") - 1 + F.when(others, F.col("back")).otherwise(0)
+    pairs = placed.select("band", "node", "label", mine.cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other")).select(
+        "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label"
+    )
     schema = "a binary, b binary"
 
     def run(t: pa.Table) -> pa.Table:
@@ -218,12 +226,21 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: float, block: i
     return pairs.join(sets, "node").groupBy("band", "i", "j").applyInArrow(run, schema).distinct()
 
 
+def _unconnected(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """band, node, label and main (the label most of the band's nodes have) in bands whose nodes have different labels."""
+    labelled = shared.filter("n > 2").select("band", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_label = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = per_label.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+    return cut(labelled.join(split.filter("labels > 1").select("band", "main"), "band"))
+
+
 def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int, threshold: float, block: int) -> DataFrame:
     """Checked links (a, b) between shingle sets that connect all sets which any similar pair with a common band connects.
 
     1. Sets that share a band are compared with the one of them that meets most others (a star per band:
        as many comparisons as there are rows).
-    2. Only bands whose sets are not yet all connected are compared exactly, block by block; pairs are not emitted.
+    2. In bands whose sets are not yet all connected, those outside the band's largest class are compared exactly
+       with all of the band, block by block; pairs are not emitted.
     """
     entries = signed.filter("node is not null").select("node", F.explode("bands").alias("band")).distinct()
     full = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -240,11 +257,7 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size:
         stars.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
         .filter(alike).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     )
-    known = components(star_links)
-    labelled = shared.filter("n > 2").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    rest = labelled.join(split, "band", "left_semi").select("band", "n", "node", "label")
-    return star_links.union(_block_links(rest, sets, threshold, block))
+    return star_links.union(_block_links(_unconnected(shared, components(star_links)), sets, threshold, block))
 
 
 def near_dedup(
@@ -260,7 +273,7 @@ def near_dedup(
 
     Copies are one node from the start, so a text that a third of the rows hold costs one row. A band with many
     different texts costs one comparison per text if its texts are all similar to one; only what stays
-    unconnected there is compared block by block.
+    unconnected there is compared with the band, block by block.
 
     A text of fewer than `size` words is one shingle; a null, empty or wordless one is in a class of its own. Rows
     without an id never give the class its id unless all are without. Rows that repeat an id and a text
