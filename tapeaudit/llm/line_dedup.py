@@ -43,17 +43,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__row_id"),
         F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("__row_fp"),
-        # places in corpus order: by id, rows without one last, then by line
+        # places in corpus order: by id, rows without one last, then by text and line
         F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")).alias("doc"),
         F.explode(let(_lines(F.col(text_col)), lambda lines: _windows(lines, size))).alias("w"),
     )
-    place = (F.col("doc") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("w.at")).cast("decimal(38,0)")
-    places = rows.select("__row_id", "__row_fp", "w.at", "w.h1", "w.h2", place.alias("place"))
+    places = rows.select("__row_id", "__row_fp", "doc", "w.at", "w.h1", "w.h2")
+    # rows that share an id, or have none, are told apart by their texts, so that no two rows have equal places
+    place = F.struct("doc", "__row_fp", "at")
     first = (
-        places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+        places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("h1", "h2", "first")
     )
-    later = places.join(first, ["h1", "h2"]).filter(F.col("place") > F.col("first"))
+    later = places.join(first, ["h1", "h2"]).filter(place > F.col("first"))
     cover = F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + size - 1)))
     return later.groupBy("__row_id", "__row_fp").agg(F.array_distinct(cover).alias("drop"))
 
@@ -67,8 +68,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null (0 lines); an empty one has one empty line. Texts of fewer than `size` lines have
     no window and stay as they are, and so do runs of blank lines. A text may end up empty. Rows that repeat
-    an id and a text are one document and are treated alike. Rows without an id count as the last ones. Ids
-    are integers. Columns of `docs` that are called n_lines or n_removed are replaced; others stay.
+    an id and a text are one document and are treated alike. Rows without an id count as the last ones. Different
+    texts that share an id, or have none, come in the order of their hashes. Ids are integers. Columns of `docs` that are called n_lines or n_removed are replaced; others stay.
     """
     drop = repeated_lines(docs, id_col, text_col, size)
     text = F.col(text_col)

@@ -90,6 +90,14 @@ def test_line_dedup_merges_overlapping_windows(spark):
     assert out == {1: (rows[0][1], 0), 2: ("x\ny", 7), 3: ("c\nd", 0), 4: ("", 5)}
 
 
+def test_line_dedup_orders_rows_of_one_id_or_none(spark):
+    head = "one head\ntwo head\nthree head\n"
+    for i, j in ((None, None), (3, 3)):
+        rows = [(i, head + "left"), (j, head + "right"), (j, head + "middle")]
+        out = sorted((r.n_removed, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+        assert [n for n, _ in out] == [0, 3, 3] and out[2][1] in ("left", "right", "middle") and out[0][1].startswith(head)
+
+
 def test_exact_dedup_compares_bytes_inside_groups(spark, odd):
     weak = exact_dedup.exact_dedup(odd, fingerprint=lambda t: F.substring(F.md5(t), 1, 1))
     key = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
