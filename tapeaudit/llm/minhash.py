@@ -264,7 +264,7 @@ def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
     bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its class), class_size, kept (one row's id per class).
+    """One row per document: id, class_id (smallest id of its class), class_size, kept (true for one row per class).
 
     Texts are sets of shingles of `size` words (`\\w+` of the lower-cased text) weighted by their counts. Two
     texts are linked when they share a band of their DartMinHash signatures and their weighted Jaccard similarity,
@@ -277,26 +277,35 @@ def near_dedup(
 
     A text of fewer than `size` words is one shingle; a null, empty or wordless one is in a class of its own. Rows
     without an id never give the class its id unless all are without. Rows that repeat an id and a text
-    share a class. No rows in, no rows out. Other columns are not read.
+    share a class. The row kept is the one of the smallest id, of several such the one whose text's hash is smallest;
+    of rows equal in both it is any one. No rows in, no rows out. Other columns are not read.
     """
     signed = cut(signatures(docs, id_col, text_col, size, bands, rows))
     found = components(links(docs, signed, id_col, text_col, size, threshold, block))
     members = signed.join(found, "node", "left").select("id", "row_id", "row_fp", F.coalesce("label", "node").alias("class"))
-    stored = cut(members)
-    classes = stored.filter("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    stored = cut(members.withColumn("number", F.monotonically_increasing_id()))  # tells equal rows apart
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row_fp", "number")
+    classes = stored.filter("class is not null").groupBy("class").agg(
+        F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(order)["number"].alias("first")
+    )
     alone = F.col("class").isNull()
     out = stored.join(classes, "class", "left")
     return out.select(
         F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-        (alone | F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"), "row_id", "row_fp",
+        (alone | (F.col("number") == F.col("first"))).alias("kept"), "row_id", "row_fp",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that near_dedup keeps, all columns unchanged."""
-    gone = near_dedup(docs, id_col, text_col, **how).filter("not kept").select("row_id", "row_fp").distinct()
+    """The rows of `docs` that near_dedup keeps, all columns unchanged; of rows that repeat an id and a text any one."""
+    judged = near_dedup(docs, id_col, text_col, **how).groupBy("row_id", "row_fp").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("one"))
+    some = cut(judged.filter("not all").select("row_id", "row_fp", "one"))
     i = F.col(id_col)
     keyed = docs.withColumns({"__row_id": F.coalesce(i.cast("string"), F.lit("")), "__row_fp": F.xxhash64(i.isNull(), F.col(text_col).cast("string"))})
     same = [F.col("__row_id") == F.col("row_id"), F.col("__row_fp") == F.col("row_fp")]
-    return keyed.join(hinted(gone), same, "left_anti").drop("__row_id", "__row_fp")
+    whole = keyed.join(hinted(some), same, "left_anti")
+    repeated = some.filter("one")
+    if not repeated.isEmpty():  # tasks reduce the copies of a row on their own
+        whole = whole.unionByName(keyed.join(hinted(repeated), same, "left_semi").dropDuplicates(["__row_id", "__row_fp"]))
+    return whole.drop("__row_id", "__row_fp")

@@ -257,6 +257,18 @@ def test_near_dedup_on_documents(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_dedup(docs).collect()} == brute_classes(rows)
 
 
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    one, two, three, four = (" ".join(f"{p}{k}" for k in range(60)) for p in "abcd")
+    rows = [(None, one), (None, one + " more"), (None, one), (5, two), (5, two + " more"), (6, two), (7, three), (7, three), (8, three), (9, four), (9, four), (None, four)]
+    docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(rows)], "doc_id int, text string, source string").repartition(5)
+    out = minhash.near_dedup(docs).collect()
+    assert len(out) == len(rows) and Counter(r.class_size for r in out) == {3: 12}
+    assert Counter(r.doc_id for r in out if r.kept) == {None: 1, 5: 1, 7: 1, 9: 1}
+    left = minhash.keep_one(docs).collect()
+    assert Counter(r.doc_id for r in left) == {None: 1, 5: 1, 7: 1, 9: 1}
+    assert all(rows[int(r.source[1:])] == (r.doc_id, r.text) for r in left)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
