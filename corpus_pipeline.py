@@ -39,8 +39,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(judged.filter("contaminated").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(hinted(gone), "doc_id", "left_anti")
+    gone = cut(judged.filter("contaminated").select(F.col("row_id").alias("__row_id"), F.col("row_fp").alias("__row_fp")).distinct())
+    keys = row_key("doc_id", F.col("text"))
+    return docs.select(*COLUMNS, *keys).join(hinted(gone), ["__row_id", "__row_fp"], "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", size: int = WINDOW, share: int = 20,
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, and row_id and row_fp, which tell rows apart.
 
     Words are runs of a-z (after lower-casing A-Z), digits and characters beyond ASCII. A window is `size`
     consecutive words of an item; a shorter item is one window. Words inside any occurrence of a window are
@@ -181,7 +181,7 @@ def decontaminate(
             F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
             F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
             F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-            ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"),
+            ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"), *row,
         )
     )
 

@@ -344,6 +344,14 @@ def test_warc_refuses_a_damaged_payload(spark, tmp_path):
         warc.read_archives(spark, files).collect()
 
 
+def test_pipeline_drops_contaminated_rows_and_no_others(spark):
+    passage = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").filter("size(split(text, ' ')) >= 13").first().text
+    rows = [(None, passage), (None, "clean and without an id"), (1, passage + " x"), (1, "clean under the same id"), (2, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.without_benchmark(spark, docs, SF_DIR)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     rows = {name: None for name, _ in corpus_pipeline.STAGES}
