@@ -17,7 +17,6 @@ from tapeaudit.operators import (
 )
 from tapeaudit.operators.folds import build_folds, fold_violations
 from tapeaudit.sources import readers
-from tapeaudit.streaming import flows
 
 D = dt.date
 
@@ -309,15 +308,3 @@ def test_upsert_is_idempotent_and_unit_gross(spark):
             assert abs(w.abs().sum() - 1) < 1e-9
     s = spark.createDataFrame([("x", D(2020, 1, 1) + dt.timedelta(days=i), 0.01 * (i % 3)) for i in range(40)], "strategy string, dt date, ret double")
     assert perf.perf_stats(s, 5).first().n == 8
-
-
-def test_streamed_hours_come_together_and_repeats_count_once(spark, tmp_path):
-    at = lambda minute: dt.datetime(2024, 1, 2, 10, minute)
-    files = [[(1, at(5), 7.0), (2, at(9), 8.0)], [(3, at(1), 5.0), (4, at(50), 50.0)]]
-    for rows in files:
-        spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    for name in ("a", "b"):
-        s = flows.read_files(spark, f"{tmp_path}/in", "event_id bigint, ts timestamp_ntz, value double", delivery=True)
-        flows.stream_upsert_bars(s.withColumn("symbol", F.lit("X")), f"{tmp_path}/log", f"{tmp_path}/check-{name}")
-        bars = flows.latest_bars(spark, f"{tmp_path}/log").collect()
-        assert [(b.open, b.high, b.low, b.close, b.volume) for b in bars] == [(5.0, 50.0, 5.0, 50.0, 4)]
