@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cut
 from . import bpe
 from .common import hinted
 
 #: Added count per word, and how many observations the single-word model is worth as a prior of the pair model.
 ALPHA, PRIOR = 0.5, 4.0
-#: A pair is frequent when it holds one in so many of all words, so there are no more frequent pairs than that.
-FREQUENT = 500_000
-#: The same for words by the number of different pairs that they are part of.
-COMMON = 50_000
-#: Words that a task counts at once, and characters of text that it scores at once.
+#: Bytes of text in a chunk: a thousandth of the corpus, within these limits (a longer text has a chunk of its own).
+CHUNK_MIN, CHUNK_MAX = 4_000_000, 32_000_000
+#: Words that a task of the first pass counts at once.
 CHUNK = 400_000
 WORD = re.compile(r"\w+")
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
+# What tells a word as such and a word as context from one another and from pairs, arbitrary fixed values.
+AS_WORD, AS_CONTEXT = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 _hashes: bpe.Memory = bpe.Memory(60_000)  # per worker process
 
 
@@ -46,27 +46,20 @@ def pairs(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, both ^ (both >> np.uint64(29))
 
 
-def pair_counts(docs: DataFrame, target: Column, text_col: str = "text") -> DataFrame:
-    """pair, v, w (the two words), t and b: how often each pair of words occurs in the target rows and in all rows.
-
-    Every document is counted and the table grows with the corpus. Tasks send a row per pair and chunk, which are
-    added up before and after the shuffle, so a pair that is everywhere costs a row per task.
-    """
-    source = docs.select(F.col(text_col).cast("string"), F.coalesce(target, F.lit(False)))
+def words_seen(docs: DataFrame) -> DataFrame:
+    """w, t and b: how often each word occurs in the target rows and in all rows, of (text, mine)."""
 
     def counted(found: list[np.ndarray], wanted: list[bool]) -> pa.RecordBatch:
-        v, both = (np.concatenate(x) for x in zip(*map(pairs, found)))
         w = np.concatenate(found)
-        mine = np.repeat(wanted, [len(x) for x in found])
-        name, first, which = np.unique(both, return_index=True, return_inverse=True)
-        t, b = np.bincount(which, mine, len(name)).astype(np.int64), np.bincount(which, minlength=len(name))
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (name, v[first], w[first])), pa.array(t), pa.array(b)], ["pair", "v", "w", "t", "b"])
+        name, which = np.unique(w, return_inverse=True)
+        t = np.bincount(which, np.repeat(wanted, [len(x) for x in found]), len(name)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(t), pa.array(np.bincount(which, minlength=len(name)))], ["w", "t", "b"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         found, wanted, held = [], [], 0
         for part in parts:
             for text, mine in zip(part.column(0), part.column(1).to_pylist()):
-                hashed = tokens(text.as_py() or "")
+                hashed = tokens(text.as_py())
                 if len(hashed):
                     found.append(hashed)
                     wanted.append(mine)
@@ -77,112 +70,153 @@ def pair_counts(docs: DataFrame, target: Column, text_col: str = "text") -> Data
         if found:
             yield counted(found, wanted)
 
-    rows = source.mapInArrow(run, "pair bigint, v bigint, w bigint, t bigint, b bigint")
-    return rows.groupBy("pair", "v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _with_word(rows: DataFrame, key: str, names: tuple[str, str], total: int) -> DataFrame:
-    """`rows` with the counts of their word `key` in both models. Words of more than a 1/COMMON of all pairs, at most
-    COMMON of them, are broadcast; no other word is frequent enough to burden a task."""
-    counts = cut(rows.groupBy(key).agg(F.sum("t").alias(names[0]), F.sum("b").alias(names[1]), F.count(F.lit(1)).alias("__n")))
-    common = F.col("__n") * COMMON >= total
-    hot = F.broadcast(counts.filter(common).drop("__n"))
-    rest = rows.join(F.broadcast(counts.filter(common).select(key)), key, "left_anti").join(counts.filter(~common).drop("__n"), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
-def pair_losses(counts: DataFrame) -> DataFrame:
-    """pair, b, target_loss, background_loss: the negative log probability of a pair's second word after its first.
-
-    Both models have the words of all rows as vocabulary, the same smoothing, and the single-word model as prior of the
-    pair model. The background's counts are scaled to the target's number of words, so that both models
-    give the same weight to what they have not seen. One row of totals comes to the driver.
+    rows = docs.select("text", "mine").mapInArrow(run, "w bigint, t bigint, b bigint")
+    return rows.groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, as many bytes as the largest needs; bytes that are mostly zero compress well."""
+    wide = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([wide]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    wide = blob[0]
+    out = np.zeros(((len(blob) - 1) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(blob, np.uint8, offset=1).reshape(wide, -1).T
+    return out.view("<u8").ravel()
+
+
+class Chunk:
+    """The words of a chunk's documents, and under 64-bit names what is counted of them: each word, each word as the one
+    before, and each pair."""
+
+    def __init__(self, table: pa.Table):
+        # equal rows are one row here, with the number of its copies
+        self.docs = table.group_by(["id", "fp", "text", "mine"], use_threads=False).aggregate([("copies", "sum")])
+        found = [tokens(t.as_py()) for t in self.docs["text"]]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        some = [x for x in found if len(x)]
+        w = np.concatenate(some) if some else np.zeros(0, np.uint64)
+        v, both = (np.concatenate(x) for x in zip(*map(pairs, some))) if some else (w, w)
+        self.copies = np.repeat(self.docs["copies_sum"].to_numpy(), self.sizes)
+        self.mine = np.repeat(self.docs["mine"].to_numpy(), self.sizes)
+        self.length = len(w)
+        seen = np.concatenate([w * AS_WORD, v * AS_CONTEXT, both])
+        self.names, self.which = np.unique(seen ^ (seen >> np.uint64(32)), return_inverse=True)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each name, its occurrences in target rows and in all rows."""
+        every = np.tile(self.copies, 3)
+        t, b = (np.bincount(self.which, x, len(self.names)) for x in (every * np.tile(self.mine, 3), every))
+        return t.astype(np.uint64), b.astype(np.uint64)
+
+    def buckets(self, bits: int) -> np.ndarray:
+        """Where the names of each of 2^bits buckets begin and end."""
+        tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.names, tops), [len(self.names)]])
+
+
+def _counted(bits: int) -> Callable[[pa.Table], pa.Table]:
+    """A chunk's names and counts, a row per bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = Chunk(table)
+        t, b = chunk.counts()
+        at = chunk.buckets(bits)
+        used = np.flatnonzero(np.diff(at)).tolist()
+        cut = [slice(at[k], at[k + 1]) for k in used]
+        blobs = [[pack(np.diff(chunk.names[c], prepend=np.uint64(0))), pack(t[c]), pack(b[c])] for c in cut]
+        columns = [pa.array(used, pa.int64()), pa.array([table["chunk"][0].as_py()] * len(used), pa.int64()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(3))]
+        return pa.table(dict(zip(("bucket", "chunk", "names", "t", "b"), columns)))
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """To each chunk of a bucket the counts of its names in all chunks."""
+    names = [np.cumsum(unpack(x), dtype=np.uint64) for x in table["names"].to_pylist()]
+    ends = np.cumsum([len(x) for x in names])[:-1]
+    known, which = np.unique(np.concatenate(names), return_inverse=True)
+    out = {"chunk": table["chunk"], "bucket": table["bucket"]}
+    for c in ("t", "b"):
+        sums = np.zeros(len(known), np.uint64)
+        np.add.at(sums, which, np.concatenate([unpack(x) for x in table[c].to_pylist()]))
+        out[c] = pa.array([pack(x) for x in np.split(sums[which], ends)], pa.binary())
+    return pa.table(out)
+
+
+def _scored(bits: int, target: float, background: float, vocabulary: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A row per different row of the chunk with its losses per word, given the counts of its names in all chunks."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(table)
+        at = chunk.buckets(bits)
+        doc = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+        losses = []
+        for model, scale in (("t", 1.0), ("b", target / max(background, 1.0))):
+            n = np.zeros(len(chunk.names))
+            for k, blob in zip(answers["bucket"].to_pylist(), answers[model].to_pylist()):
+                n[at[k] : at[k + 1]] = unpack(blob)
+            word, context, pair = (n[chunk.which].reshape(3, chunk.length) * scale) if chunk.length else np.zeros((3, 0))
+            single = (word + ALPHA) / (target + ALPHA * vocabulary)
+            loss = -np.log((pair + PRIOR * single) / (context + PRIOR))
+            losses.append(np.bincount(doc, loss, len(chunk.sizes)) / np.maximum(chunk.sizes, 1))
+        none = chunk.sizes == 0
+        t, b, difference = (pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1]))
+        return pa.table({
+            "id": chunk.docs["id"], "copies": chunk.docs["copies_sum"], "n_tokens": pa.array(chunk.sizes, pa.int64()),
+            "target_loss": t, "background_loss": b, "score": difference,
+        })
+
+    return run
+
+
+def _together(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Rows that are repeated here travel once."""
+    for part in parts:
+        some = pa.Table.from_batches([part]).group_by(part.schema.names, use_threads=False).aggregate([([], "count_all")])
+        yield from some.rename_columns([*part.schema.names, "copies"]).to_batches()
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None
+) -> DataFrame:
+    """Score every document against the documents whose ids `target_ids` lists (its first column): id, n_tokens,
+    target_loss, background_loss and score (their difference per word; low is like the target).
+
+    Both models share vocabulary, order and smoothing, and have the single-word model as prior of the pair model;
+    the target model has the listed documents, the background all. The background's counts are scaled to the
+    target's number of words, so that both models give the same weight to what they have not seen.
+
+    Words, contexts and pairs are counted under 64-bit names, with no limit to their number. Documents are dealt into
+    chunks by hash. A chunk sends each name and its counts once to the name's bucket, sorted and packed; a bucket adds
+    up the chunks and answers each with the counts of the names it sent. So every document is scored where its text is,
+    nothing but counts travels, texts are shuffled once (both uses of them read the same shuffle), and a word that is
+    everywhere costs a chunk one name. The number of words, of target words and of different words is counted in a
+    pass before and comes to the driver as one row. A chunk holds a thousandth of the corpus within CHUNK_MIN and
+    CHUNK_MAX bytes (or `chunk_bytes`), and there are about as many buckets.
+
+    Ids that repeat in `target_ids`, are null or are missing from `docs` change nothing. A null, empty or wordless text has
+    0 tokens and null losses. With no target both models are smoothed alike and say little, but every row has a
+    score. Rows that repeat an id are rows of their own. No rows in, no rows out.
     """
-    counts = cut(counts)
-    all_of = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    vocabulary = max(1, counts.select("w").distinct().count())
-    rows = _with_word(_with_word(counts, "w", ("ut", "ub"), all_of.n), "v", ("ct", "cb"), all_of.n)
-    target = float(all_of.t or 0)
-    out = {}
-    for m, name in (("t", "target_loss"), ("b", "background_loss")):
-        scale = F.lit(target / max(all_of[m] or 0, 1))
-        single = (F.col(f"u{m}") * scale + ALPHA) / (target + ALPHA * vocabulary)
-        out[name] = -F.ln((F.col(m) * scale + PRIOR * single) / (F.col(f"c{m}") * scale + PRIOR))
-    return rows.select("pair", "b", *(x.alias(name) for name, x in out.items()))
-
-
-def score(docs: DataFrame, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, target_loss, background_loss and score (their difference per word; low is like the target).
-
-    The losses of frequent pairs (FREQUENT at most) are broadcast and added up where the text is read. Every
-    other pair of a document becomes a row that meets its loss in a join; none of these pairs has more than
-    a 1/FREQUENT of all words, so no key is hot. The sums per document are taken in a second shuffle.
-    """
-    losses = cut(losses)
-    total = losses.agg(F.sum("b")).first()[0] or 0
-    frequent = F.col("b") * FREQUENT >= total
-    known = losses.filter(frequent).select("pair", "target_loss", "background_loss").toArrow()
-    order = np.argsort(known["pair"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy()[order] for c in known.column_names))
+    wanted = target_ids.select(F.col(target_ids.columns[0]).alias("__target")).filter("__target is not null").distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(hinted(wanted), F.col("id") == F.col("__target"), "left")
+    rows = rows.select("id", F.xxhash64(F.col("id").isNull(), "text").alias("fp"), "text", F.col("__target").isNotNull().alias("mine"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    seen = words_seen(rows).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    chunks = ceil((size + 1) / (chunk_bytes or min(CHUNK_MAX, max(CHUNK_MIN, size // 1000))))
+    bits = (chunks - 1).bit_length()
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).isNull(), text).alias("fp"), text.alias("text"))
-
-    def scored(ids: pa.Array, fps: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        names, ts, bs = shared.value
-        at, pair, n = [np.arange(len(texts))], [fps], [np.zeros(len(texts), np.int64)]
-        base = np.zeros((3, len(texts)))
-        for i, one in enumerate(texts):
-            hashed = tokens(one)
-            if not len(hashed):
-                continue
-            found, times = np.unique(pairs(hashed)[1].view(np.int64), return_counts=True)
-            place = np.minimum(np.searchsorted(names, found), max(len(names) - 1, 0))
-            hit = names[place] == found if len(names) else np.zeros(len(found), bool)
-            base[:, i] = len(hashed), times[hit] @ ts[place[hit]], times[hit] @ bs[place[hit]]
-            at.append(np.full(int((~hit).sum()), i))
-            pair.append(found[~hit])
-            n.append(times[~hit])
-        at = np.concatenate(at)
-        more = np.arange(len(at)) >= len(texts)  # rows of pairs follow the row of each text
-        own = [pa.array(np.resize(x, len(at)) if len(x) else np.zeros(0), mask=more) for x in base]
-        full = pa.StructArray.from_arrays([own[0].cast(pa.int64()), *own[1:]], ["tokens", "t", "b"], mask=pa.array(more))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(fps[at]), pa.array(np.concatenate(pair)), pa.array(np.concatenate(n)), full], ["id", "fp", "pair", "n", "base"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for part in parts:
-            start, fps = 0, part.column(1).to_numpy()
-            for group in bpe.batches((t.as_py() or "" for t in part.column(2)), CHUNK):
-                end = start + len(group)
-                yield scored(part.column(0).slice(start, len(group)), fps[start:end], group)
-                start = end
-
-    rows = source.mapInArrow(run, f"id {kind}, fp bigint, pair bigint, n bigint, base struct<tokens:bigint,t:double,b:double>")
-    rare = losses.filter(~frequent).select("pair", "target_loss", "background_loss")
-    met = rows.join(rare, "pair", "left").select(
-        "id", "fp", F.coalesce("base.tokens", F.lit(0)).alias("tokens"), F.col("base").isNotNull().cast("bigint").alias("copies"),
-        F.coalesce("base.t", F.col("n") * F.col("target_loss")).alias("t"), F.coalesce("base.b", F.col("n") * F.col("background_loss")).alias("b"),
+    dealt = rows.select(F.pmod(F.xxhash64("id", "fp"), F.lit(chunks)).alias("chunk"), "*")
+    apart = dealt.mapInArrow(_together, f"chunk bigint, id {kind}, fp bigint, text string, mine boolean, copies bigint").groupBy("chunk")
+    counts = apart.applyInArrow(_counted(bits), "bucket bigint, chunk bigint, names binary, t binary, b binary")
+    answers = counts.groupBy("bucket").applyInArrow(_added, "chunk bigint, bucket bigint, t binary, b binary")
+    score = _scored(bits, float(seen.t or 0), float(seen.b or 0), max(1, seen.n))
+    out = apart.cogroup(answers.groupBy("chunk")).applyInArrow(
+        score, f"id {kind}, copies bigint, n_tokens bigint, target_loss double, background_loss double, score double"
     )
-    sums = met.groupBy("id", "fp").agg(*(F.sum(c).alias(c) for c in ("tokens", "copies", "t", "b")))
-    # rows that repeat an id and a text were added up together
-    many = sums.withColumn("k", F.explode(F.expr("sequence(0, (copies - 1) div 10000)")))
-    each = many.withColumn("k", F.explode(F.expr("sequence(1, least(10000, copies - k * 10000))")))
-    t, b = (F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")) for c in ("t", "b"))
-    return each.select(
-        F.col("id").alias(id_col), F.expr("tokens div copies").alias("n_tokens"), t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score")
-    )
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every document against the documents whose ids `target_ids` lists (its first column).
-
-    Both models share vocabulary, order and smoothing; the target model has the listed documents, the background all.
-    Words and pairs are counted under 64-bit hashes, with no limit to their number. Ids that repeat or are missing
-    from `docs` change nothing. A null, empty or wordless text has 0 tokens and null losses. With no target both
-    models are smoothed alike and say little, but every row has a score. Rows that repeat an id are rows of
-    their own. No rows in, no rows out.
-    """
-    wanted = target_ids.select(F.col(target_ids.columns[0]).alias("__target")).filter("__target is not null").distinct()
-    marked = docs.select(F.col(id_col), F.col(text_col)).join(hinted(wanted), F.col(id_col) == F.col("__target"), "left")
-    losses = pair_losses(pair_counts(marked, F.col("__target").isNotNull(), text_col))
-    return score(docs, losses, id_col, text_col)
+    each = out.withColumn("copies", F.explode(F.expr("sequence(1L, copies)")))
+    return each.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", "score")

@@ -167,12 +167,10 @@ def test_language_id_ignores_held_out_labels(spark, odd):
     assert {x for _, x in out} <= {"und", "en", "el", "la"}
 
 
-@pytest.mark.parametrize("frequent,common", [(lm_score.FREQUENT, lm_score.COMMON), (4, 3), (1, 1)])
-def test_lm_scores_against_a_direct_count(spark, monkeypatch, frequent, common):
-    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
-    monkeypatch.setattr(lm_score, "COMMON", common)
+@pytest.mark.parametrize("chunk_bytes", [None, 12, 1])
+def test_lm_scores_against_a_direct_count(spark, chunk_bytes):
     rows = [(1, "the cat sat"), (2, "the dog sat down"), (3, "a cat"), (4, ""), (5, "The cat sat")]
-    out = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(1,), (2,), (2,)], "d int")).collect()}
+    out = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(1,), (2,), (2,)], "d int"), chunk_bytes=chunk_bytes).collect()}
     words = {i: re.findall(r"\w+", t.lower()) for i, t in rows}
     counts = []
     for ids in ((1, 2), (1, 2, 3, 4, 5)):
@@ -196,6 +194,35 @@ def test_lm_scores_against_a_direct_count(spark, monkeypatch, frequent, common):
     assert out[4].score is None and out[3].score > out[2].score
 
 
+def test_lm_scores_of_all_documents_against_a_direct_count(spark):
+    """Pairs met once, in target and background, and words that are everywhere, over several chunks."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").filter("quality = 1").collect()}
+    texts = {r.doc_id: re.findall(r"\w+", (r.text or "").lower()) for r in docs.collect()}
+    seen = []
+    for ids in (good & texts.keys(), texts):
+        both = Counter(p for i in ids for p in zip(["<s>", *texts[i]], texts[i]))
+        uni, context = Counter(), Counter()
+        for (v, w), n in both.items():
+            uni[w] += n
+            context[v] += n
+        seen.append((uni, context, both))
+    total, vocabulary = sum(seen[0][0].values()), len(seen[1][0])
+    assert sum(n == 1 for n in seen[1][2].values()) > 100
+    wanted = spark.createDataFrame([(i,) for i in good], "d bigint")
+    for r in lm_score.cross_entropy_difference(docs, wanted, chunk_bytes=50_000).collect():
+        losses = []
+        for uni, context, both in seen:
+            scale = total / sum(uni.values())
+            said = [
+                -math.log((both[p] * scale + lm_score.PRIOR * (uni[p[1]] * scale + lm_score.ALPHA) / (total + lm_score.ALPHA * vocabulary)) / (context[p[0]] * scale + lm_score.PRIOR))
+                for p in zip(["<s>", *texts[r.doc_id]], texts[r.doc_id])
+            ]
+            losses.append(sum(said) / len(said) if said else None)
+        assert r.n_tokens == len(texts[r.doc_id])
+        assert [r.target_loss, r.background_loss] == (pytest.approx(losses) if losses[0] is not None else [None, None])
+
+
 def shingle_bag(text):
     w = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
