@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +26,8 @@ REVISIT_BYTES = 100
 FILE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
 #: Tasks of a reading job; beyond that a task has several ranges.
 MOST_TASKS = 50_000
+#: Record ids: that of a row is percent-encoded; a row without one has none.
+PAGE, NO_PAGE = "urn:page:", "urn:no-page"
 _STEP = 1 << 16
 
 
@@ -43,10 +46,10 @@ def _page_record(page: str | None, url: str | None, payload: str, digest: str, s
     fields = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
-    name = f"urn:page:{'' if page is None else page}"
+    name = NO_PAGE if page is None else PAGE + quote(page, safe="")
     if refers_to is None:
         return _record("response", name, date, fields, http + payload.encode())
-    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{PAGE}{quote(refers_to, safe='')}>")]
     return _record("revisit", name, date, fields, http)
 
 
@@ -135,23 +138,33 @@ class _Window:
             if start >= end or not self.more():
                 return -1
 
-    def member(self, at: int) -> tuple[bytes, int] | None:
-        """The record in the member that starts at `at`, and where the next begins; None if no WARC record starts here."""
+    def member(self, at: int, whole: bool = True) -> tuple[bytes, int] | None:
+        """The record in the member that starts at `at`, and where the next begins; None if no WARC record starts here.
+
+        Once the version line was seen, a member that can't be decoded, or has no end, is an error. With
+        whole=False the version line is all that is looked at.
+        """
         z, out, pos, known = zlib.decompressobj(31), bytearray(), at, False
         while not z.eof:
             while pos - self.base >= len(self.data):
                 if not self.more():
+                    if known:
+                        raise ValueError(f"the record at {at} is cut off")
                     return None
             step = self.data[pos - self.base : pos - self.base + _STEP]
             try:
                 out += z.decompress(step)
-            except zlib.error:
+            except zlib.error as e:
+                if known:
+                    raise ValueError(f"the record at {at} is damaged") from e
                 return None
             pos += len(step)
             if not known and len(out) >= 7:
                 if not out.startswith(b"WARC/1."):
                     return None
                 known = True
+                if not whole:
+                    return bytes(out), pos
         return (bytes(out), pos - len(z.unused_data)) if known else None
 
 
@@ -160,20 +173,30 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[s
 
     The magic also turns up inside compressed data, so each find must decode to a WARC version line. (An
     archive stored uncompressed inside a record is the one thing this can't tell apart.)
+
+    Records follow one another without a gap from the first byte to the last. Whoever reads a record makes sure that
+    the next one begins where it ends, whoever owns that one, so a damaged record is an error wherever it is.
     """
     window, at = _Window(file, size, start), start
-    while (at := window.find(at, end)) >= 0:
-        found = window.member(at)
-        if found is None:
-            at += 1
-            continue
+    at = window.find(at, end)
+    while at >= 0 and (found := window.member(at)) is None:
+        at = window.find(at + 1, end)
+    headless = start == 0 and at != 0 and size > 0
+    while at >= 0:
         raw, after = found
         head, _, rest = raw.partition(b"\r\n\r\n")
         pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
         fields = {k.strip().lower(): v.strip() for k, _, v in pairs}
         yield at, fields, rest[: int(fields.get("content-length", len(rest)))]
-        at = after
-        window.drop(at)
+        if after >= size:
+            break
+        window.drop(after)
+        found = window.member(after, whole=after < end)
+        if found is None:
+            raise ValueError(f"no record begins at {after}, where one ends")
+        at = after if after < end else -1
+    if headless:
+        raise ValueError("no record begins at 0")
 
 
 def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -182,7 +205,7 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
 
     A task reads ranges of `range_bytes`, whatever the files' sizes. It looks for gzip magic, checks candidates by
     decoding them, and owns the records that start inside its range. A payload that doesn't have its recorded
-    digest, or a cut-off record, is an error.
+    digest, a damaged or cut-off record and bytes between records are errors (see `records`): nothing is skipped.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
     ranges = files.filter("length > 0").select("path", "length", starts.alias("start"))
@@ -213,7 +236,8 @@ def _row(path: str, at: int, fields: dict[str, str], block: bytes) -> dict:
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     http = dict(x.lower().split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
     size = int(http.get("content-length", len(payload)))
-    page, to = (fields.get(k, "").strip("<>").removeprefix("urn:page:") or None for k in ("warc-record-id", "warc-refers-to"))
+    names = (fields.get(k, "").removeprefix("<").removesuffix(">") for k in ("warc-record-id", "warc-refers-to"))
+    page, to = (unquote(n.removeprefix(PAGE)) if n.startswith(PAGE) else None for n in names)
     new = fields["warc-type"] == "response"
     if new and (len(payload) != size or sha256(payload).hexdigest() != digest):
         raise ValueError(f"{path} at {at}: the payload doesn't have its recorded length or digest")

@@ -414,3 +414,32 @@ def test_pipeline_stages_against_brute_force(spark):
     lib = Tokenizer.from_file(BYTE)
     assert {i: r["n_tokens"] for i, r in after.items()} == {i: len(lib.encode(r["text"], add_special_tokens=False).ids) for i, r in before.items()}
     assert sorted(map(str, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(str, at.collect()))
+
+
+@pytest.mark.parametrize("range_bytes", [64, 700, 1 << 20])
+def test_warc_damage_is_an_error_wherever_it_is(spark, tmp_path, range_bytes):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, f"u{i}", "".join(rng.choice("abcdef ") for _ in range(150))) for i in range(6)], "page_id int, url string, html string")
+    (file,) = warc.write_archives(df.coalesce(1), str(tmp_path / "w")).collect()
+    whole = pa.fs.LocalFileSystem().open_input_file(file.path.removeprefix("file:")).readall()
+    starts = [m.start() for m in re.finditer(re.escape(warc.MAGIC), whole)]
+
+    def read(data):
+        ranges = [(at, min(at + range_bytes, len(whole))) for at in range(0, len(whole), range_bytes)]
+        return [r for a, b in ranges for r in warc.records(pa.BufferReader(data), len(whole), a, b)]
+
+    assert len(read(whole)) == 7
+    for at in {0, 1, starts[1], starts[3] + 2, starts[3] + 40, starts[-1] + 60, len(whole) - 3}:
+        with pytest.raises(ValueError):
+            read(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :])
+    for cut in (starts[-1], starts[-1] + 5, starts[-1] + 80, len(whole) - 1):
+        with pytest.raises(ValueError):
+            read(whole[:cut])
+
+
+def test_warc_text_ids_come_back(spark):
+    ids = ["", "<q>", "a b", "é%41", None, "urn:page:x", "ü\n"]
+    df = spark.createDataFrame([(i, "u", "x" * 200) for i in ids], "page_id string, url string, html string")
+    rows = warc.round_trip(df).collect()
+    assert Counter(r.page_id for r in rows) == Counter(ids)
+    assert [r.page_id for r in rows if r.record_type == "response"] == [""] and all(r.refers_to == "" for r in rows if r.record_type == "revisit")
