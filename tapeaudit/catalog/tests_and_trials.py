@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import cut, norm_cdf, norm_ppf
+from ..functions.lineage import shared_dir
 from ..functions import normal
 from ..operators import audit, features, inference, labels, signals, trials
 from ..operators.calendar import index_bars, trading_calendar
+from ..operators.ledger import Ledger
 from ..sources import panels
 from .base import CTES, query, r, rounded
 from .history import ALL_RULES
@@ -341,6 +345,21 @@ def chain_append(d):
     return trials.chain_append(segments(d), ["chain"], "seq")
 
 
+#: The log is appended in so many batches, each of which goes on with every chain.
+BATCHES = 3
+
+
+@query("ledger_append", "SELECT chain, seq, payload, prev_hash, entry_hash, CAST(NULL AS VARCHAR) AS fault FROM x_chain")
+def ledger_append(d):
+    """Segments appended batch by batch to a stored ledger, one batch twice, verify as one chain each."""
+    stored = Ledger(d.spark, f"{shared_dir(d.spark)}/ledger-{uuid.uuid4().hex}", {"chain": "bigint"})
+    e = segments(d)
+    for k in (0, 1, 1, 2):
+        stored.append(e.filter(F.floor(F.col("seq") * BATCHES / 50) == k), "seq", f"batch-{k}")
+    checked = trials.chain_check(stored.entries(), ["chain"])
+    return checked.select("chain", "seq", "payload", "prev_hash", "entry_hash", "fault")
+
+
 def tampered(d):
     """Some segments edited, some with an entry removed, some reordered."""
     c = trials.chain_append(segments(d), ["chain"], "seq")
@@ -355,8 +374,8 @@ CTES["x_tamper"] = """
 SELECT chain, CASE WHEN chain%7=3 AND seq=30 THEN 31 WHEN chain%7=3 AND seq=31 THEN 30 ELSE seq END AS seq,
  CASE WHEN chain%7=1 AND seq=10 THEN payload||'!' ELSE payload END AS payload, prev_hash, entry_hash FROM x_chain WHERE NOT (chain%7=2 AND seq=20)"""
 CTES["x_check"] = """
-SELECT chain, seq, CASE WHEN prev_hash IS DISTINCT FROM CASE WHEN seq=first THEN repeat('0',64) ELSE was END THEN 'link to the preceding entry is broken'
-  WHEN sha256(prev_hash||payload)<>entry_hash THEN 'entry was modified after it was written' END AS fault FROM (
+SELECT chain, seq, CASE WHEN prev_hash IS DISTINCT FROM CASE WHEN seq=first THEN repeat('0',64) ELSE was END THEN 'prev_hash mismatch'
+  WHEN sha256(prev_hash||payload)<>entry_hash THEN 'entry_hash mismatch' END AS fault FROM (
 SELECT t.*, w.entry_hash AS was, min(t.seq) OVER (PARTITION BY t.chain) AS first FROM x_tamper t LEFT JOIN x_tamper w ON w.chain=t.chain AND w.seq=t.seq-1)"""
 
 

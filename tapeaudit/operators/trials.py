@@ -5,40 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
+from .ledger import GENESIS, chain_fold
 
 
 # ------------------------------------------------------------------- hash chain
-def canonical(*cols: str) -> Column:
-    """JSON of the named columns with sorted keys and no spaces."""
-    return F.to_json(F.struct(*sorted(cols)))
+def chain_append(entries: DataFrame, by, order: str, payload: str = "payload", heads: DataFrame | None = None) -> DataFrame:
+    """Chain entries in order inside each `by`, from the chain's head in `heads` (by, seq, entry_hash) if it has one.
 
-
-def chain_append(entries: DataFrame, by, order: str, payload: str = "payload", prev: str = GENESIS) -> DataFrame:
-    """Chain entries in order inside each `by`: a ledger segment of limited length.
-
-    Hash chaining is sequential by nature, so a segment must be short (one append
-    batch); segments are independent and run in parallel.  `prev` starts each one.
+    `ledger.Ledger` keeps the heads between batches; see `ledger.chain_fold`.
     """
     by = list(by)
-    body = F.sort_array(F.collect_list(F.struct(order, payload)))
-    g = entries.groupBy(*by).agg(body.alias("_e"))
-    zero = F.array().cast("array<struct<prev_hash:string,entry_hash:string>>")
-
-    def step(acc, x):
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["entry_hash"], F.lit(prev))
-        mine = F.sha2(F.concat(before, x[payload]), 256)
-        return F.concat(acc, F.array(F.struct(before.alias("prev_hash"), mine.alias("entry_hash"))))
-
-    g = g.withColumn("_h", F.aggregate("_e", zero, step))
-    z = F.explode(F.arrays_zip("_e", "_h")).alias("z")
-    return g.select(*by, z).select(
-        *by, F.col(f"z._e.{order}").alias(order), F.col(f"z._e.{payload}").alias(payload),
-        F.col("z._h.prev_hash").alias("prev_hash"), F.col("z._h.entry_hash").alias("entry_hash"),
-    )
+    return chain_fold(entries, by, order, payload, heads).select(*by, order, payload, "prev_hash", "entry_hash")
 
 
-LINK, BODY = "link to the preceding entry is broken", "entry was modified after it was written"
+#: What can be wrong with an entry: it does not point at the one before, or its own hash does not fit.
+LINK, BODY = "prev_hash mismatch", "entry_hash mismatch"
 
 
 def chain_check(ledger: DataFrame, by, order: str = "seq", payload: str = "payload", prev: str = GENESIS) -> DataFrame:
@@ -53,7 +34,7 @@ def chain_check(ledger: DataFrame, by, order: str = "seq", payload: str = "paylo
     d = ledger.join(before, [*by, order], "left").join(start, by)
     expect = F.when(F.col(order) == F.col("_first"), F.lit(prev)).otherwise(F.col("_was"))
     link = ~F.col("prev_hash").eqNullSafe(expect)
-    body = ~F.sha2(F.concat(F.coalesce("prev_hash", F.lit("")), F.col(payload)), 256).eqNullSafe(F.col("entry_hash"))
+    body = ~F.sha2(F.concat(F.coalesce("prev_hash", F.lit("")), F.coalesce(payload, F.lit("null"))), 256).eqNullSafe(F.col("entry_hash"))
     return d.withColumn("fault", F.when(link, LINK).when(body, BODY)).drop("_was", "_first")
 
 

@@ -20,8 +20,9 @@ class BarRules(StatefulProcessor):
     """State of a symbol: its last final bar, and the bars that are not final yet.
 
     A bar is final when the watermark has passed its session. Then the symbol's timer fires, final bars are judged in
-    session order against the one before, and the last of them is kept for the next time. Of bars of one
-    session the one that arrived last counts.
+    session order against the one before, and the last of them is kept for the next time. Of bars of one session the
+    one that arrived last counts. A symbol has one timer per micro-batch, not one per bar, and its waiting bars are
+    read and written together.
     """
 
     def __init__(self, limit: float = EXTREME_MOVE, days: int = GAP_DAYS):
@@ -29,39 +30,49 @@ class BarRules(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day int", BAR)
+        self.waiting = handle.getListState("waiting", BAR)
         self.last = handle.getValueState("last", "day int, adj_close double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is not None:
-            for part in rows:
-                for bar in part[["day", "open", "high", "low", "close", "adj_close", "volume"]].itertuples(index=False):
-                    self.waiting.updateValue((int(bar.day),), (int(bar.day), *map(float, bar[1:6]), int(bar.volume)))
-                    self.handle.registerTimer(int(bar.day) * DAY_MS + 1)  # the watermark is beyond the session
+            new = [
+                (int(bar[0]), *map(float, bar[1:6]), int(bar[6]))
+                for part in rows for bar in part[["day", "open", "high", "low", "close", "adj_close", "volume"]].itertuples(index=False, name=None)
+            ]
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] * DAY_MS + 1)  # the watermark is beyond the session
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # timers fire in order of time, one for each waiting session
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS
-        if not self.waiting.containsKey((day,)):
-            yield pd.DataFrame()
-            return
-        _, o, h, lo, c, adj, volume = self.waiting.getValue((day,))
-        self.waiting.removeKey((day,))
-        before = self.last.get()
-        self.last.update((day, adj))
+        bars = {bar[0]: bar for bar in self.waiting.get()} if self.waiting.exists() else {}
+        final = sorted(d for d in bars if d * DAY_MS < timerValues.getCurrentWatermarkInMs())
         out = []
+        if final:
+            before = self.last.get() if self.last.exists() else None
+            for day in final:
+                bar = bars.pop(day)
+                out += [(key[0], day, *x) for x in self.judged(bar, before)]
+                before = day, bar[5]
+            self.last.update(before)
+            self.waiting.clear()
+            if bars:
+                self.waiting.put(list(bars.values()))
+                self.handle.registerTimer(min(bars) * DAY_MS + 1)
+        yield pd.DataFrame(out, columns=["symbol", "day", "severity", "issue", "detail"])
+
+    def judged(self, bar: tuple, before: tuple | None) -> Iterator[tuple[str, str, float]]:
+        """Issues of a bar, given the (day, adj_close) before it."""
+        day, o, h, lo, c, adj, volume = bar
         if h < lo or h < o or h < c or lo > o or lo > c:
-            out.append(("error", "ohlc_ordering", h - lo))
+            yield "error", "ohlc_ordering", h - lo
         if volume == 0:
-            out.append(("warn", "zero_volume", 0.0))
+            yield "warn", "zero_volume", 0.0
         if before is not None:
             was, price = before
             if price > 0 and abs(adj / price - 1.0) > self.limit:
-                out.append(("warn", "extreme_move", adj / price - 1.0))
+                yield "warn", "extreme_move", adj / price - 1.0
             if day - was > self.days:
-                out.append(("warn", "calendar_gap", float(day - was)))
-        yield pd.DataFrame([(key[0], day, *x) for x in out], columns=["symbol", "day", "severity", "issue", "detail"])
+                yield "warn", "calendar_gap", float(day - was)
 
     def close(self) -> None:
         pass
