@@ -17,7 +17,7 @@ from .base import CTES, query, r, rounded
 from .history import ALL_RULES
 from .outcomes import predictions, series
 
-REPS, BLOCK = 100, 10
+REPS, BLOCK = 5000, 10
 
 
 def draws_sql(sizes: str, keys: str, block: str, reps: int) -> str:
@@ -37,10 +37,17 @@ CTES["x_seri"] = "SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY dt
 CTES["x_drw"] = draws_sql("SELECT DISTINCT n FROM x_seri", "", str(float(BLOCK)), REPS)
 
 
-@query("stationary_bootstrap", "SELECT CAST(rep AS INTEGER) AS rep, t, pos, n AS n_obs FROM x_drw")
+@query(
+    "stationary_bootstrap",
+    "SELECT CAST(rep AS INTEGER) AS rep, n AS n_obs, CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(sum(pos*(t+1)%1009) AS BIGINT) AS pos_hash FROM x_drw GROUP BY 1, 2",
+)
 def stationary_bootstrap(d):
+    """All draws of all replicates, summed up per replicate in and out of order."""
     s = inference.indexed(series(d).filter("ret is not null"), ["strategy"]).select("n_obs").distinct()
-    return inference.stationary_draws(s, ["n_obs"], REPS, BLOCK).select("rep", "t", "pos", "n_obs")
+    draws = inference.stationary_draws(s, ["n_obs"], REPS, BLOCK)
+    return draws.groupBy("rep", "n_obs").agg(
+        F.sum("pos").alias("pos_sum"), F.sum(F.col("pos") * (F.col("t") + 1) % 1009).alias("pos_hash")
+    )
 
 
 CTES["x_bm"] = "SELECT s.strategy, d.rep, avg(s.ret) AS boot FROM x_seri s JOIN x_drw d ON d.n=s.n AND d.pos=s.pos GROUP BY 1, 2"
@@ -212,7 +219,7 @@ def rule_returns(d):
     return rounded(t.groupBy("signal", "horizon", "dt").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret")))
 
 
-ZREPS = 10
+ZREPS = 2000
 CTES["x_per"] = "SELECT *, (row_number() OVER (PARTITION BY signal, horizon ORDER BY dt)-1)%horizon=0 AS k FROM (SELECT signal, horizon, dt, avg(ret) AS ret FROM x_rule GROUP BY 1, 2, 3)"
 CTES["x_zs"] = """
 SELECT a.signal, a.horizon, a.trades, a.hit, b.dates, b.nn, CASE WHEN a.trades>=50 AND b.dates>=30 AND b.nn>2 THEN b.m/b.s*sqrt(252/b.horizon) END AS sharpe FROM
@@ -221,11 +228,18 @@ SELECT a.signal, a.horizon, a.trades, a.hit, b.dates, b.nn, CASE WHEN a.trades>=
 CTES["x_zex"] = """
 SELECT *, row_number() OVER (PARTITION BY signal, horizon ORDER BY dt)-1 AS pos, count(*) OVER (PARTITION BY signal, horizon) AS n, avg(ret) OVER (PARTITION BY signal, horizon) AS m FROM (
 SELECT p.signal, p.horizon, p.dt, p.ret-b.bench AS ret FROM x_per p JOIN x_avg b ON b.horizon=p.horizon AND b.dt=p.dt JOIN x_zs z ON z.signal=p.signal AND z.horizon=p.horizon WHERE z.trades>=50 AND z.dates>=30)"""
-CTES["x_zd"] = draws_sql("SELECT DISTINCT horizon, n FROM x_zex WHERE n>=30", "horizon", "greatest(2,2*horizon)", ZREPS)
-CTES["x_zh"] = "SELECT horizon, n, rep, pos, count(*) AS c FROM x_zd GROUP BY ALL"
+CTES["x_zb"] = f"""
+SELECT horizon, rep, t, ('0x'||substr(md5('start-'||rep||'-'||t),1,8))::BIGINT/4294967296.0e0 AS u, lead(t) OVER (PARTITION BY horizon, rep ORDER BY t) AS nxt FROM (
+ SELECT horizon, rep, t FROM (SELECT horizon, max(n) AS n FROM x_zex GROUP BY 1), unnest(range(0,{ZREPS})) AS a(rep), unnest(range(0,n)) AS b(t)
+ WHERE t=0 OR ('0x'||substr(md5('cut-'||rep||'-'||t),1,8))::BIGINT/4294967296.0e0 < 1.0e0/greatest(2,2*horizon))"""
+CTES["x_zc"] = """
+SELECT signal, horizon, n, m, list_transform(range(0,2*n+1), lambda i: CASE WHEN i<=n THEN coalesce(c[i],0) ELSE c[n]+c[i-n] END) AS c FROM (
+ SELECT signal, horizon, any_value(n) AS n, any_value(m) AS m, list(c ORDER BY pos) AS c FROM (
+  SELECT signal, horizon, pos, n, m, sum(ret-m) OVER (PARTITION BY signal, horizon ORDER BY pos) AS c FROM x_zex WHERE n>=30) GROUP BY 1, 2)"""
 CTES["x_zp"] = """
 SELECT signal, horizon, m AS excess, avg(CASE WHEN abs(boot)>=abs(m) THEN 1 ELSE 0 END) AS p FROM (
- SELECT s.signal, s.horizon, any_value(s.m) AS m, d.rep, sum((s.ret-s.m)*d.c)/any_value(s.n) AS boot FROM x_zex s JOIN x_zh d ON d.horizon=s.horizon AND d.n=s.n AND d.pos=s.pos GROUP BY s.signal, s.horizon, d.rep) GROUP BY 1, 2, 3"""
+ SELECT signal, horizon, any_value(m) AS m, rep, sum(c[CAST(floor(u*n) AS BIGINT)+least(coalesce(nxt,n),n)-t+1]-c[CAST(floor(u*n) AS BIGINT)+1])/any_value(n) AS boot
+ FROM x_zc JOIN x_zb USING (horizon) WHERE t<n GROUP BY signal, horizon, rep) GROUP BY 1, 2, 3"""
 CTES["x_zoo"] = """SELECT z.signal, z.horizon, z.trades, z.dates, z.nn AS n_nonoverlap, z.sharpe, p.excess, p.p, CASE WHEN z.trades>=50 AND z.dates>=30 THEN z.hit END AS hit_rate FROM x_zs z LEFT JOIN x_zp p ON p.signal=z.signal AND p.horizon=z.horizon"""
 
 

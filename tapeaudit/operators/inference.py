@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TRADING_DAYS
-from ..functions import cut, norm_cdf, norm_ppf, uniform
+from ..functions import below, bound, cut, norm_cdf, norm_ppf, uniform
 from . import perf, ranking
 
 EULER = 0.5772156649015329
@@ -35,7 +35,7 @@ def stationary_draws(sizes: DataFrame, by, reps: int, mean_block: float, n: str
     d = sizes.select(*by, F.col(n).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     d = d.repartition(*by, "rep")
     d = d.withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    new = (F.col("t") == 0) | (uniform(F.lit("cut"), "rep", "t") < 1.0 / mean_block)
+    new = (F.col("t") == 0) | below(bound(F.lit(1.0 / mean_block)), F.lit("cut"), "rep", "t")
     start = F.floor(uniform(F.lit("start"), "rep", "t") * F.col("_n"))
     w = Window.partitionBy(*by, "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     block = F.last(F.when(new, F.struct("t", start.alias("s"))), ignorenulls=True).over(w)
@@ -43,14 +43,55 @@ def stationary_draws(sizes: DataFrame, by, reps: int, mean_block: float, n: str
     return d.select(*by, "rep", "t", ((F.col("_b.s") + F.col("t") - F.col("_b.t")) % F.col("_n")).alias("pos"))
 
 
-def boot_means(series: DataFrame, reps: int, mean_block: float, by=("strategy",), ret: str = "ret") -> DataFrame:
-    """(by..., rep, boot): mean of each resample."""
+#: Series are broadcast to the blocks up to so many bytes; beyond that they meet in SALTS groups of replicates.
+SERIES_BYTES, SALTS = 64 << 20, 64
+
+
+def resample_blocks(lengths: DataFrame, reps: int) -> DataFrame:
+    """(block, rep, t, u, next): the blocks of `reps` stationary resamples, per mean block length `block`.
+
+    `lengths` has block and most, the longest series that is resampled with it. A block begins at step t and ends
+    before step next (null for the last); u places it in a series of any length. These are the blocks of
+    `stationary_draws`: one row for about `block` draws, whatever the number of series.
+    """
+    d = lengths.select("block", bound(1.0 / F.col("block")).alias("p"), "most", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("block", "rep")
+    d = d.select("block", "p", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") - 1)).alias("t"))
+    starts = d.filter((F.col("t") == 0) | below(F.col("p"), F.lit("cut"), "rep", "t"))
+    after = F.lead("t").over(Window.partitionBy("block", "rep").orderBy("t"))
+    return starts.select("block", "rep", "t", uniform(F.lit("start"), "rep", "t").alias("u"), after.alias("next"))
+
+
+def resampled_means(series: DataFrame, reps: int, block: Column, by, ret: str = "ret") -> DataFrame:
+    """(by..., rep, boot): the mean of each resample of each series; series of one block length and size are resampled
+    jointly. `block` is the mean block length, from the columns `by`.
+
+    A block's sum is the difference of two prefix sums, so a replicate costs its blocks, not its draws.
+    """
     by = list(by)
     s = indexed(series.filter(F.col(ret).isNotNull()), by)
-    draws = stationary_draws(s.select(*by, "n_obs").distinct(), by, reps, mean_block)
-    return (
-        draws.join(s.select(*by, "pos", ret), [*by, "pos"]).groupBy(*by, "rep").agg(F.avg(ret).alias("boot"))
-    )
+    upto = F.sum(ret).over(Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    sums = s.select(*by, "n_obs", F.struct("pos", upto.alias("v")).alias("p")).groupBy(*by, "n_obs").agg(F.sort_array(F.collect_list("p"))["v"].alias("sums"))
+    sums = cut(sums.select(*by, "n_obs", F.concat(F.array(F.lit(0.0)), "sums").alias("sums"), block.cast("double").alias("block")))
+    size = sums.agg(F.sum(8 * F.col("n_obs"))).first()[0] or 0
+    blocks = resample_blocks(sums.groupBy("block").agg(F.max("n_obs").alias("most")), reps)
+    if size <= SERIES_BYTES:
+        met = blocks.join(F.broadcast(sums), "block")
+    else:
+        salted = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = blocks.withColumn("_salt", F.col("rep") % SALTS).join(salted, ["block", "_salt"])
+    n = F.col("n_obs")
+    met = met.filter(F.col("t") < n).withColumns({
+        "a": F.floor(F.col("u") * n).cast("int"), "b": (F.floor(F.col("u") * n) + F.least(F.coalesce("next", n), n) - F.col("t")).cast("int"),
+    })
+    at = lambda i: F.get("sums", i)
+    wrapped = at(n.cast("int")) - at(F.col("a")) + at(F.col("b") - n.cast("int"))
+    part = F.when(F.col("b") <= n, at(F.col("b")) - at(F.col("a"))).otherwise(wrapped)
+    return met.groupBy(*by, "rep").agg((F.sum(part) / F.first("n_obs")).alias("boot"))
+
+
+def boot_means(series: DataFrame, reps: int, mean_block: float, by=("strategy",), ret: str = "ret") -> DataFrame:
+    """(by..., rep, boot): mean of each resample."""
+    return resampled_means(series, reps, F.lit(float(mean_block)), by, ret)
 
 
 def boot_mean_ci(
@@ -87,14 +128,11 @@ def reality_check(series: DataFrame, baseline: str, reps: int = 5000, mean_block
     """Null distribution of the best excess over all strategies, resampled jointly by date."""
     d = cut(excess_over(perf.align_common_dates(cut(series)), baseline))
     mean = d.groupBy("strategy").agg(F.avg("ret").alias("_m"))
-    d = indexed(d, ["strategy"]).join(mean, "strategy").withColumn("c", F.col("ret") - F.col("_m"))
-    draws = stationary_draws(
-        d.select("n_obs").distinct().withColumn("_all", F.lit(0)), ["_all"], reps, mean_block
-    ).drop("_all")
-    boot = draws.join(d.select("strategy", "pos", "c"), "pos").groupBy("rep", "strategy").agg(F.avg("c").alias("b"))
+    d = cut(d.join(mean, "strategy").withColumn("c", F.col("ret") - F.col("_m")))
+    boot = boot_means(d, reps, mean_block, ret="c").withColumnRenamed("boot", "b")
     best = boot.groupBy("rep").agg(F.max("b").alias("b")).withColumn("_j", F.lit(1))
     obs = mean.agg(F.max("_m").alias("best_excess"), F.count(F.lit(1)).alias("n_strategies")).withColumn("_j", F.lit(1))
-    size = d.agg(F.max("n_obs").alias("n_dates")).withColumn("_j", F.lit(1))
+    size = d.groupBy("strategy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n_dates")).withColumn("_j", F.lit(1))
     j = best.join(obs, "_j").join(size, "_j")
     return j.groupBy("best_excess", "n_strategies", "n_dates").agg(
         F.avg((F.col("b") >= F.col("best_excess")).cast("int")).alias("reality_check_p"),
@@ -288,23 +326,10 @@ def zoo_eval(
 
 
 def _zoo_boot(excess: DataFrame, by, reps: int) -> DataFrame:
-    s = indexed(excess, by)
-    mean = s.groupBy(*by).agg(F.avg("ret").alias("excess"), F.max("n_obs").alias("n_obs")).filter("n_obs >= 30")
-    # the mean block is twice the horizon: draw per horizon and length, shared by the rules that fit
-    sizes = mean.select("horizon", "n_obs").distinct()
-    d = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("horizon", "n_obs", "rep")
-    d = d.withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_obs") - 1)))
-    new = (F.col("t") == 0) | (uniform(F.lit("cut"), "rep", "t") < 1.0 / F.greatest(F.lit(2), 2 * F.col("horizon")))
-    start = F.floor(uniform(F.lit("start"), "rep", "t") * F.col("n_obs"))
-    w = Window.partitionBy("horizon", "n_obs", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_b", F.last(F.when(new, F.struct("t", start.alias("s"))), ignorenulls=True).over(w))
-    d = d.select("horizon", "n_obs", "rep", ((F.col("_b.s") + F.col("t") - F.col("_b.t")) % F.col("n_obs")).alias("pos"))
-    # how often each position is drawn, then one weighted mean per replicate
-    hits = d.groupBy("horizon", "n_obs", "rep", "pos").agg(F.count(F.lit(1)).alias("_c"))
-    b = s.join(mean.select(*by, "excess"), by).join(hits, ["horizon", "n_obs", "pos"])
-    b = b.groupBy(*by, "rep").agg(
-        (F.sum((F.col("ret") - F.col("excess")) * F.col("_c")) / F.max("n_obs")).alias("boot"), F.first("excess").alias("excess")
-    )
+    mean = excess.groupBy(*by).agg(F.avg("ret").alias("excess"), F.count(F.lit(1)).alias("n")).filter("n >= 30").drop("n")
+    centred = excess.join(mean, by).withColumn("ret", F.col("ret") - F.col("excess"))
+    # the mean block is twice the horizon; rules of one horizon and length share their draws
+    b = resampled_means(centred, reps, F.greatest(F.lit(2), 2 * F.col("horizon")), by).join(mean, by)
     return b.groupBy(*by).agg(
         F.first("excess").alias("excess"), F.avg((F.abs("boot") >= F.abs("excess")).cast("int")).alias("p")
     )
