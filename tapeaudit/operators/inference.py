@@ -149,13 +149,13 @@ def p_adjust(tests: DataFrame, p: str = "p_raw", key: str = "strategy", alpha: f
     t = tests.filter(F.col(p).isNotNull()).withColumn("_all", F.lit(1))
     v = ranking.value_counts(t, ["_all"], p)
     bh = F.col(p) * F.col("n") / (F.col("less") + F.col("ties"))
-    v = v.withColumn("_bh", bh).withColumn("_bin", ranking.value_bin(F.col(p)))
-    # running minimum over bins above, then inside the bin
-    bins = v.groupBy("_bin").agg(F.min("_bh").alias("_mb"))
-    up = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("_bin", F.min("_mb").over(up).alias("_above"))
-    inside = Window.partitionBy("_bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.join(bins, "_bin").withColumn(
+    v = ranking.in_pieces(v.withColumn("_bh", bh), [p])
+    # running minimum over the pieces above, then inside the piece
+    pieces = v.groupBy("_piece").agg(F.min("_bh").alias("_mb"))
+    up = Window.orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_piece", F.min("_mb").over(up).alias("_above"))
+    inside = Window.partitionBy("_piece").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    v = v.join(pieces, "_piece").withColumn(
         "_q", F.least(F.min("_bh").over(inside), F.coalesce("_above", F.lit(1.0)), F.lit(1.0))
     )
     d = t.join(v.select(p, "n", "_q"), p)

@@ -167,7 +167,7 @@ def model_eval(pred: DataFrame, horizon: int = 5, by=("model_name", "fold_id"),
     base = base.withColumn("accuracy_lift", F.col("accuracy") - major)
     base = base.withColumn("top_n", F.greatest(F.lit(1), F.floor(F.col("n") * share)).cast("bigint"))
     d = pred.withColumn("_v", -p).withColumn("_tie", F.concat_ws("|", "dt", "symbol"))
-    d = ranking.row_numbers(d, by, "_v", "_tie", "_r", width=width, prefix=8)
+    d = ranking.row_numbers(d, by, "_v", "_tie", "_r", width=width)
     d = ranking.join_on(d, base.select(*by, "top_n"), by).filter(F.col("_r") <= F.col("top_n"))
     per = d.groupBy(*by, "dt").agg(
         F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("size"), F.sum("ret").alias("_s"),

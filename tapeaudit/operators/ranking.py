@@ -3,12 +3,16 @@
 A window over a date puts that whole date into one task.  That is fine while the
 cross-section is known to be narrow, so the callers pass `width`, an upper bound
 on the rows of one group (for example the number of listed symbols).  Without a
-bound, or beyond MAX_GROUP, the ranks are put together from counts:
+bound, or beyond MAX_GROUP, the ranks are put together from ordered pieces:
 
-1. rows are reduced to (group, value, count), so ties of any size cost one row;
-2. values fall into ordered bins computed from the value alone, and a running
-   count over the few thousand bins of a group gives each bin its offset;
-3. only the values of one bin are ordered inside a task.
+1. rows are dealt by sampled ranges of (group, value), and of the tie-breaker where
+   there is one, so a piece has about as many rows as any other, however the values
+   lie: close together, far apart or, with a tie-breaker, all equal;
+2. a running count over the pieces of a group gives each piece its offset;
+3. only the rows of one piece are ordered inside a task.
+
+Where ties share a rank, rows are first reduced to (group, value, count), so ties of any
+size cost one row.
 """
 
 from __future__ import annotations
@@ -21,9 +25,6 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 MAX_GROUP = 1_000_000
-HEAVY_TIE = 1_000_000
-BINS_PER_OCTAVE = 64
-OCTAVES = 40
 
 
 def _same(a: DataFrame, b: DataFrame, keys) -> Column:
@@ -40,18 +41,15 @@ def join_on(a: DataFrame, b: DataFrame, keys, how="left") -> DataFrame:
     return out.drop(*["_k_" + k for k in keys])
 
 
-def value_bin(v: Column) -> Column:
-    """Bin number that never decreases when v grows: signed logarithmic steps."""
-    lim = BINS_PER_OCTAVE * OCTAVES
-    step = F.floor(F.log2(F.abs(v)) * BINS_PER_OCTAVE)
-    mag = F.greatest(F.least(step, F.lit(lim)), F.lit(-lim)) + lim + 1
-    return (
-        F.when(v.isNull(), F.lit(-(2 * lim + 2)))
-        .when(v == 0, F.lit(0))
-        .when(v > 0, mag)
-        .otherwise(-mag)
-        .cast("int")
-    )
+def in_pieces(df: DataFrame, order) -> DataFrame:
+    """`df` with _piece, the number of its piece in the order of the columns `order`, nulls first.
+
+    Written once, since ranges are sampled: all that follows sees the same pieces. As many pieces as the session
+    has shuffle partitions; rows that are equal in all of `order` share one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
+    return cut(dealt.withColumn("_piece", F.spark_partition_id()))
 
 
 def running(vals: DataFrame, by, value: str, **totals: str) -> DataFrame:
@@ -61,24 +59,25 @@ def running(vals: DataFrame, by, value: str, **totals: str) -> DataFrame:
     Nulls come first, as in an ascending sort.
     """
     by = list(by)
-    vals = vals.withColumn("_bin", value_bin(F.col(value)))
+    kept = vals.columns
+    vals = in_pieces(vals, [*by, value])
     g = Window.partitionBy(*by)
-    upto = g.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = vals.groupBy(*by, "_bin").agg(*[F.sum(c).alias("_c_" + n) for n, c in totals.items()])
+    upto = g.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    bins = vals.groupBy(*by, "_piece").agg(*[F.sum(c).alias("_c_" + n) for n, c in totals.items()])
     bins = bins.select(
         *by,
-        "_bin",
+        "_piece",
         *[(F.sum("_c_" + n).over(upto) - F.col("_c_" + n)).alias("_b_" + n) for n in totals],
         *[F.sum("_c_" + n).over(g).alias(n + "_all") for n in totals],
     )
     w = (
-        Window.partitionBy(*by, "_bin")
+        Window.partitionBy(*by, "_piece")
         .orderBy(F.col(value).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = join_on(vals, bins, [*by, "_bin"], "inner")
+    out = join_on(vals, bins, [*by, "_piece"], "inner")
     return out.select(
-        *[c for c in vals.columns if c != "_bin"],
+        *kept,
         *[n + "_all" for n in totals],
         *[(F.col("_b_" + n) + F.sum(c).over(w) - F.col(c)).alias(n + "_less") for n, c in totals.items()],
     )
@@ -122,7 +121,7 @@ def average_rank(df: DataFrame, by, value: str, out: str, width=None) -> DataFra
 
 
 def row_numbers(
-    df: DataFrame, by, value: str, tie: str, out: str, size: str | None = None, width=None, prefix=4
+    df: DataFrame, by, value: str, tie: str, out: str, size: str | None = None, width=None
 ) -> DataFrame:
     """1-based position by (value, tie) inside the group, and the group size."""
     by = list(by)
@@ -132,22 +131,17 @@ def row_numbers(
         if size:
             r = r.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by)))
         return r
-    r = with_counts(df, by, value)
-    # ties of one value are ordered by `tie`; a very large tie is split by prefix
-    r = r.withColumn(
-        "_p", F.when(F.col("ties") > HEAVY_TIE, F.substring(tie, 1, prefix)).otherwise(F.lit(""))
-    )
-    heavy = r.filter(F.col("ties") > HEAVY_TIE).groupBy(*by, value, "_p").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    pw = Window.partitionBy(*by, value).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    heavy = heavy.select(*by, value, "_p", (F.sum("_c").over(pw) - F.col("_c")).alias("_before"))
-    r = join_on(r, heavy, [*by, value, "_p"])
-    within = F.row_number().over(Window.partitionBy(*by, value, "_p").orderBy(tie))
-    r = r.withColumn(out, F.col("less") + F.coalesce("_before", F.lit(0)) + within)
+    # a tie of any size is spread over pieces by its tie-breaker
+    placed = in_pieces(df, [*by, value, tie])
+    g = Window.partitionBy(*by)
+    upto = g.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = placed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    pieces = pieces.select(*by, "_piece", (F.sum("_c").over(upto) - F.col("_c")).alias("_piece_before"), F.sum("_c").over(g).alias("_piece_n"))
+    within = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(F.col(value).asc_nulls_first(), tie))
+    r = join_on(placed, pieces, [*by, "_piece"]).withColumn(out, (F.col("_piece_before") + within).cast("bigint"))
     if size:
-        r = r.withColumn(size, F.col("n"))
-    return r.drop("less", "ties", "n", "_p", "_before")
+        r = r.withColumn(size, F.col("_piece_n"))
+    return r.drop("_piece", "_piece_before", "_piece_n")
 
 
 def group_join(df: DataFrame, by, width: int | None = None, **aggs: Column) -> DataFrame:

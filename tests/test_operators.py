@@ -31,13 +31,12 @@ def panel(n_sym=3, n=500, seed=1):
     return pd.DataFrame(rows, columns=["symbol", "dt", "day_index", "adj_close", "volume"])
 
 
-def test_split_ranks_equal_plain_ranks_with_heavy_ties(spark, monkeypatch):
+def test_split_ranks_equal_plain_ranks_with_heavy_ties(spark):
     g = np.random.default_rng(0)
     v = np.where(g.random(3000) < 0.4, 0.5, g.normal(size=3000))  # one value holds 40 % of the rows
     pdf = pd.DataFrame({"g": g.integers(0, 2, 3000), "v": v, "id": [f"x{i:05d}" for i in range(3000)]})
     pdf.loc[::97, "v"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
-    monkeypatch.setattr(ranking, "HEAVY_TIE", 50)
     for fn, extra in ((ranking.percent_rank, ("r",)), (ranking.average_rank, ("r",)), (ranking.row_numbers, ("id", "r"))):
         a = fn(df, ["g"], "v", *extra, width=10).select("id", "r").toPandas().set_index("id").r.sort_index()
         b = fn(df, ["g"], "v", *extra, width=None).select("id", "r").toPandas().set_index("id").r.sort_index()
