@@ -147,7 +147,7 @@ def pit_mcap(d):
 
 CTES["x_valued"] = """
 SELECT t.*, b.close AS mkt_price, t.shares*b.close AS usd FROM x_insider t JOIN x_bars b ON b.symbol=t.symbol AND b.dt=t.trans_date
-WHERE t.shares*b.close>0 AND t.shares>0 AND t.filing_date>=t.trans_date"""
+WHERE t.trans_code IN ('P','S') AND t.shares*b.close>0 AND t.shares>0 AND t.filing_date>=t.trans_date"""
 
 
 @query(

@@ -236,15 +236,13 @@ CTES["x_resid"] = """SELECT *, round(y - x1*(sum(y*x1) OVER d/NULLIF(sum(x1*x1)
 
 def residuals(d, p=None):
     p = long_scores(d) if p is None else p
-    # mom126 explains itself, so its own residual is rounding noise
-    p = p.filter("signal <> 'mom126'")
     e = xsection.residualize(p, "score", FACTORS, ["signal", "dt"], sector="sector", min_names=40, width=d.wide_names)
     return e.withColumn("resid", settle("resid", 8))
 
 
 @query(
     "residualize",
-    "SELECT signal, symbol, dt, round(resid,6)+0.0 AS resid FROM x_resid WHERE signal<>'mom126'",
+    "SELECT signal, symbol, dt, round(resid,6)+0.0 AS resid FROM x_resid",
 )
 def residualize(d):
     return rounded(residuals(d).filter("resid is not null").select("signal", "symbol", "dt", "resid"))
@@ -254,7 +252,7 @@ def residualize(d):
     "resid_r2",
     """SELECT signal, round(var_pop(score),6)+0.0 AS var_before, round(var_pop(resid),6)+0.0 AS var_after,
  round(1-var_pop(resid)/var_pop(score),6)+0.0 AS r2_removed, round(sqrt(var_pop(resid)),6)+0.0 AS resid_std
-FROM x_resid WHERE signal<>'mom126' GROUP BY signal""",
+FROM x_resid GROUP BY signal""",
 )
 def resid_r2(d):
     return rounded(xsection.resid_r2(residuals(d), "score"))
@@ -450,8 +448,8 @@ CTES["x_sh"] = """SELECT signal, avg(rr)/stddev_samp(rr)*sqrt(12.0e0) AS sh FROM
 
 # --------------------------------------------------------------- whole studies
 CTES["x_vl"] = """
-SELECT signal || '|raw' AS signal, symbol, dt, sector, score, half_bps, fwd_21 FROM x_wl WHERE signal<>'mom126'
-UNION ALL SELECT signal || '|resid', symbol, dt, sector, resid, half_bps, fwd_21 FROM x_resid WHERE signal<>'mom126' AND resid IS NOT NULL"""
+SELECT signal || '|raw' AS signal, symbol, dt, sector, score, half_bps, fwd_21 FROM x_wl
+UNION ALL SELECT signal || '|resid', symbol, dt, sector, resid, half_bps, fwd_21 FROM x_resid WHERE resid IS NOT NULL"""
 CTES["x_vb"] = bucket_sql("x_vl", "signal, dt, sector", ADAPT, 10, "score IS NOT NULL AND fwd_21 IS NOT NULL AND half_bps IS NOT NULL")
 CTES["x_vbook"] = """
 SELECT signal AS k, dt, avg(l-s-cl-cs) AS ret FROM (

@@ -18,10 +18,13 @@ SIGNS = {
     "days_to_cover": -1,
 }
 SIGNALS = tuple(SIGNS)
+# fixed values: trades on the open market; grants, gifts and other codes say nothing about a price
+PURCHASE, SALE = "P", "S"
 
 
 def value_at_market(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Trades priced at the close of their day; unmatched, empty or back-dated ones drop."""
+    """Purchases and sales priced at the close of their day; unmatched, empty or back-dated ones and other codes drop."""
+    trades = trades.filter(F.col("trans_code").isin(PURCHASE, SALE))
     px = bars.select("symbol", F.col("dt").alias("trans_date"), F.col("close").alias("mkt_price"))
     t = trades.join(px, ["symbol", "trans_date"]).withColumn("usd", F.col("shares") * F.col("mkt_price"))
     return t.filter("usd > 0 and shares > 0 and filing_date >= trans_date")
@@ -31,12 +34,12 @@ def insider_flows(panel: DataFrame, trades: DataFrame, cal: DataFrame, lookback:
     """Dollars bought and sold and number of purchases over the last 90 sessions, by the
     session on which they were filed; filings on other days do not count."""
     c = cal.select(F.col("dt").alias("filing_date"), F.col("day_index").alias("fi"))
-    buy = F.col("trans_code") == "P"
+    buy, sell = F.col("trans_code") == PURCHASE, F.col("trans_code") == SALE
     ev = trades.join(c, "filing_date").select(
         "symbol",
         "fi",
         F.when(buy, F.col("usd")).otherwise(0.0).alias("buy_usd"),
-        F.when(~buy, F.col("usd")).otherwise(0.0).alias("sell_usd"),
+        F.when(sell, F.col("usd")).otherwise(0.0).alias("sell_usd"),
         buy.cast("bigint").alias("n_buys"),
     )
     return asof.trailing_sums(panel, ev, "fi", ["buy_usd", "sell_usd", "n_buys"], lookback)

@@ -190,7 +190,7 @@ def fundamentals(spark, sf_dir) -> DataFrame:
 
 
 def insider_trades(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     ship = F.col("l_shipdate").cast("date")
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -198,7 +198,8 @@ def insider_trades(spark, sf_dir) -> DataFrame:
         "symbol",
         F.date_add(ship, F.col("l_linenumber")).alias("filing_date"),
         ship.alias("trans_date"),
-        F.when(F.col("l_returnflag") == "A", "P").otherwise("S").alias("trans_code"),
+        F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise(F.col("l_returnflag"))
+        .alias("trans_code"),
         F.col("l_quantity").alias("shares"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
