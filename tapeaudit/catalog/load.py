@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import sym_order
+from ..functions.lineage import shared_dir
 from ..operators import calendar, entities, quality
-from ..sources import panels, readers
+from ..sources import panel_cache, panels, readers
 from . import ctes  # noqa: F401
 from .base import CTES, query, r, rounded
 
 PX = "open high low close adj_close"
 
 
+def _folder(d) -> str:
+    return f"{shared_dir(d.spark)}/{uuid.uuid4().hex}"
+
+
+def _bar_files(d) -> str:
+    """The bars as gzip CSV with a header, as they are downloaded, with lines that are no bars: a price that is not a
+    number, a month that does not exist, and lines cut off after three fields."""
+    where = _folder(d)
+    out = {"header": True, "compression": "gzip", "mode": "append"}
+    text = d.bars.select("symbol", *[F.col(c).cast("string") for c in ("dt", *PX.split(), "volume")])
+    text.write.csv(where, **out)
+    word = text.filter("volume % 97 = 0").withColumn("close", F.lit("n/a"))
+    month = text.filter("volume % 89 = 0").withColumn("dt", F.lit("1999-13-45"))
+    word.unionByName(month).write.csv(where, **out)
+    text.filter("volume % 83 = 0").select("symbol", "dt", "open").write.csv(where, **out)
+    return where
+
+
 @query("src_bars", f"SELECT symbol, dt, {r(PX)}, volume FROM x_bars")
 def src_bars(d):
-    return rounded(d.bars)
+    """Bars read from gzip CSV files, without the lines that are no bars."""
+    return rounded(readers.load_bars_csv(d.spark, _bar_files(d))[0])
+
+
+@query(
+    "src_bars_bad_lines",
+    """SELECT symbol, kind, count(*) AS lines FROM (
+SELECT symbol, CASE n WHEN 97 THEN 'price' WHEN 89 THEN 'date' ELSE 'cut off' END AS kind FROM x_bars, (VALUES (97),(89),(83)) v(n) WHERE volume % n = 0) GROUP BY 1, 2""",
+)
+def src_bars_bad_lines(d):
+    """What was wrong with the lines of the files, by symbol."""
+    bad = readers.load_bars_csv(d.spark, _bar_files(d))[1]
+    kind = F.when(F.col("line").contains("n/a"), "price").when(F.col("line").contains("1999-13-45"), "date").otherwise("cut off")
+    return bad.groupBy(F.split("line", ",")[0].alias("symbol"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("src_universe", "SELECT * FROM x_symbols")
 def src_universe(d):
-    return readers.guard_unique(d.symbols, "symbol")
+    where = _folder(d)
+    d.symbols.write.csv(where, header=True)
+    return readers.read_universe_csv(d.spark, where)
 
 
 @query(
@@ -59,6 +96,22 @@ SELECT t.acc AS accession, symbol, filing_date, trans_date, trans_code, shares,
 FROM t JOIN s USING (acc) LEFT JOIN w USING (acc)""",
 )
 def src_tsv_join3(d):
+    return rounded(readers.load_filings_tsv(d.spark, *_filing_files(d))[0])
+
+
+@query(
+    "src_tsv_bad_lines",
+    """SELECT 'submission' AS "table", count(*) AS lines FROM x_filings WHERE l_orderkey % 50 = 7
+UNION ALL SELECT 'transactions', count(*) FROM x_filings WHERE l_orderkey % 50 = 9 UNION ALL SELECT 'owners', count(*) FROM x_filings WHERE l_orderkey % 50 = 11""",
+)
+def src_tsv_bad_lines(d):
+    """Lines with too few or too many fields in the three tables of a filing batch."""
+    bad = readers.load_filings_tsv(d.spark, *_filing_files(d))[1]
+    return bad.groupBy("table").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _filing_files(d) -> list[str]:
+    """The three tables of a filing batch as tab-separated files, with lines that are cut off or have a field too many."""
     li = d.table("lineitem").join(d.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     acc = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ACCESSION_NUMBER")
     day = lambda c: F.upper(F.date_format(c, "dd-MMM-yyyy"))
@@ -83,7 +136,51 @@ def src_tsv_join3(d):
         F.concat(F.lit("OWN"), F.col("l_suppkey")).alias("RPTOWNERNAME"),
         F.lit("Director").alias("RPTOWNER_RELATIONSHIP"),
     )
-    return rounded(readers.join_filings(sub, trans, own))
+    one = F.lit("x")
+    broken = [
+        li.filter("l_orderkey % 50 = 7").select(acc, one),
+        li.filter("l_orderkey % 50 = 9").select(acc, *[one.alias(f"f{i}") for i in range(5)]),
+        li.filter("l_orderkey % 50 = 11").select(acc),
+    ]
+    out = []
+    for good, bad in zip((sub, trans, own), broken):
+        out.append(_folder(d))
+        good.write.csv(out[-1], sep="\t", header=True)
+        bad.write.csv(out[-1], sep="\t", header=True, mode="append")
+    return out
+
+
+@query(
+    "sink_parquet_cache",
+    f"""SELECT symbol, dt, round(lead(adj_close,5) OVER w/adj_close-1.0,6)+0.0 AS fwd_5, round(lead(adj_close,21) OVER w/adj_close-1.0,6)+0.0 AS fwd_21,
+ 'symbol,dt,fwd_5 symbol,dt,fwd_5,fwd_21' AS versions FROM x_ix WINDOW w AS ({ctes.W})""",
+)
+def sink_parquet_cache(d):
+    """A panel stored with one horizon, reused, and extended by another without computing the first again."""
+    where, asked = _folder(d), []
+
+    def build(missing):
+        asked.append(missing)
+        ahead = [(F.lead("adj_close", int(c[4:])).over(sym_order()) / F.col("adj_close") - 1.0).alias(c) for c in missing]
+        return d.ix.select("symbol", "dt", *ahead)
+
+    for needed in (["fwd_5"], ["fwd_5"], ["fwd_5", "fwd_21"]):
+        panel = panel_cache.stored_panel(d.spark, where, needed, build)
+    if asked != [["fwd_5"], ["fwd_21"]]:
+        raise AssertionError(f"built {asked}")
+    names = F.array_join(F.transform(F.from_json("schema", "fields array<struct<name string>>")["fields"], lambda f: f["name"]), ",")
+    versions = panel_cache.published(d.spark, where).groupBy().agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", names.alias("n")))), lambda v: v["n"]), " ").alias("versions")
+    )
+    return rounded(panel.withColumn("_j", F.lit(1)).join(versions.withColumn("_j", F.lit(1)), "_j").drop("_j"))
+
+
+@query("sink_report_csv", "SELECT symbol, count(*) AS bars, min(dt) AS first_dt, max(dt) AS last_dt FROM x_bars GROUP BY symbol")
+def sink_report_csv(d):
+    """A report written as CSV and read back."""
+    where, report = _folder(d), quality.coverage(d.bars)
+    readers.write_report(report, where)
+    return d.spark.read.schema(report.schema).csv(where, header=True)
 
 
 @query(

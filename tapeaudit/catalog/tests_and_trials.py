@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import cut, norm_cdf, norm_ppf
+from ..functions import cut, norm_cdf, norm_ppf, sym_order
 from ..functions.lineage import shared_dir
 from ..functions import normal
-from ..operators import audit, features, inference, labels, signals, trials
+from ..operators import audit, features, freeze, inference, labels, signals, smoothing, trials
 from ..operators.calendar import index_bars, trading_calendar
 from ..operators.ledger import Ledger
 from ..sources import panels
 from .base import CTES, query, r, rounded
-from .history import ALL_RULES
+from .history import ALL_RULES, with_adv
 from .outcomes import predictions, series
 
 REPS, BLOCK = 5000, 10
@@ -468,8 +469,6 @@ def _build(d):
 
 @query("audit_truncation", f"SELECT dt AS cutoff, count(*) AS symbols, CAST(0 AS BIGINT) AS differences FROM x_ix WHERE dt IN ({', '.join(f'DATE {c!r}' for c in CUTS)}) GROUP BY dt")
 def audit_truncation(d):
-    from functools import reduce
-
     parts = []
     for cut in CUTS:
         c = F.lit(cut).cast("date")
@@ -491,8 +490,93 @@ def audit_no_forward_columns(d):
     return d.features.agg(F.count(F.lit(1)).alias("rows"), F.lit(",".join(audit.forward_columns(d.features))).alias("forward_columns"))
 
 
-@query("audit_spec_hash")
+@query(
+    "audit_spec_hash",
+    """SELECT n_name AS version, reasons='' AS intact, reasons FROM (
+SELECT n_name, CASE WHEN n_nationkey % 9 = 7 THEN 'gone' WHEN n_nationkey % 9 = 5 THEN 'not frozen'
+ ELSE concat_ws('; ', CASE WHEN n_nationkey % 7 = 3 THEN 'specification' END, CASE WHEN n_nationkey % 11 = 4 THEN 'file: missing.sql' END,
+  CASE WHEN n_nationkey % 5 = 2 THEN 'file: region.parquet' END) END AS reasons FROM nation)""",
+)
 def audit_spec_hash(d):
-    """One digest over a specification and the stored region and nation files."""
-    files = d.spark.read.format("binaryFile").option("pathGlobFilter", "*n.parquet").load(d.dir)
-    return trials.spec_hash('{"buckets":5}', files)
+    """A frozen strategy per nation, kept as a stored manifest and checked after changes: some specifications were
+    edited, the region file was changed, a file was added, some versions are gone and some were never frozen."""
+    key = F.col("n_nationkey")
+    spec = F.to_json(F.struct(F.lit(5).alias("buckets"), F.when(F.col("edited") & (key % 7 == 3), 10).otherwise(21).alias("hold"), key.alias("universe")))
+    uses = F.when(key % 5 == 2, F.array(F.lit("nation.parquet"), F.lit("region.parquet"))).otherwise(F.array(F.lit("nation.parquet")))
+    more = F.when(F.col("edited") & (key % 11 == 4), F.array(F.lit("missing.sql"))).otherwise(F.array().cast("array<string>"))
+
+    def specs(edited):
+        rows = d.table("nation").withColumn("edited", F.lit(edited)).filter(key % 9 != (7 if edited else 5))
+        return rows.select(F.col("n_name").alias("version"), spec.alias("spec"), F.concat(uses, more).alias("implemented_by"))
+
+    files = d.spark.read.format("binaryFile").option("pathGlobFilter", "{region,nation}.parquet").load(d.dir).select("path", "content")
+    later = F.when(F.col("path").endswith("region.parquet"), F.concat("content", F.lit(b"\n"))).otherwise(F.col("content"))
+    frozen = cut(freeze.manifest(specs(False), freeze.file_digests(files)))
+    now = freeze.manifest(specs(True), freeze.file_digests(files.withColumn("content", later)))
+    return freeze.verify(frozen, now)
+
+
+LAYERS = {"averages": "ALL", "oscillators": "ALL", "rules": "ALL", "scores": "ALL", "dollar_volume": "ALL", "research": "STOCK", "panel": "STOCK", "regimes": "ONE"}
+
+
+def _layers(d):
+    """Every feature and score family as (bars -> layer, keys)."""
+    ix = lambda bars: index_bars(bars, trading_calendar(bars), d.symbols)
+    both = ("symbol", "dt")
+
+    def averages(bars):
+        return smoothing.macd(signals.bollinger_squeeze(ix(bars)))
+
+    def oscillators(bars):
+        return smoothing.rsi(signals.stochastic_k(ix(bars)), "adj_close", "rsi14")
+
+    def research(bars):
+        return features.research_panel(ix(bars)).drop("fwd_21")
+
+    def panel(bars):
+        f = features.features(ix(bars))
+        return features.feature_panel(f, features.market_state(f), d.names)
+
+    return {
+        "averages": (averages, both), "oscillators": (oscillators, both), "rules": (lambda b: signals.rule_signals(ix(b)), both),
+        "scores": (lambda b: signals.scores(ix(b)), both), "dollar_volume": (lambda b: with_adv(ix(b)), both), "research": (research, both),
+        "panel": (panel, both), "regimes": (lambda b: features.market_regimes(ix(b)), ("dt",)),
+    }
+
+
+def _layer_sql(names: dict, cutoff: str) -> str:
+    size = {"ALL": "count(*)", "STOCK": "count(CASE WHEN symbol<>'MKT' THEN 1 END)", "ONE": "count(CASE WHEN symbol='MKT' THEN 1 END)"}
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS layer, DATE '{cutoff}' AS cutoff, {size[k]} AS rows, CAST(0 AS BIGINT) AS differences FROM x_ix WHERE dt=DATE '{cutoff}'"
+        for n, k in names.items()
+    )
+
+
+@query(
+    "audit_layers",
+    _layer_sql(LAYERS, CUTS[1]) + f""" UNION ALL SELECT 'planted leak', dt, count(*), count(later) FROM (
+SELECT dt, lead(close) OVER (PARTITION BY symbol ORDER BY dt) AS later FROM x_bars) WHERE dt=DATE '{CUTS[1]}' GROUP BY dt""",
+)
+def audit_layers(d):
+    """No value of any feature or score family changes when later bars are taken away; a planted leak is caught."""
+    leak = lambda b: b.select("symbol", "dt", F.lead("close").over(sym_order(order="dt")).alias("tomorrow"))
+    return audit.audit_layers(_layers(d) | {"planted leak": (leak, ("symbol", "dt"))}, d.bars, CUTS[1:2]).drop("columns")
+
+
+@query(
+    "audit_labels_absent",
+    " UNION ALL ".join(
+        f"SELECT DATE '{c}' AS cutoff, count(*) AS symbols, CAST(0 AS BIGINT) AS labelled FROM x_ix WHERE dt=DATE '{c}' HAVING count(*)>0" for c in CUTS
+    ),
+)
+def audit_labels_absent(d):
+    """On the last session of cut-off data no label exists yet."""
+    build = lambda b: labels.labels(index_bars(b, trading_calendar(b), d.symbols))
+    names = audit.forward_columns(d.labels)
+    parts = []
+    for c in CUTS:
+        day = F.lit(c).cast("date")
+        bad = audit.audit_labels_absent(build, d.bars, c, names).agg(F.count(F.lit(1)).alias("labelled")).withColumn("_j", F.lit(1))
+        n = d.bars.filter(F.col("dt") == day).agg(F.count(F.lit(1)).alias("symbols")).filter("symbols > 0").withColumn("_j", F.lit(1))
+        parts.append(n.join(bad, "_j").select(day.alias("cutoff"), "symbols", "labelled"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

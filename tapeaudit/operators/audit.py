@@ -36,6 +36,25 @@ def audit_truncation(
     return j.select(*keys, F.explode(F.array_compact(F.array(*issue))).alias("column"))
 
 
+def audit_layers(layers, bars: DataFrame, cutoffs, tol: float = 1e-9) -> DataFrame:
+    """audit_truncation of several layers: per layer and cut-off the rows of that date and the values that change when
+    all later bars are taken away (a value that differs, or a row that only one side has).
+
+    `layers` maps a name to (build, keys); every column of the layer but the keys and texts is compared.
+    """
+    parts = []
+    for name, (build, keys) in layers.items():
+        every = build(bars)
+        columns = [f.name for f in every.schema if f.name not in keys and f.dataType.simpleString() not in ("string", "date")]
+        for cutoff in cutoffs:
+            day = F.lit(cutoff).cast("date")
+            n = every.filter(F.col("dt") == day).agg(F.count(F.lit(1)).alias("rows")).withColumn("_j", F.lit(1))
+            bad = audit_truncation(build, bars, cutoff, columns, tol, keys).agg(F.count(F.lit(1)).alias("differences"))
+            both = n.join(bad.withColumn("_j", F.lit(1)), "_j")
+            parts.append(both.select(F.lit(name).alias("layer"), day.alias("cutoff"), F.lit(len(columns)).alias("columns"), "rows", "differences"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def audit_labels_absent(build_labels, bars: DataFrame, cutoff, columns) -> DataFrame:
     """Labels that exist on the last date of truncated data; none may."""
     cut = F.lit(cutoff).cast("date")

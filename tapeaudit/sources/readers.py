@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import cut
+
+
+def read_lines(spark: SparkSession, path, ddl: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows of delimited (gzip) files with a header, and the lines that do not fit the schema, as (file, line).
+
+    Too few or too many fields, and fields that are not of their type, make a bad line; none is dropped silently.
+    Gzip cannot be split, so a file is one task; the rows are stored once as Parquet in the shared folder, which
+    later steps read in splits. All columns are read there, so what counts as bad does not depend on
+    the columns that a query happens to use.
+    """
+    reader = spark.read.schema(f"{ddl}, _line string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", **options)
+    stored = cut(reader.csv(path).select("*", F.col("_metadata.file_name").alias("_file")))
+    return stored.filter("_line is null").drop("_line", "_file"), stored.filter("_line is not null").select(
+        F.col("_file").alias("file"), F.col("_line").alias("line")
+    )
+
+
+def load_bars_csv(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Bars from (gzip) CSV, and bad lines.  A bar without symbol or date is a bad line, too."""
+    rows, bad = read_lines(spark, path, schemas.BARS)
+    keyed = F.col("symbol").isNotNull() & F.col("dt").isNotNull()
+    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+    return rows.filter(keyed), bad.unionByName(rows.filter(~keyed).select(F.lit(None).cast("string").alias("file"), text.alias("line")))
 
 
 def read_bars_csv(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
-    """Bars from (gzip) CSV.  Gzip cannot be split, so one file is one task: pass
-    `parts` to spread the rows before the first wide step, or rewrite as Parquet once."""
-    df = spark.read.schema(schemas.BARS).option("header", True).csv(path)
+    """Bars from (gzip) CSV without the bad lines; `parts` spreads the rows by key."""
+    df, _ = load_bars_csv(spark, path)
     return df.repartition(parts, "symbol", "dt") if parts else df
 
 
@@ -45,24 +70,23 @@ def read_panel(spark: SparkSession, path: str, columns, min_adv: float | None =
     return df if min_adv is None else df.filter(F.col("adv") >= min_adv)
 
 
-def read_filings_tsv(spark: SparkSession, submission: str, transactions: str, owners: str) -> DataFrame:
-    """Three tab-separated tables of one filing batch joined to one row per trade."""
-    opts = {"sep": "\t", "header": True, "mode": "DROPMALFORMED"}
+# the columns used of the three tables of a filing batch
+SUBMISSION = "ACCESSION_NUMBER string, FILING_DATE string, DOCUMENT_TYPE string, ISSUERTRADINGSYMBOL string"
+TRANSACTIONS = "ACCESSION_NUMBER string, TRANS_DATE string, TRANS_CODE string, TRANS_SHARES string, TRANS_PRICEPERSHARE string"
+OWNERS = "ACCESSION_NUMBER string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string"
 
-    def tsv(path, ddl):
-        return spark.read.schema(ddl).options(**opts).csv(path)
 
-    sub = tsv(
-        submission,
-        "ACCESSION_NUMBER string, FILING_DATE string, DOCUMENT_TYPE string, ISSUERTRADINGSYMBOL string",
-    )
-    trans = tsv(
-        transactions,
-        "ACCESSION_NUMBER string, TRANS_DATE string, TRANS_CODE string, TRANS_SHARES string, "
-        "TRANS_PRICEPERSHARE string",
-    )
-    own = tsv(owners, "ACCESSION_NUMBER string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string")
-    return join_filings(sub, trans, own)
+def load_filings_tsv(spark: SparkSession, submission, transactions, owners) -> tuple[DataFrame, DataFrame]:
+    """Three tab-separated tables of one filing batch joined to one row per trade, and the bad lines as
+    (table, file, line).  A table that is not there fails at once."""
+    given = {"submission": (submission, SUBMISSION), "transactions": (transactions, TRANSACTIONS), "owners": (owners, OWNERS)}
+    read = {name: read_lines(spark, path, ddl, sep="\t") for name, (path, ddl) in given.items()}
+    bad = [lines.select(F.lit(name).alias("table"), "file", "line") for name, (_, lines) in read.items()]
+    return join_filings(*[rows for rows, _ in read.values()]), reduce(DataFrame.unionByName, bad)
+
+
+def read_filings_tsv(spark: SparkSession, submission: str, transactions: str, owners: str) -> DataFrame:
+    return load_filings_tsv(spark, submission, transactions, owners)[0]
 
 
 def join_filings(sub: DataFrame, trans: DataFrame, own: DataFrame) -> DataFrame:
@@ -127,19 +151,6 @@ def flatten_facts(docs: DataFrame, concepts=None, units=FACT_UNITS, forms=FACT_F
     )
 
 
-def cached_panel(spark: SparkSession, path: str, needed, build) -> DataFrame:
-    """Reuse a written panel when it has the needed columns; otherwise build and write it."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        have = spark.read.parquet(path)
-        if set(needed) <= set(have.columns):
-            return have
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def write_report(df: DataFrame, path: str) -> None:
     """A tidy report as CSV.  Reports are aggregates; the writer still uses every
     partition, so a large one is several files rather than one task."""
