@@ -38,6 +38,17 @@ def row_key(id_col: str, text: Column, prefix: str = "__row") -> list[Column]:
     ]
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Each of `names`, with underscores in front until no column of `docs` is called so (case counts for nothing)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `rows` rows; reads no more than it needs for the answer."""
     return df.limit(rows + 1).count() <= rows

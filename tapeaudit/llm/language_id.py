@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import hinted
+from .common import hinted, unused
 
 UNKNOWN = "und"
 #: Slots of hashed n-grams (of 1 to ORDER letters or word edges).
@@ -171,7 +171,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     idf = np.log((1 + total) / (1 + frequency)) + 1
     place = F.pmod(F.col("draw"), F.lit(1 << 40)) * F.col("count")
     chosen = rows.select("lang", "draw").join(sizes, "lang").orderBy(place, "draw").limit(sample).select("lang", "draw").distinct()
-    picked = rows.join(hinted(chosen, sample), ["lang", "draw"]).select("text", "lang", "draw").repartition(1)
+    # rows that repeat an id and a text, and copies without an id, share a draw: the fit sees their text once
+    once = rows.join(hinted(chosen, sample), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    picked = once.select("text", "lang", "draw").repartition(1)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known, seen = {name: i for i, name in enumerate(languages)}, []
@@ -208,7 +210,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
+    (read,) = unused(docs, "__text")
+    source = docs.select(F.col(text_col).cast("string").alias(read), *keep)
     schema = source.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

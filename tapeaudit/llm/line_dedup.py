@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, unused
 
 WINDOW = 3
 
@@ -32,6 +32,14 @@ def _windows(lines: Column, size: int) -> Column:
     return F.when(n >= size, F.filter(runs, lambda w: ~w.blank))
 
 
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """A value by which ids, integers or texts, sort; rows without one come last."""
+    i = F.col(id_col)
+    if docs.select(i).schema[0].dataType.typeName() in ("string", "varchar", "char"):
+        return F.when(i.isNull(), "1").otherwise(F.concat(F.lit("0"), i))
+    return F.coalesce(i.cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """The line numbers that later occurrences of a window cover: __row_id, __row_fp, drop (array).
 
@@ -43,8 +51,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__row_id"),
         F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("__row_fp"),
-        # places in corpus order: by id, rows without one last, then by text and line
-        F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")).alias("doc"),
+        _order(docs, id_col).alias("doc"),
         F.explode(let(_lines(F.col(text_col)), lambda lines: _windows(lines, size))).alias("w"),
     )
     places = rows.select("__row_id", "__row_fp", "doc", "w.at", "w.h1", "w.h2")
@@ -69,21 +76,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null (0 lines); an empty one has one empty line. Texts of fewer than `size` lines have
     no window and stay as they are, and so do runs of blank lines. A text may end up empty. Rows that repeat
     an id and a text are one document and are treated alike. Rows without an id count as the last ones. Different
-    texts that share an id, or have none, come in the order of their hashes. Ids are integers. Columns of `docs` that are called n_lines or n_removed are replaced; others stay.
+    texts that share an id, or have none, come in the order of their hashes. Ids are integers or texts, which sort as
+    texts. Columns of `docs` that are called n_lines or n_removed are replaced; others stay, whatever their names.
     """
-    drop = repeated_lines(docs, id_col, text_col, size)
+    row_id, row_fp, gone = unused(docs, "__row_id", "__row_fp", "__drop")
+    drop = repeated_lines(docs, id_col, text_col, size).toDF(row_id, row_fp, gone)
     text = F.col(text_col)
     keyed = docs.drop("n_lines", "n_removed").withColumns({
-        "__row_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-        "__row_fp": F.xxhash64(F.col(id_col).isNull(), text),
+        row_id: F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+        row_fp: F.xxhash64(F.col(id_col).isNull(), text),
     })
 
     def left(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    return keyed.join(drop, ["__row_id", "__row_fp"], "left").withColumns({
-        text_col: F.when(F.col("drop").isNull(), text).otherwise(let(_lines(text), left)),
+    return keyed.join(drop, [row_id, row_fp], "left").withColumns({
+        text_col: F.when(F.col(gone).isNull(), text).otherwise(let(_lines(text), left)),
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint"),
-        "n_removed": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint"),
-    }).drop("__row_id", "__row_fp", "drop")
+        "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint"),
+    }).drop(row_id, row_fp, gone)

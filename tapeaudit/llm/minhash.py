@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cut
 from . import bpe
-from .common import hinted
+from .common import hinted, unused
 from .components import components
 
 SHINGLE = 5
@@ -300,12 +300,13 @@ def near_dedup(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that near_dedup keeps, all columns unchanged; of rows that repeat an id and a text any one."""
     judged = near_dedup(docs, id_col, text_col, **how).groupBy("row_id", "row_fp").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("one"))
-    some = cut(judged.filter("not all").select("row_id", "row_fp", "one"))
+    row_id, row_fp, one = unused(docs, "__row_id", "__row_fp", "__one")
+    some = cut(judged.filter("not all").select("row_id", "row_fp", "one").toDF(row_id, row_fp, one))
     i = F.col(id_col)
-    keyed = docs.withColumns({"__row_id": F.coalesce(i.cast("string"), F.lit("")), "__row_fp": F.xxhash64(i.isNull(), F.col(text_col).cast("string"))})
-    same = [F.col("__row_id") == F.col("row_id"), F.col("__row_fp") == F.col("row_fp")]
+    keyed = docs.withColumns({row_id: F.coalesce(i.cast("string"), F.lit("")), row_fp: F.xxhash64(i.isNull(), F.col(text_col).cast("string"))})
+    same = [row_id, row_fp]
     whole = keyed.join(hinted(some), same, "left_anti")
-    repeated = some.filter("one")
+    repeated = some.filter(F.col(one))
     if not repeated.isEmpty():  # tasks reduce the copies of a row on their own
-        whole = whole.unionByName(keyed.join(hinted(repeated), same, "left_semi").dropDuplicates(["__row_id", "__row_fp"]))
-    return whole.drop("__row_id", "__row_fp")
+        whole = whole.unionByName(keyed.join(hinted(repeated), same, "left_semi").dropDuplicates(same))
+    return whole.drop(*same)
