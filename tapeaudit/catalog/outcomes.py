@@ -18,23 +18,29 @@ SELECT p.*, l.fwd_ret_1d, l.fwd_ret_5d, l.fwd_ret_5d_net, l.fwd_ret_21d, l.label
 FROM x_panel p JOIN x_labels l ON l.symbol=p.symbol AND l.dt=p.dt
 WHERE p.bar_num>200 AND vol_20_annual IS NOT NULL AND mom_126d IS NOT NULL AND rel_volume IS NOT NULL AND mkt_ret_1d IS NOT NULL AND label_win_5d IS NOT NULL"""
 CTES["x_pred"] = """
-SELECT model_name, CAST(year(dt)-1996 AS INTEGER) AS fold_id, symbol, dt, day_index, atr_14, next_open, fwd_ret_5d, fwd_ret_5d_net,
+SELECT model_name, fold_id, symbol, dt, day_index, atr_14, next_open, fwd_ret_5d, fwd_ret_5d_net,
  CAST(label_win_5d AS DOUBLE) AS y_true, y_prob, CAST(CASE WHEN y_prob>=0.5 THEN 1 ELSE 0 END AS INTEGER) AS y_pred FROM (
- SELECT m.*, v.model_name, CASE v.model_name WHEN 'always_long' THEN 0.51e0
+ SELECT m.*, f.fold_id, v.model_name, CASE v.model_name WHEN 'always_long' THEN 0.51e0
    WHEN 'momentum_rule' THEN CASE WHEN mom_21d>0 AND above_200=1 THEN 0.6e0 ELSE 0.4e0 END
    ELSE ('0x'||substr(md5(v.model_name||'-'||symbol||'-'||dt),1,8))::BIGINT/4294967296.0e0 END AS y_prob
- FROM x_mrows m, (VALUES ('gbm'),('logistic'),('always_long'),('momentum_rule')) v(model_name) WHERE year(dt)>=1997)"""
+ FROM x_mrows m JOIN x_folds f ON m.dt BETWEEN f.test_start AND f.test_end, (VALUES ('gbm'),('logistic'),('always_long'),('momentum_rule')) v(model_name))"""
 
 
 def model_rows(d):
     return labels.model_rows(d.panel, d.labels)
 
 
+def test_rows(d, cols=None):
+    """The test rows of every fold, with fold_id; `cols` are the columns to keep."""
+    m = model_rows(d)
+    return folds.split_folds(m.select(*cols) if cols else m, fold_table(d)).filter("part = 'test'").drop("part")
+
+
 def predictions(d, shared=False):
     """Scores of the two rule models, and hash scores that stand in for two fitted ones."""
-    m = model_rows(d).filter("year(dt) >= 1997").select(*ROWCOLS)
+    m = test_rows(d, ROWCOLS)
     name = F.explode(F.array(*[F.lit(n) for n in ("gbm", "logistic", "always_long", "momentum_rule")])).alias("model_name")
-    p = m.select("*", name).withColumn("fold_id", (F.year("dt") - 1996).cast("int"))
+    p = m.select("*", name)
     rule = F.when((F.col("mom_21d") > 0) & (F.col("above_200") == 1), 0.6).otherwise(0.4)
     prob = (
         F.when(F.col("model_name") == "always_long", 0.51)
@@ -73,14 +79,12 @@ PK = "SELECT model_name, fold_id, symbol, dt, y_true, round(y_prob,6)+0.0 AS y_p
 
 @query("baseline_always_long", PK.format("always_long"))
 def baseline_always_long(d):
-    m = model_rows(d).filter("year(dt) >= 1997").withColumn("fold_id", (F.year("dt") - 1996).cast("int"))
-    return rounded(models.as_predictions(models.baseline_always_long(m)))
+    return rounded(models.as_predictions(models.baseline_always_long(test_rows(d))))
 
 
 @query("baseline_momentum_rule", PK.format("momentum_rule"))
 def baseline_momentum_rule(d):
-    m = model_rows(d).filter("year(dt) >= 1997").withColumn("fold_id", (F.year("dt") - 1996).cast("int"))
-    return rounded(models.as_predictions(models.baseline_momentum_rule(m)))
+    return rounded(models.as_predictions(models.baseline_momentum_rule(test_rows(d))))
 
 
 CTES["x_ranked"] = """
@@ -102,8 +106,11 @@ def ranked(d):
 
 def series(d):
     """One net return per strategy and date: (strategy, dt, ret)."""
-    p = predictions(d, shared=True)
-    u = models.union_strategies(models.strategy_daily(models.rank_predictions(p, d.names)), models.baseline_daily(p))
+    return daily_series(predictions(d, shared=True), d.names)
+
+
+def daily_series(p, width):
+    u = models.union_strategies(models.strategy_daily(models.rank_predictions(p, width)), models.baseline_daily(p))
     return cut(u.select(F.col("model_name").alias("strategy"), "dt", F.col("ret_net").alias("ret")))
 
 
@@ -262,8 +269,24 @@ def pool_folds(d):
 
 
 def _split(d):
+    """The model rows, and each of them in every fold and role, stored once for all fits."""
     m = cut(model_rows(d))
-    return m, folds.split_folds(m, fold_table(d))
+    return m, cut(folds.split_folds(m, fold_table(d)))
+
+
+def fitted_predictions(d):
+    """Stored walk-forward predictions of all models over all folds, in the columns that the evaluation reads."""
+    m, s = _split(d)
+    p = models.walk_forward(m, s, ("logistic", "gbm", "always_long", "momentum_rule"))
+    keep = ["symbol", "dt", "day_index", "atr_14", "next_open", "fwd_ret_5d", "fwd_ret_5d_net"]
+    return cut(models.as_predictions(p, keep))
+
+
+@query("model_eval_fitted")
+def model_eval_fitted(d):
+    """Evaluation of fitted models, fold by fold."""
+    p = fitted_predictions(d).withColumn("ret", F.col("fwd_ret_5d_net"))
+    return rounded(models.model_eval(p).drop("all_mean_net_ret"), edge_bps=3)
 
 
 @query("fit_logistic")
@@ -275,7 +298,7 @@ def fit_logistic(d):
 @query("fit_gbt")
 def fit_gbt(d):
     m, s = _split(d)
-    return rounded(models.as_predictions(models.walk_forward(m, s, ("gbm",), rounds=5, last=1)))
+    return rounded(models.as_predictions(models.walk_forward(m, s, ("gbm",))))
 
 
 @query("permutation_importance")

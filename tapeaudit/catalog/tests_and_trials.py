@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import cut, norm_cdf, norm_ppf, sym_order
 from ..functions.lineage import shared_dir
 from ..functions import normal
-from ..operators import audit, features, freeze, inference, labels, signals, smoothing, trials
+from ..operators import audit, features, freeze, inference, labels, perf, signals, smoothing, trials
 from ..operators.calendar import index_bars, trading_calendar
 from ..operators.ledger import Ledger
+from ..plans import studies
 from ..sources import panels
 from .base import CTES, query, r, rounded
 from .history import ALL_RULES, with_adv
-from .outcomes import predictions, series
+from .outcomes import daily_series, fitted_predictions, predictions, series
 
 REPS, BLOCK = 5000, 10
 
@@ -34,7 +35,9 @@ SELECT {k}rep, t, n, CAST((b.s + t - b.t) % n AS BIGINT) AS pos FROM (
 
 
 CTES["x_ser"] = "SELECT model_name AS strategy, dt, ret_net AS ret FROM x_all WHERE ret_net IS NOT NULL"
-CTES["x_seri"] = "SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY dt)-1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM x_ser"
+# tests compare strategies on the dates that all of them have
+CTES["x_com"] = "SELECT * FROM x_ser WHERE dt IN (SELECT dt FROM x_ser GROUP BY dt HAVING count(*)=4)"
+CTES["x_seri"] = "SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY dt)-1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM x_com"
 CTES["x_drw"] = draws_sql("SELECT DISTINCT n FROM x_seri", "", str(float(BLOCK)), REPS)
 
 
@@ -44,28 +47,32 @@ CTES["x_drw"] = draws_sql("SELECT DISTINCT n FROM x_seri", "", str(float(BLOCK))
 )
 def stationary_bootstrap(d):
     """All draws of all replicates, summed up per replicate in and out of order."""
-    s = inference.indexed(series(d).filter("ret is not null"), ["strategy"]).select("n_obs").distinct()
+    s = inference.indexed(common(d), ["strategy"]).select("n_obs").distinct()
     draws = inference.stationary_draws(s, ["n_obs"], REPS, BLOCK)
     return draws.groupBy("rep", "n_obs").agg(
         F.sum("pos").alias("pos_sum"), F.sum(F.col("pos") * (F.col("t") + 1) % 1009).alias("pos_hash")
     )
 
 
+def common(d):
+    return cut(perf.align_common_dates(series(d)).filter("ret is not null"))
+
+
 CTES["x_bm"] = "SELECT s.strategy, d.rep, avg(s.ret) AS boot FROM x_seri s JOIN x_drw d ON d.n=s.n AND d.pos=s.pos GROUP BY 1, 2"
 
 
 @query(
     "boot_mean_ci",
     """SELECT b.strategy, round(any_value(m.m),6)+0.0 AS mean, round(stddev_samp(boot),6)+0.0 AS se, round(quantile_cont(boot,0.025),6)+0.0 AS lo, round(quantile_cont(boot,0.975),6)+0.0 AS hi,
- round(avg(CASE WHEN abs(boot-m.m)>=abs(m.m) THEN 1 ELSE 0 END),6)+0.0 AS p FROM x_bm b JOIN (SELECT strategy, avg(ret) AS m FROM x_ser GROUP BY 1) m ON m.strategy=b.strategy GROUP BY b.strategy""",
+ round(avg(CASE WHEN abs(boot-m.m)>=abs(m.m) THEN 1 ELSE 0 END),6)+0.0 AS p FROM x_bm b JOIN (SELECT strategy, avg(ret) AS m FROM x_com GROUP BY 1) m ON m.strategy=b.strategy GROUP BY b.strategy""",
 )
 def boot_mean_ci(d):
-    return rounded(inference.boot_mean_ci(series(d), REPS, BLOCK))
+    return rounded(inference.boot_mean_ci(common(d), REPS, BLOCK))
 
 
 CTES["x_ex"] = """
 SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY dt)-1 AS pos, count(*) OVER (PARTITION BY strategy) AS n, avg(ret) OVER (PARTITION BY strategy) AS m FROM (
-SELECT a.strategy, a.dt, a.ret-b.ret AS ret FROM x_ser a JOIN x_ser b ON b.dt=a.dt AND b.strategy='always_long' WHERE a.strategy<>'always_long')"""
+SELECT a.strategy, a.dt, a.ret-b.ret AS ret FROM x_com a JOIN x_com b ON b.dt=a.dt AND b.strategy='always_long' WHERE a.strategy<>'always_long')"""
 CTES["x_exd"] = draws_sql("SELECT DISTINCT n FROM x_ex", "", str(float(BLOCK)), REPS)
 CTES["x_paired"] = """
 SELECT strategy, m AS excess, quantile_cont(boot,0.025) AS lo, quantile_cont(boot,0.975) AS hi, avg(CASE WHEN abs(boot-m)>=abs(m) THEN 1 ELSE 0 END) AS p_raw FROM (
@@ -74,11 +81,10 @@ SELECT strategy, m AS excess, quantile_cont(boot,0.025) AS lo, quantile_cont(boo
 
 @query("boot_paired_p", f"SELECT strategy, {r('excess lo hi p_raw')} FROM x_paired")
 def boot_paired_p(d):
-    return rounded(inference.boot_paired_p(series(d), "always_long", REPS, BLOCK))
+    return rounded(inference.boot_paired_p(common(d), "always_long", REPS, BLOCK))
 
 
-CTES["x_com"] = "SELECT * FROM x_ser WHERE dt IN (SELECT dt FROM x_ser GROUP BY dt HAVING count(*)=4)"
-CTES["x_rc"] = CTES["x_ex"].replace("x_ser", "x_com")
+CTES["x_rc"] = CTES["x_ex"]
 CTES["x_rcd"] = draws_sql("SELECT DISTINCT n FROM x_rc", "", str(float(BLOCK)), REPS)
 
 
@@ -116,10 +122,35 @@ def p_adjust(d):
 
 @query("p_adjust_strategies", ADJ.format(src="(SELECT strategy, p_raw FROM x_paired)"))
 def p_adjust_strategies(d):
-    p = inference.boot_paired_p(series(d), "always_long", REPS, BLOCK).select("strategy", "p_raw")
+    p = inference.boot_paired_p(common(d), "always_long", REPS, BLOCK).select("strategy", "p_raw")
     return rounded(inference.p_adjust(p))
 
 
+def _printed(table):
+    # returns of the given tables are far from real ones: a year's growth is printed as its logarithm
+    return rounded(table.withColumn("annual_log", F.log(1 + F.col("mean")) * 252 / 5.0).drop("annual"))
+
+
+@query(
+    "validation_table",
+    f"""SELECT m.strategy, m.dates, m.first_dt, m.last_dt, {r('m.mean').replace('AS m.mean', 'AS mean')}, round(m.annual,6)+0.0 AS annual_log, round(b.lo,6)+0.0 AS lo, round(b.hi,6)+0.0 AS hi, round(b.p,6)+0.0 AS p_vs_zero,
+ round(x.excess,6)+0.0 AS excess, round(x.lo,6)+0.0 AS excess_lo, round(x.hi,6)+0.0 AS excess_hi, a.p_raw, a.p_bonferroni, a.p_bh, a.passes_bh
+FROM (SELECT strategy, avg(ret) AS mean, ln(1+avg(ret))*252/5.0e0 AS annual, count(*) AS dates, min(dt) AS first_dt, max(dt) AS last_dt FROM x_com GROUP BY 1) m
+JOIN (SELECT b.strategy, quantile_cont(boot,0.025) AS lo, quantile_cont(boot,0.975) AS hi, avg(CASE WHEN abs(boot-m.m)>=abs(m.m) THEN 1 ELSE 0 END) AS p
+  FROM x_bm b JOIN (SELECT strategy, avg(ret) AS m FROM x_com GROUP BY 1) m ON m.strategy=b.strategy GROUP BY 1) b ON b.strategy=m.strategy
+LEFT JOIN x_paired x ON x.strategy=m.strategy LEFT JOIN ({ADJ.format(src="(SELECT strategy, p_raw FROM x_paired)")}) a ON a.strategy=m.strategy""",
+)
+def validation_table(d):
+    """Every strategy on the common dates against zero and against the baseline, adjusted for the number of tests."""
+    return _printed(studies.validation_table(series(d), "always_long", REPS, BLOCK))
+
+
+@query("validation_table_fitted")
+def validation_table_fitted(d):
+    """The same table for fitted models: walk-forward predictions of every fold, daily books, tests."""
+    return _printed(studies.validation_table(daily_series(fitted_predictions(d), d.names), "always_long", REPS, BLOCK))
+
+
 # ------------------------------------------------------------ luck adjustment
 def horner(coefs, x: str) -> str:
     out = repr(float(coefs[0]))

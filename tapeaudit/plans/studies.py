@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import TRADING_DAYS
 from ..functions import cut, settle
-from ..operators import books, fundamentals, perf, ranking, xsection
+from ..operators import books, fundamentals, inference, perf, ranking, xsection
 
 
 def factor_attribution(scored: DataFrame, h: int, q: int = 5, width: int | None = None) -> DataFrame:
@@ -138,3 +139,19 @@ def materiality_corr(m: DataFrame) -> DataFrame:
     d = ranking.average_rank(d, ["_all"], "award_over_mcap", "_a")
     d = ranking.average_rank(d, ["_all"], "fwd_21", "_b")
     return d.agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("spearman"))
+
+
+def validation_table(series: DataFrame, baseline: str, reps: int = 5000, mean_block: float = 10, horizon: int = 5) -> DataFrame:
+    """One row per strategy, all on the dates that every strategy has: mean and annualised net return, bootstrap
+    interval and p against zero, excess over the baseline with its interval, raw, Bonferroni and BH p.
+
+    The baseline has no excess: its columns are null.  `series` has (strategy, dt, ret).
+    """
+    s = cut(perf.align_common_dates(series).filter("ret is not null"))
+    span = s.groupBy("strategy").agg(F.count(F.lit(1)).alias("dates"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+    zero = inference.boot_mean_ci(s, reps, mean_block).select("strategy", "mean", "lo", "hi", F.col("p").alias("p_vs_zero"))
+    zero = zero.withColumn("annual", F.pow(1 + F.col("mean"), F.lit(TRADING_DAYS / horizon)) - 1)
+    pair = cut(inference.boot_paired_p(s, baseline, reps, mean_block))
+    excess = pair.select("strategy", "excess", F.col("lo").alias("excess_lo"), F.col("hi").alias("excess_hi"))
+    adjusted = inference.p_adjust(pair.select("strategy", "p_raw"))
+    return span.join(zero, "strategy").join(excess, "strategy", "left").join(adjusted, "strategy", "left")
