@@ -106,10 +106,10 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-sample predictions of every fold.  `split` is split_folds(rows, folds), best stored once.
 
-    The driver reads only the fold numbers (one per test year); fitting and scoring run on the cluster. A fit is
+    A fold without training rows has no predictions. The driver reads only the fold numbers (one per test year); fitting and scoring run on the cluster. A fit is
     many small jobs one after another, so `at_once` fits (fold and model) share the cluster.
     """
-    ids = sorted(r[0] for r in split.select("fold_id").distinct().collect())
+    ids = sorted(r[0] for r in split.filter("part = 'train'").select("fold_id").distinct().collect())
     ids = ids[-last:] if last else ids
     rules = {"always_long": baseline_always_long, "momentum_rule": baseline_momentum_rule}
 
