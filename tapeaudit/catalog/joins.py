@@ -372,19 +372,23 @@ def event_quality_tests(d):
 
 
 # ---------------------------------------------------------- fundamental signals
-CONCEPTS = ["NetIncomeLoss", "Assets", "StockholdersEquity", "CommonStockSharesOutstanding"]
+CONCEPTS = [
+    "NetIncomeLoss", "Assets", "StockholdersEquity", "CommonStockSharesOutstanding",
+    "NetCashProvidedByUsedInOperatingActivities", "GrossProfit",
+]
+FLOWS = "('NetIncomeLoss', 'NetCashProvidedByUsedInOperatingActivities', 'GrossProfit')"
 CTES["x_f1"] = """
 SELECT symbol, concept, filed, period_end, period_start, arg_max(val, fact_id) AS val, max(fact_id) AS tie,
  period_end - period_start AS days FROM x_facts GROUP BY symbol, concept, filed, period_end, period_start"""
-CTES["x_known"] = """
+CTES["x_known"] = f"""
 WITH asks AS (SELECT DISTINCT symbol, concept, filed FROM x_f1),
 st AS (SELECT a.symbol, a.concept, a.filed, arg_max(f.val, ROW(f.period_end, f.filed, f.tie)) AS value
   FROM asks a JOIN x_f1 f ON f.symbol=a.symbol AND f.concept=a.concept AND f.filed<=a.filed
-  WHERE a.concept<>'NetIncomeLoss' GROUP BY ALL),
+  WHERE a.concept NOT IN {FLOWS} GROUP BY ALL),
 pv AS (SELECT a.symbol, a.concept, a.filed, f.period_end, CASE WHEN f.days BETWEEN 330 AND 400 THEN 'y' WHEN f.days BETWEEN 60 AND 120 THEN 'q' END AS c,
    arg_max(f.val, ROW(f.filed, f.tie)) AS val
   FROM asks a JOIN x_f1 f ON f.symbol=a.symbol AND f.concept=a.concept AND f.filed<=a.filed
-  WHERE a.concept='NetIncomeLoss' GROUP BY ALL),
+  WHERE a.concept IN {FLOWS} GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, concept, filed, c ORDER BY period_end DESC) AS rn FROM pv WHERE c IS NOT NULL),
 fl AS (SELECT symbol, concept, filed, max(CASE WHEN c='y' THEN period_end END) AS ye, max(CASE WHEN c='q' THEN period_end END) AS qe,
    max(CASE WHEN c='y' AND rn=1 THEN val END) AS yv, count(CASE WHEN c='q' AND rn<=4 THEN 1 END) AS nq,
@@ -419,8 +423,8 @@ SELECT k.symbol, k.dt, k.day_index, k.close, w.*EXCLUDE (symbol, filed),
   NULLIF(w.CommonStockSharesOutstanding*k.close,0) AS mcap
 FROM x_keys k ASOF LEFT JOIN x_wide w ON k.symbol=w.symbol AND k.dt>=w.filed"""
 FUND = """round(NetIncomeLoss/mcap,9)+0.0 AS earnings_yield, round(StockholdersEquity/mcap,9)+0.0 AS book_to_price,
- round(NetIncomeLoss/NULLIF(StockholdersEquity,0),6)+0.0 AS roe, CAST(NULL AS DOUBLE) AS accruals,
- round(-(Assets/NULLIF(assets_1y,0)-1.0),6)+0.0 AS asset_growth, CAST(NULL AS DOUBLE) AS gross_profitability"""
+ round(NetIncomeLoss/NULLIF(StockholdersEquity,0),6)+0.0 AS roe, round(-((NetIncomeLoss-NetCashProvidedByUsedInOperatingActivities)/NULLIF(Assets,0)),6)+0.0 AS accruals,
+ round(-(Assets/NULLIF(assets_1y,0)-1.0),6)+0.0 AS asset_growth, round(GrossProfit/NULLIF(Assets,0),6)+0.0 AS gross_profitability"""
 
 
 @query("fundamental_signals", f"SELECT symbol, dt, {FUND} FROM x_fund_panel")

@@ -464,17 +464,33 @@ def antijoin_seen(d):
     return trials.pending(p, results(d, p).filter(F.col("dt") < F.lit(AS_OF).cast("date"))).select("symbol", "dt", "stage")
 
 
+CTES["x_lrx"] = """
+SELECT *, row_number() OVER (PARTITION BY stage ORDER BY dt)-1 AS pos, count(*) OVER (PARTITION BY stage) AS n, avg(ret) OVER (PARTITION BY stage) AS m FROM (
+SELECT r.stage, r.dt, avg(r.ret_net)-any_value(l.fwd_ret_5d_net) AS ret FROM x_res r JOIN x_labels l ON l.symbol='MKT' AND l.dt=r.dt
+WHERE l.fwd_ret_5d_net IS NOT NULL GROUP BY 1, 2)"""
+CTES["x_lrd"] = draws_sql("SELECT DISTINCT n FROM x_lrx WHERE n>=10", "", str(float(BLOCK)), REPS)
+CTES["x_lrp"] = """
+SELECT stage, quantile_cont(boot,0.025) AS lo, quantile_cont(boot,0.975) AS hi, avg(CASE WHEN abs(boot-m)>=abs(m) THEN 1 ELSE 0 END) AS p FROM (
+ SELECT s.stage, any_value(s.m) AS m, d.rep, avg(s.ret) AS boot FROM x_lrx s JOIN x_lrd d ON d.n=s.n AND d.pos=s.pos GROUP BY 1, 3) GROUP BY stage"""
+
+
 @query(
     "ledger_record",
     """
 WITH per AS (SELECT stage, dt, avg(ret_net) AS m, count(*) AS k, sum(win) AS w FROM x_res GROUP BY 1, 2),
-b AS (SELECT avg(fwd_ret_5d_net) AS b FROM x_labels WHERE symbol='MKT' AND dt > (SELECT min(dt) FROM x_res))
-SELECT stage, CAST(sum(k) AS BIGINT) AS trades, count(*) AS dates, round(count(*)/5.0e0,6)+0.0 AS n_eff, round(avg(m),6)+0.0 AS mean_net, round(sum(w)/sum(k),6)+0.0 AS win_rate,
- round((avg(m)-(SELECT b FROM b))*100,6)+0.0 AS excess_pct FROM per GROUP BY stage""",
+b AS (SELECT avg(fwd_ret_5d_net) AS b FROM x_labels WHERE symbol='MKT' AND dt > (SELECT min(dt) FROM x_res)),
+w AS (SELECT stage, count(*) AS pending FROM x_picks p WHERE NOT EXISTS (SELECT 1 FROM x_res r WHERE r.symbol=p.symbol AND r.dt=p.dt) GROUP BY 1),
+x AS (SELECT stage, count(*) AS paired_dates, any_value(m) AS paired_excess FROM x_lrx GROUP BY 1),
+g AS (SELECT stage, CAST(sum(k) AS BIGINT) AS trades, count(*) AS dates, round(count(*)/5.0e0,6)+0.0 AS n_eff, round(avg(m),6)+0.0 AS mean_net, round(sum(w)/sum(k),6)+0.0 AS win_rate,
+ round((avg(m)-(SELECT b FROM b))*100,6)+0.0 AS excess_pct FROM per GROUP BY stage)
+SELECT coalesce(g.stage, w.stage) AS stage, coalesce(trades,0) AS trades, coalesce(dates,0) AS dates, n_eff, mean_net, win_rate, excess_pct, coalesce(paired_dates,0) AS paired_dates,
+ round(paired_excess,6)+0.0 AS paired_excess, round(lo,6)+0.0 AS lo, round(hi,6)+0.0 AS hi, round(p,6)+0.0 AS p, coalesce(pending,0) AS pending
+FROM g FULL JOIN w ON w.stage=g.stage LEFT JOIN x ON x.stage=g.stage LEFT JOIN x_lrp lp ON lp.stage=g.stage""",
 )
 def ledger_record(d):
     bench = d.labels.filter("symbol = 'MKT'").select("dt", F.col("fwd_ret_5d_net").alias("bench"))
-    return rounded(trials.ledger_record(cut(results(d)), bench))
+    p = picks(d)
+    return rounded(trials.ledger_record(cut(results(d, p)), bench, predictions=p, reps=REPS, mean_block=BLOCK))
 
 
 @query("set_diff", "SELECT DISTINCT dt FROM x_all WHERE model_name='always_long' EXCEPT SELECT DISTINCT dt FROM x_all WHERE model_name='gbm' UNION ALL (SELECT dt FROM x_picks INTERSECT SELECT dt FROM x_cal WHERE dow=1)")

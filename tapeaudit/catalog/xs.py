@@ -419,18 +419,20 @@ CTES["x_stat"] = STATS.format(k="signal", src="x_book")
 @query(
     "breadth_realised",
     """
-SELECT s.signal, round(i.ic,6)+0.0 AS ic, s.sharpe, round(CASE WHEN abs(i.ic)>1e-6 THEN pow(s.sh/i.ic,2) END,2)+0.0 AS breadth, round(i.ic*sqrt(100*252/21.0e0),6)+0.0 AS ir_predicted,
- round(100*greatest(252/21.0e0*(1-c)/(1+c),0.1),4)+0.0 AS breadth_adj
+SELECT s.signal, round(i.ic,6)+0.0 AS ic, s.sharpe, round(CASE WHEN abs(i.ic)>1e-6 THEN pow(s.sh/i.ic,2) END,2)+0.0 AS breadth, round(i.ic*sqrt(e.n_eff*252/21.0e0),6)+0.0 AS ir_predicted,
+ round(e.n_eff*greatest(252/21.0e0*(1-c)/(1+c),0.1),4)+0.0 AS breadth_adj
 FROM (SELECT signal, sharpe, sh FROM (SELECT signal, round(sh,6)+0.0 AS sharpe, sh FROM x_sh)) s JOIN x_icm i USING (signal)
-JOIN (SELECT signal, greatest(least(corr(score,l),0.99),-0.99) AS c FROM x_auto WHERE score IS NOT NULL AND l IS NOT NULL GROUP BY signal) a USING (signal)""",
+JOIN (SELECT signal, greatest(least(corr(score,l),0.99),-0.99) AS c FROM x_auto WHERE score IS NOT NULL AND l IS NOT NULL GROUP BY signal) a USING (signal)
+CROSS JOIN (SELECT pow(count(DISTINCT symbol),2)/(SELECT sum(rho*rho) FROM (SELECT a.symbol, b.symbol, corr(a.neutral, b.neutral) AS rho FROM x_pr1 a JOIN x_pr1 b ON a.dt=b.dt GROUP BY a.symbol, b.symbol)) AS n_eff FROM x_pr1) e""",
 )
 def breadth_realised(d):
     p = cut(long_scores(d))
     st = perf.perf_stats(sector_book(d, p), H, ["signal"]).select("signal", "sharpe")
     ic = ic_of(d, p).groupBy("signal").agg(F.avg("ic").alias("ic"))
     rho = xsection.score_autocorr(p, "score", H, ["signal"], min_pairs=1)
-    j = st.join(ic, "signal").join(rho, "signal")
-    n_eff = F.lit(100.0)
+    measured = independent_bets(d).filter("kind = 'neutral'").select(F.lit(1).alias("_j"), "n_eff")
+    j = st.join(ic, "signal").join(rho, "signal").withColumn("_j", F.lit(1)).join(measured, "_j", "left")
+    n_eff = F.col("n_eff")
     return rounded(
         j.select(
             "signal", "ic", "sharpe",
@@ -555,7 +557,8 @@ SELECT *, row_number() OVER (ORDER BY score, symbol || month) AS rn, count(*) OV
 
 @query(
     "materiality",
-    """SELECT bucket, count(*) AS n, round(min(score),6)+0.0 AS lo, round(max(score),6)+0.0 AS hi, round(avg(fwd_21),6)+0.0 AS mean_fwd,
+    """SELECT bucket, count(*) AS n, round(min(score),6)+0.0 AS lo, round(median(score),6)+0.0 AS median, round(max(score),6)+0.0 AS hi, round(avg(fwd_21),6)+0.0 AS mean_fwd,
+ round((SELECT avg(fwd_21) FROM x_matb WHERE bucket=(SELECT max(bucket) FROM x_matb))-(SELECT avg(fwd_21) FROM x_matb WHERE bucket=0),6)+0.0 AS spread,
  round(avg(fwd_21)/(stddev_samp(fwd_21)/sqrt(count(*))),6)+0.0 AS t FROM x_matb GROUP BY bucket""",
 )
 def materiality(d):
@@ -609,18 +612,38 @@ def pr_sql(col):
 UNION ALL SELECT 'neutral', count(DISTINCT symbol), CAST(max(t) AS INTEGER), round({pr_sql('neutral')},4)+0.0, round(pow(count(DISTINCT symbol),2)/{pr_sql('neutral')},6)+0.0 FROM x_pr1 HAVING count(*)>0""",
 )
 def participation_ratio(d):
+    return rounded(independent_bets(d), sum_sq_corr=4)
+
+
+def independent_bets(d):
+    """Effective number of names, raw and after removing the sector mean of the week."""
     p = weekly_returns(d)
     p = ranking.group_join(p, ["dt", "sector"], d.names, _m=F.avg("ret"))
     both = F.explode(
         F.array(F.struct(F.lit("raw").alias("kind"), F.col("ret").alias("v")), F.struct(F.lit("neutral").alias("kind"), (F.col("ret") - F.col("_m")).alias("v")))
     ).alias("k")
     p = p.select("symbol", "dt", both).select("symbol", "dt", "k.kind", F.col("k.v").alias("ret"))
-    return rounded(inference.participation_ratio(p, ["kind"]), sum_sq_corr=4)
+    return inference.participation_ratio(p, ["kind"])
+
+
+CURVE = (2, 5, 10, 20, 50, 100, 200, 400, 800)
+CTES["x_pick"] = """
+SELECT symbol, row_number() OVER (ORDER BY u, symbol) AS pos, count(*) OVER () AS k FROM (
+ SELECT DISTINCT symbol, ('0x'||substr(md5('pick-'||symbol),1,8))::BIGINT/4294967296.0e0 AS u FROM x_pr1)"""
+CTES["x_rho"] = """
+SELECT a.symbol AS a, b.symbol AS b, corr(a.ret,b.ret) AS raw, corr(a.neutral,b.neutral) AS neutral, max(a.t) AS t FROM x_pr1 a JOIN x_pr1 b ON a.dt=b.dt GROUP BY 1, 2"""
 
 
-@query("breadth_curve")
+@query(
+    "breadth_curve",
+    f"""WITH sizes AS (SELECT DISTINCT least(s,k) AS n FROM (SELECT any_value(k) AS k FROM x_pick), unnest([{', '.join(map(str, CURVE))}, 1000000000]) AS u(s) WHERE k IS NOT NULL),
+pairs AS (SELECT kind, t, greatest(p.pos,q.pos) AS upto, rho FROM (SELECT a, b, t, 'raw' AS kind, raw AS rho FROM x_rho UNION ALL SELECT a, b, t, 'neutral', neutral FROM x_rho) r
+ JOIN x_pick p ON p.symbol=r.a JOIN x_pick q ON q.symbol=r.b)
+SELECT CAST(n AS BIGINT) AS n, kind, CAST(n AS BIGINT) AS n_names, CAST(max(t) AS INTEGER) AS n_dates, round(sum(rho*rho),4)+0.0 AS sum_sq_corr, round(n*n/sum(rho*rho),6)+0.0 AS n_eff
+FROM sizes JOIN pairs ON upto<=n GROUP BY n, kind""",
+)
 def breadth_curve(d):
-    return rounded(inference.breadth_curve(weekly_returns(d), (2, 5, 10, 20, 50, 100, 200, 400, 800), width=d.names), sum_sq_corr=4)
+    return rounded(inference.breadth_curve(weekly_returns(d), CURVE, width=d.names), sum_sq_corr=4)
 
 
 @query(
@@ -636,3 +659,28 @@ def avg_cross_corr(d):
         F.explode(F.create_map(*[x for s in SIG for x in (F.lit(s), F.lit("fast" if s == "reversal5" else "slow"))])).alias("strategy", "grp")
     )
     return rounded(inference.avg_cross_corr(b, g))
+
+
+#: Books by the source of their signal.
+SOURCES = {
+    "momentum": [s for s in SIG if s.startswith("mom")],
+    "price": [s for s in SIG if s.startswith(("mom", "reversal"))],
+    "risk": [s for s in SIG if not s.startswith(("mom", "reversal"))],
+    "all": list(SIG),
+}
+CTES["x_src"] = " UNION ALL ".join(f"SELECT '{k}' AS s, '{n}' AS signal" for k, v in SOURCES.items() for n in v)
+CTES["x_srcb"] = """
+SELECT * FROM (SELECT s, signal, dt, ret, count(*) OVER (PARTITION BY s, dt) AS k, (SELECT count(*) FROM x_src y WHERE y.s=x.s AND y.signal IN (SELECT signal FROM x_book GROUP BY 1 HAVING count(ret)>=60)) AS nominal
+ FROM x_book JOIN x_src x USING (signal) WHERE ret IS NOT NULL AND signal IN (SELECT signal FROM x_book GROUP BY 1 HAVING count(ret)>=60)) WHERE k=nominal"""
+
+
+@query(
+    "source_breadth",
+    """
+WITH rho AS (SELECT a.s, a.signal AS a, b.signal AS b, any_value(a.nominal) AS nominal, count(*) AS n, corr(a.ret,b.ret) AS rho FROM x_srcb a JOIN x_srcb b ON a.s=b.s AND a.dt=b.dt GROUP BY 1, 2, 3)
+SELECT s AS "set", any_value(nominal) AS nominal, CAST(max(n) AS INTEGER) AS n_dates, round(CASE WHEN any_value(nominal)>1 THEN pow(any_value(nominal),2)/sum(rho*rho) END,6)+0.0 AS n_eff,
+ round(CASE WHEN any_value(nominal)>1 THEN avg(rho) FILTER (a<>b) END,6)+0.0 AS mean_corr FROM rho GROUP BY s""",
+)
+def source_breadth(d):
+    b = sector_book(d).withColumnRenamed("signal", "strategy")
+    return rounded(inference.effective_books(b, SOURCES))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import MARKET, TRADING_DAYS
 from ..functions import full, lagged, ratio, rows_back, sym_order
+from ..functions.frames import LONG, trailing, trailing_mean
 from . import ranking
 
 
@@ -32,7 +33,11 @@ def returns(ix: DataFrame) -> DataFrame:
 
 def moving_averages(ix: DataFrame, spans=(20, 50, 200), col="adj_close") -> DataFrame:
     """Trailing means; partial windows at the start count."""
-    return ix.select("*", *[F.avg(col).over(rows_back(n)).alias(f"sma_{n}") for n in spans])
+    d = ix.select("*", *[F.avg(col).over(rows_back(n)).alias(f"sma_{n}") for n in spans if n < LONG])
+    for n in spans:
+        if n >= LONG:
+            d = trailing_mean(d, n, col, f"sma_{n}")
+    return d
 
 
 def volume_ratio(ix: DataFrame, n: int = 20) -> DataFrame:
@@ -44,11 +49,9 @@ def volume_ratio(ix: DataFrame, n: int = 20) -> DataFrame:
 
 def extremes(ix: DataFrame, n: int = 252, prior: int = 20) -> DataFrame:
     """Trailing extremes with today, prior extremes without, and distances."""
-    hi, lo = F.max("high").over(rows_back(n)), F.min("low").over(rows_back(n))
-    return ix.select(
+    hi, lo = F.col(f"high_{n}"), F.col(f"low_{n}")
+    return trailing(ix, n, {f"high_{n}": ("max", "high"), f"low_{n}": ("min", "low")}).select(
         "*",
-        hi.alias(f"high_{n}"),
-        lo.alias(f"low_{n}"),
         F.max("high").over(rows_back(prior, 1)).alias(f"prior_high_{prior}"),
         F.min("low").over(rows_back(prior, 1)).alias(f"prior_low_{prior}"),
         F.when(hi > 0, F.col("adj_close") / hi - 1.0).alias("dist_52w_high"),
@@ -154,15 +157,12 @@ def research_panel(ix: DataFrame, horizons=(21,), market: str = MARKET) -> DataF
     p = p.withColumn("ret", a / lagged("adj_close") - 1.0).withColumn(
         "_usd", F.col("close") * F.col("volume")
     )
-    w252 = rows_back(252)
-    pair = F.when(F.col("ret").isNotNull() & F.col("mkt").isNotNull(), F.lit(1))
-    cov = F.when(F.count(pair).over(w252) >= 120, F.covar_samp("ret", "mkt").over(w252))
-    var = full(F.var_samp("mkt"), "mkt", 252, 120)
+    p = _trailing_beta(p, 252, 120)
     p = p.select(
-        "*",
+        *[c for c in p.columns if c != "beta"],
         full(F.avg("_usd"), "_usd", 20).alias("adv"),
         full(F.stddev_samp("ret"), "ret", 63, 40).alias("vol63"),
-        ratio(cov, var).alias("beta"),
+        "beta",
         (a / lagged("adj_close", 126) - 1.0).alias("mom126"),
         (a / lagged("adj_close", 252) - 1.0).alias("mom252"),
         (-(a / lagged("adj_close", 5) - 1.0)).alias("reversal5"),
@@ -171,6 +171,22 @@ def research_panel(ix: DataFrame, horizons=(21,), market: str = MARKET) -> DataF
     return p.withColumn("size", size_col()).withColumn("half_bps", half_spread_bps())
 
 
+def _trailing_beta(p: DataFrame, n: int, need: int) -> DataFrame:
+    """Adds beta: covariance of ret with mkt over the variance of mkt in the last n rows, each from `need` values on.
+
+    Both come from sums over the frame; daily returns are small against their spread, so nothing cancels.
+    """
+    both = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
+    x, y = F.when(both, F.col("ret")), F.when(both, F.col("mkt"))
+    d = trailing(p, n, {
+        "_k": ("count", x), "_x": ("sum", x), "_y": ("sum", y), "_xy": ("sum", x * y),
+        "_m": ("count", "mkt"), "_z": ("sum", "mkt"), "_zz": ("sum", F.col("mkt") * F.col("mkt")),
+    })
+    cov = F.when(F.col("_k") >= need, (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_k")) / (F.col("_k") - 1))
+    var = F.when(F.col("_m") >= need, (F.col("_zz") - F.col("_z") * F.col("_z") / F.col("_m")) / (F.col("_m") - 1))
+    return d.withColumn("beta", ratio(cov, var)).drop("_k", "_x", "_y", "_xy", "_m", "_z", "_zz")
+
+
 def size_col(adv="adv"):
     return F.log(F.greatest(F.col(adv), F.when(F.col(adv).isNotNull(), F.lit(1e5))))
 
@@ -226,9 +242,9 @@ def market_regimes(ix: DataFrame, market: str = MARKET, min_obs: int = 250) -> D
     """
     m = ix.filter(F.col("symbol") == market).select("symbol", "dt", "day_index", "adj_close")
     m = m.withColumn("ret", F.col("adj_close") / lagged("adj_close") - 1.0)
+    m = trailing_mean(m, 200, "adj_close", "sma_200", need=200)
     m = m.select(
         "*",
-        full(F.avg("adj_close"), "adj_close", 200).alias("sma_200"),
         (full(F.stddev_samp("ret"), "ret", 63) * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("vol63"),
     )
     past = sym_order().rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full, lagged, ratio, rows_back, sym_order
+from ..functions.frames import trailing, trailing_mean
 from . import smoothing
 from .features import true_range_col
 
@@ -27,16 +28,20 @@ def _base(ix: DataFrame) -> DataFrame:
         return F.when(F.col("_bar") >= n + end, agg.over(rows_back(n, end)))
 
     d = ix.withColumn("_bar", F.row_number().over(sym_order()))
+    d = trailing_mean(trailing_mean(d, 100, "adj_close", "_m100"), 200, "adj_close", "_m200")
+    d = trailing(d, 252, {"_high": ("max", "high")})
     d = d.select(
         "*",
-        *[over(F.avg("adj_close"), n).alias(f"m{n}") for n in (20, 50, 100, 200)],
+        *[over(F.avg("adj_close"), n).alias(f"m{n}") for n in (20, 50)],
+        *[F.when(enough(n), F.col(f"_m{n}")).alias(f"m{n}") for n in (100, 200)],
         over(F.stddev_samp("adj_close"), 20).alias("s20"),
         over(F.min("low"), 14).alias("lo14"),
         over(F.max("high"), 14).alias("hi14"),
         over(F.min("low"), 20).alias("lo20"),
-        *[over(F.max("high"), n, 1).alias(f"prior{n}") for n in (20, 55, 252)],
+        *[over(F.max("high"), n, 1).alias(f"prior{n}") for n in (20, 55)],
+        F.when(enough(253), lagged("_high")).alias("prior252"),
         F.when(enough(20), ratio(V, F.avg("volume").over(rows_back(20)))).alias("relvol"),
-    )
+    ).drop("_m100", "_m200", "_high")
     d = d.withColumn("stoch", 100 * ratio(C - F.col("lo14"), F.col("hi14") - F.col("lo14")))
     d = d.withColumn("_fall", F.col("adj_close") < lagged("adj_close"))
     return smoothing.rsi(smoothing.macd(d), "adj_close", "rsi14")
@@ -216,6 +221,10 @@ def scores(ix: DataFrame, names=None) -> DataFrame:
     names = list(names) if names is not None else SCORE_NAMES + list(EXTRA_SCORES)
     mom = lambda n: A / lagged("adj_close", n) - 1.0
     d = ix
+    if "dist_sma_200" in names:
+        d = trailing_mean(d, 200, "adj_close", "_m200", need=200)
+    if "near_52w_high" in names:
+        d = trailing(d, 252, {"_top": ("max", "high"), "_top_n": ("count", "high")})
     if "rsi_14" in names:
         d = smoothing.rsi(d, "adj_close", "rsi_14")
     if "low_vol_63d" in names:
@@ -230,12 +239,12 @@ def scores(ix: DataFrame, names=None) -> DataFrame:
         "reversal_5d": lambda: -mom(5),
         "reversal_21d": lambda: -mom(21),
         "dist_sma_50": lambda: A / full(F.avg("adj_close"), "adj_close", 50) - 1.0,
-        "dist_sma_200": lambda: A / full(F.avg("adj_close"), "adj_close", 200) - 1.0,
+        "dist_sma_200": lambda: A / F.col("_m200") - 1.0,
         "rsi_14": lambda: F.col("rsi_14"),
         "low_vol_63d": lambda: -full(F.stddev_samp("_r"), "_r", 63),
         "rel_volume_20": lambda: ratio(V, full(F.avg("volume"), "volume", 20)),
         "low_atr_14": lambda: -(full(F.avg("_tr"), "_tr", 14) / C),
-        "near_52w_high": lambda: A / full(F.max("high"), "high", 252) - 1.0,
+        "near_52w_high": lambda: A / F.when(F.col("_top_n") >= 252, F.col("_top")) - 1.0,
     }
     made = [(EXTRA_SCORES[n] if n in EXTRA_SCORES else build[n]()).alias(n) for n in names]
     return d.select(*[c for c in ix.columns if c not in names], *made)

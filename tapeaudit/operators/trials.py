@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cut
+from . import inference
 from .ledger import GENESIS, chain_fold
 
 
@@ -154,14 +156,23 @@ def pending(predictions: DataFrame, results: DataFrame) -> DataFrame:
     return new_predictions(predictions, results)
 
 
-def ledger_record(results: DataFrame, benchmark: DataFrame, horizon: int = 5) -> DataFrame:
-    """Per stage: trades, dates, effective count, mean of the per-date means, win rate and
-    excess over the benchmark's mean.  `benchmark` has (dt, bench)."""
-    per = results.groupBy("stage", "dt").agg(
+def ledger_record(
+    results: DataFrame, benchmark: DataFrame, horizon: int = 5, predictions: DataFrame | None = None,
+    reps: int = 5000, mean_block: float = 10, min_dates: int = 10,
+) -> DataFrame:
+    """The forward record, one row per stage: trades, dates, effective count, mean of the per-date means, win rate, excess
+    over the benchmark's mean, and whether the record is more than luck.
+
+    `benchmark` has (dt, bench).  paired_excess is the mean of the per-date differences to it on the dates both have
+    (`paired_dates`); its interval and p come from stationary resamples and are null below `min_dates`.  pending counts
+    the predictions of the stage without a result; a stage with nothing but those has zero trades.
+    """
+    per = cut(results.groupBy("stage", "dt").agg(
         F.avg("ret_net").alias("m"), F.count(F.lit(1)).alias("k"), F.sum("win").alias("w")
-    )
-    first = results.agg(F.min("dt").alias("_lo")).withColumn("_j", F.lit(1))
-    b = benchmark.filter("bench is not null").withColumn("_j", F.lit(1)).join(first, "_j").filter("dt > _lo")
+    ))
+    bench = cut(benchmark.filter("bench is not null").select("dt", "bench"))
+    first = per.agg(F.min("dt").alias("_lo")).withColumn("_j", F.lit(1))
+    b = bench.withColumn("_j", F.lit(1)).join(first, "_j").filter("dt > _lo")
     b = b.agg(F.avg("bench").alias("bench")).withColumn("_j", F.lit(1))
     g = per.groupBy("stage").agg(
         F.sum("k").alias("trades"),
@@ -170,6 +181,16 @@ def ledger_record(results: DataFrame, benchmark: DataFrame, horizon: int = 5) ->
         F.avg("m").alias("mean_net"),
         (F.sum("w") / F.sum("k")).alias("win_rate"),
     )
-    return g.withColumn("_j", F.lit(1)).join(b, "_j").withColumn(
+    g = g.withColumn("_j", F.lit(1)).join(b, "_j").withColumn(
         "excess_pct", (F.col("mean_net") - F.col("bench")) * 100
     ).drop("_j", "bench")
+    pair = cut(per.join(bench, "dt").select("stage", "dt", (F.col("m") - F.col("bench")).alias("ret")))
+    seen = pair.groupBy("stage").agg(F.count(F.lit(1)).alias("paired_dates"), F.avg("ret").alias("paired_excess"))
+    enough = pair.join(seen.filter(F.col("paired_dates") >= min_dates).select("stage"), "stage", "left_semi")
+    luck = inference.boot_mean_ci(enough, reps, mean_block, ["stage"]).select("stage", "lo", "hi", "p")
+    g = g.join(seen, "stage", "left").join(luck, "stage", "left")
+    if predictions is None:
+        return g
+    left = pending(predictions, results.select("dt", "symbol")).groupBy("stage").agg(F.count(F.lit(1)).alias("pending"))
+    counts = ("trades", "dates", "paired_dates", "pending")
+    return g.join(left, "stage", "full").fillna(0, list(counts))

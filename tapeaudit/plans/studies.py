@@ -122,16 +122,20 @@ def materiality(resolved: DataFrame, bars: DataFrame, facts: DataFrame, excess:
 
 
 def materiality_table(m: DataFrame, q: int = 5) -> DataFrame:
-    """Excess return by quintile of award size over market value."""
+    """Excess return by quintile of award size over market value; `spread` is the top quintile's mean less the bottom's."""
     d = m.select(F.lit(1).alias("_all"), F.concat("symbol", "month").alias("key"), "award_over_mcap", "fwd_21")
     d = xsection.with_bucket(d, ["_all"], "award_over_mcap", q, tie="key")
-    return d.groupBy("bucket").agg(
+    g = d.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("award_over_mcap").alias("lo"),
+        F.median("award_over_mcap").alias("median"),
         F.max("award_over_mcap").alias("hi"),
         F.avg("fwd_21").alias("mean_fwd"),
         F.try_divide(F.avg("fwd_21"), F.stddev_samp("fwd_21") / F.sqrt(F.count(F.lit(1)))).alias("t"),
     )
+    g = cut(g)
+    ends = g.agg((F.max_by("mean_fwd", "bucket") - F.min_by("mean_fwd", "bucket")).alias("spread"))
+    return g.withColumn("_j", F.lit(1)).join(ends.withColumn("_j", F.lit(1)), "_j").drop("_j")
 
 
 def materiality_corr(m: DataFrame) -> DataFrame:

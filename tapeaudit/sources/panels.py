@@ -171,9 +171,11 @@ def fundamentals(spark, sf_dir) -> DataFrame:
     filed = F.col("o_orderdate").cast("date")
     end = F.date_sub(F.trunc(filed, "month"), 1)
     concept = (
-        F.when(F.floor(k / 4) % 4 == 0, "NetIncomeLoss")
-        .when(F.floor(k / 4) % 4 == 1, "Assets")
-        .when(F.floor(k / 4) % 4 == 2, "StockholdersEquity")
+        F.when(F.floor(k / 4) % 6 == 0, "NetIncomeLoss")
+        .when(F.floor(k / 4) % 6 == 1, "Assets")
+        .when(F.floor(k / 4) % 6 == 2, "StockholdersEquity")
+        .when(F.floor(k / 4) % 6 == 3, "NetCashProvidedByUsedInOperatingActivities")
+        .when(F.floor(k / 4) % 6 == 4, "GrossProfit")
         .otherwise("CommonStockSharesOutstanding")
     )
     days = F.when(F.floor(k / 16) % 5 == 0, 365).otherwise(90)
