@@ -419,49 +419,50 @@ def drop_blank_rows(d):
     return quality.drop_blank_rows(o, ["field", "text_value", "source"])
 
 
-TRADE_RULES = [
-    ("trade_id IS NOT NULL AND first_row < row_id", "trade_id", "error", "duplicate id"),
-    ("symbol NOT IN (SELECT symbol FROM x_symbols)", "symbol", "error", "unknown symbol"),
-    ("direction NOT IN ('long','short')", "direction", "error", "must be long or short"),
-    ("opened_at > DATE '2001-06-01'", "opened_at", "error", "in the future"),
-    ("direction='long' AND stop>=entry", "stop", "error", "long stop at or above entry"),
-    ("direction='short' AND stop<=entry", "stop", "error", "short stop at or below entry"),
-    ("direction IN ('long','short') AND abs(entry-stop)/entry > 0.25", "stop", "warn", "stop is far from entry"),
-    ("direction='long' AND target<=entry", "target", "error", "long target at or below entry"),
-    ("direction='short' AND target>=entry", "target", "error", "short target at or above entry"),
-    ("shares IS NULL", "shares", "error", "required and blank"),
-    ("shares <= 0", "shares", "error", "must be positive"),
-    ("shares > 0 AND entry*shares > 40000", "shares", "warn", "notional over 4x account"),
-    ("(closed_at IS NULL) <> (exit IS NULL)", "closed_at/exit", "error", "needs both closed_at and exit, or neither"),
-    ("closed_at < opened_at", "closed_at", "error", "before opened_at"),
-    ("signal_score NOT BETWEEN 1 AND 10", "signal_score", "error", "must be 1-10"),
-    ("followed_plan IS NULL", "followed_plan", "warn", "blank"),
-    ("followed_plan NOT IN (0,1)", "followed_plan", "error", "must be 1 or 0"),
-]
+TRADE_RULES = {
+    "trade_id": {"repeated": "first_row < row_id"},
+    "symbol": {"not_listed": "symbol NOT IN (SELECT symbol FROM x_symbols)"},
+    "direction": {"no_side": "direction NOT IN ('long','short')"},
+    "opened_at": {"after_today": "opened_at > DATE '2001-06-01'"},
+    "stop": {
+        "wrong_side": "direction='long' AND stop>=entry OR direction='short' AND stop<=entry",
+        "wide_stop": "direction IN ('long','short') AND abs(entry-stop)/entry > 0.25",
+    },
+    "target": {"wrong_side": "direction='long' AND target<=entry OR direction='short' AND target>=entry"},
+    "shares": {"empty": "shares IS NULL", "not_above_zero": "shares <= 0", "oversized": "shares > 0 AND entry*shares > 40000"},
+    "closed_at": {"before_open": "closed_at < opened_at"},
+    "closed_at/exit": {"half_closed": "(closed_at IS NULL) <> (exit IS NULL)"},
+    "signal_score": {"off_scale": "signal_score NOT BETWEEN 1 AND 10"},
+    "followed_plan": {"plan_unmarked": "followed_plan IS NULL", "not_a_flag": "followed_plan NOT IN (0,1)"},
+}
+
+
+def issues_sql(row: str, source: str, rules: dict[str, dict[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {row}, '{column}' AS \"column\", '{'warn' if code in ('wide_stop', 'oversized', 'plan_unmarked') else 'error'}' AS severity, '{code}' AS message FROM {source} WHERE {cond}"
+        for column, codes in rules.items()
+        for code, cond in codes.items()
+    )
+
+
 CTES["x_jt"] = "SELECT *, min(row_id) OVER (PARTITION BY trade_id) AS first_row FROM x_journal"
 
 
-@query(
-    "validate_trades",
-    " UNION ALL ".join(
-        f"SELECT row_id, '{c}' AS \"column\", '{s}' AS severity, '{m}' AS message FROM x_jt WHERE {w}"
-        for w, c, s, m in TRADE_RULES
-    ),
-)
+@query("validate_trades", issues_sql("row_id", "x_jt", TRADE_RULES))
 def validate_trades(d):
     return quality.validate_trades(
         panels.journal(d.spark, d.dir), d.symbols, F.lit("2001-06-01").cast("date")
     )
 
 
-OBS_RULES = [
-    ("symbol NOT IN (SELECT symbol FROM x_up)", "symbol", "unknown symbol"),
-    ("dt IS NULL", "dt", "unparseable date"),
-    ("trim(field) = ''", "field", "blank field name"),
-    ("value IS NULL AND text_value IS NULL", "value", "both value and text_value are blank"),
-    ("trim(source) = ''", "source", "blank source"),
-    ("first_row < obs_id", "symbol/dt/field", "duplicate"),
-]
+OBS_RULES = {
+    "symbol": {"not_listed": "symbol NOT IN (SELECT symbol FROM x_up)"},
+    "dt": {"no_date": "dt IS NULL"},
+    "field": {"empty": "trim(field) = ''"},
+    "value": {"nothing_observed": "value IS NULL AND text_value IS NULL"},
+    "source": {"empty": "trim(source) = ''"},
+    "symbol/dt/field": {"repeated": "first_row < obs_id"},
+}
 CTES["x_up"] = "SELECT upper(symbol) AS symbol FROM x_symbols"
 CTES["x_ot"] = (
     "SELECT obs_id, upper(symbol) AS symbol, dt, field, value, text_value, source, "
@@ -469,13 +470,7 @@ CTES["x_ot"] = (
 )
 
 
-@query(
-    "validate_observations",
-    " UNION ALL ".join(
-        f"SELECT obs_id, '{c}' AS \"column\", 'error' AS severity, '{m}' AS message FROM x_ot WHERE {w}"
-        for w, c, m in OBS_RULES
-    ),
-)
+@query("validate_observations", issues_sql("obs_id", "x_ot", OBS_RULES))
 def validate_observations(d):
     return quality.validate_observations(panels.observations(d.spark, d.dir), d.symbols)
 

@@ -102,12 +102,13 @@ def trend_flags(ma: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: column names
 FEATURES = (
-    "symbol dt day_index sector kind bar_num open high low close adj_close volume ret_1d gap_pct "
-    "range_pct sma_20 sma_50 sma_200 atr_14 vol_20_annual dist_sma_20 dist_sma_50 dist_sma_200 "
-    "rel_volume dist_52w_high dist_52w_low atr_pct prior_high_20 prior_low_20 mom_5d mom_21d "
-    "mom_63d mom_126d regime_bull above_200"
-).split()
+    "symbol", "dt", "day_index", "sector", "kind", "bar_num", "open", "high", "low", "close", "adj_close",
+    "volume", "ret_1d", "gap_pct", "range_pct", "sma_20", "sma_50", "sma_200", "atr_14", "vol_20_annual",
+    "dist_sma_20", "dist_sma_50", "dist_sma_200", "rel_volume", "dist_52w_high", "dist_52w_low", "atr_pct",
+    "prior_high_20", "prior_low_20", "mom_5d", "mom_21d", "mom_63d", "mom_126d", "regime_bull", "above_200",
+)
 
 
 def features(ix: DataFrame) -> DataFrame:

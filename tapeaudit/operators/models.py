@@ -12,11 +12,13 @@ from ..config import TRADING_DAYS
 from ..functions import uniform
 from . import perf, ranking
 
+# fixed values: column names
 FEATURES = (
-    "ret_1d gap_pct range_pct dist_sma_20 dist_sma_50 dist_sma_200 rel_volume dist_52w_high dist_52w_low "
-    "atr_pct mom_5d mom_21d mom_63d mom_126d vol_20_annual regime_bull above_200 mkt_ret_1d mkt_vol_20 "
-    "mkt_dist_sma_200 mkt_regime_bull mom_21d_xs_rank rel_volume_xs_rank vol_20_xs_rank"
-).split()
+    "ret_1d", "gap_pct", "range_pct", "dist_sma_20", "dist_sma_50", "dist_sma_200", "rel_volume",
+    "dist_52w_high", "dist_52w_low", "atr_pct", "mom_5d", "mom_21d", "mom_63d", "mom_126d", "vol_20_annual",
+    "regime_bull", "above_200", "mkt_ret_1d", "mkt_vol_20", "mkt_dist_sma_200", "mkt_regime_bull",
+    "mom_21d_xs_rank", "rel_volume_xs_rank", "vol_20_xs_rank",
+)
 TARGET, RET = "label_win_5d", "fwd_ret_5d_net"
 # boosting goes on while the held-out loss falls by more than this share; MLlib's own 1 % ends at the first slow round
 VALIDATION_TOL = 1e-7

@@ -159,18 +159,24 @@ def drop_blank_rows(df: DataFrame, inputs) -> DataFrame:
     return df.filter(~reduce(lambda a, b: a & b, [_blank(c) for c in have]))
 
 
-def _collect_issues(df: DataFrame, row: str, rules) -> DataFrame:
-    """rules: (condition, column, severity, message); each hit becomes a row."""
-    hits = F.array(
-        *[
-            F.when(
-                F.coalesce(cond, F.lit(False)),
-                F.struct(F.lit(c).alias("column"), F.lit(sev).alias("severity"), F.lit(msg).alias("message")),
-            )
-            for cond, c, sev, msg in rules
-        ]
-    )
-    return df.select(F.col(row), F.explode(F.array_compact(hits)).alias("i")).select(row, "i.*")
+#: Codes that are worth a look but do not make a row wrong.
+DOUBTS = ("wide_stop", "oversized", "plan_unmarked")
+
+
+def _collect_issues(df: DataFrame, row: str, rules: dict[str, dict[str, Column]]) -> DataFrame:
+    """rules: column -> code -> condition; each condition that holds becomes a row (row, column, severity, message = code)."""
+    hits = [
+        F.when(cond, F.struct(F.lit(column).alias("column"), F.lit("warn" if code in DOUBTS else "error").alias("severity"), F.lit(code).alias("message")))
+        for column, codes in rules.items()
+        for code, cond in codes.items()
+    ]
+    return df.select(F.col(row), F.explode(F.array_compact(F.array(*hits))).alias("i")).select(row, "i.*")
+
+
+def _quantity(name: str, required: bool = True) -> dict[str, Column]:
+    """What any price or size has to be: there (if required) and above zero."""
+    low = {"not_above_zero": F.col(name) <= 0}
+    return {"empty": F.col(name).isNull(), **low} if required else low
 
 
 def _flag_unknown(df: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -196,42 +202,26 @@ def validate_trades(
     """Row rules over a hand-kept trade journal; one output row per problem."""
     t = _flag_repeats(_flag_unknown(trades, symbols), ["trade_id"], row)
     c = F.col
-    d = F.lower(F.trim(F.coalesce("direction", F.lit(""))))
-    known_side = d.isin("long", "short")
-    entry, stop, target, shares = c("entry"), c("stop"), c("target"), c("shares")
-    has_close, has_exit = c("closed_at").isNotNull(), c("exit").isNotNull()
-    rules = [
-        (c("trade_id").isNull(), "trade_id", "error", "blank trade_id"),
-        (c("trade_id").isNotNull() & c("_dup"), "trade_id", "error", "duplicate id"),
-        (c("_sym") == "", "symbol", "error", "blank symbol"),
-        ((c("_sym") != "") & c("_known").isNull(), "symbol", "error", "unknown symbol"),
-        (~known_side, "direction", "error", "must be long or short"),
-        (c("opened_at").isNull(), "opened_at", "error", "unparseable date"),
-        (c("opened_at") > today, "opened_at", "error", "in the future"),
-        (entry.isNull(), "entry", "error", "required and blank"),
-        (entry <= 0, "entry", "error", "must be positive"),
-        (stop.isNull(), "stop", "error", "required and blank"),
-        (stop <= 0, "stop", "error", "must be positive"),
-        ((d == "long") & (stop >= entry), "stop", "error", "long stop at or above entry"),
-        ((d == "short") & (stop <= entry), "stop", "error", "short stop at or below entry"),
-        (
-            known_side & (entry > 0) & (F.try_divide(F.abs(entry - stop), entry) > 0.25),
-            "stop",
-            "warn",
-            "stop is far from entry",
-        ),
-        ((d == "long") & (target <= entry), "target", "error", "long target at or below entry"),
-        ((d == "short") & (target >= entry), "target", "error", "short target at or above entry"),
-        (shares.isNull(), "shares", "error", "required and blank"),
-        (shares <= 0, "shares", "error", "must be positive"),
-        ((shares > 0) & (entry * shares > account * 4), "shares", "warn", "notional over 4x account"),
-        (has_close != has_exit, "closed_at/exit", "error", "needs both closed_at and exit, or neither"),
-        (c("closed_at") < c("opened_at"), "closed_at", "error", "before opened_at"),
-        (c("exit") <= 0, "exit", "error", "must be positive"),
-        (~c("signal_score").between(1, 10), "signal_score", "error", "must be 1-10"),
-        (c("followed_plan").isNull(), "followed_plan", "warn", "blank"),
-        (~c("followed_plan").isin(0, 1), "followed_plan", "error", "must be 1 or 0"),
-    ]
+    side = F.lower(F.trim(F.coalesce("direction", F.lit(""))))
+    sign = F.when(side == "long", 1).when(side == "short", -1)  # null: neither
+    # distances along the trade: a stop has to lie behind the entry, a target ahead of it
+    to_stop, to_target = sign * (c("stop") - c("entry")), sign * (c("target") - c("entry"))
+    risk = F.try_divide(F.abs(to_stop), F.when(c("entry") > 0, c("entry")))
+    rules = {
+        "trade_id": {"empty": c("trade_id").isNull(), "repeated": c("trade_id").isNotNull() & c("_dup")},
+        "symbol": {"empty": c("_sym") == "", "not_listed": (c("_sym") != "") & c("_known").isNull()},
+        "direction": {"no_side": sign.isNull()},
+        "opened_at": {"no_date": c("opened_at").isNull(), "after_today": c("opened_at") > today},
+        "entry": _quantity("entry"),
+        "stop": {**_quantity("stop"), "wrong_side": to_stop >= 0, "wide_stop": risk > 0.25},
+        "target": {"wrong_side": to_target <= 0},
+        "shares": {**_quantity("shares"), "oversized": (c("shares") > 0) & (c("entry") * c("shares") > account * 4)},
+        "closed_at": {"before_open": c("closed_at") < c("opened_at")},
+        "exit": _quantity("exit", required=False),
+        "closed_at/exit": {"half_closed": c("closed_at").isNull() != c("exit").isNull()},
+        "signal_score": {"off_scale": ~c("signal_score").between(1, 10)},
+        "followed_plan": {"plan_unmarked": c("followed_plan").isNull(), "not_a_flag": ~c("followed_plan").isin(0, 1)},
+    }
     return _collect_issues(t, row, rules)
 
 
@@ -239,14 +229,14 @@ def validate_observations(obs: DataFrame, symbols: DataFrame, row: str = "obs_id
     o = _flag_unknown(obs, symbols).withColumn("_fld", F.trim(F.coalesce("field", F.lit(""))))
     o = _flag_repeats(o, ["_sym", "dt", "_fld"], row)
     c = F.col
-    rules = [
-        ((c("_sym") != "") & c("_known").isNull(), "symbol", "error", "unknown symbol"),
-        (c("dt").isNull(), "dt", "error", "unparseable date"),
-        (c("_fld") == "", "field", "error", "blank field name"),
-        (c("value").isNull() & _blank("text_value"), "value", "error", "both value and text_value are blank"),
-        (_blank("source"), "source", "error", "blank source"),
-        (c("_dup"), "symbol/dt/field", "error", "duplicate"),
-    ]
+    rules = {
+        "symbol": {"not_listed": (c("_sym") != "") & c("_known").isNull()},
+        "dt": {"no_date": c("dt").isNull()},
+        "field": {"empty": c("_fld") == ""},
+        "value": {"nothing_observed": c("value").isNull() & _blank("text_value")},
+        "source": {"empty": _blank("source")},
+        "symbol/dt/field": {"repeated": c("_dup")},
+    }
     return _collect_issues(o, row, rules)
 
 

@@ -206,10 +206,11 @@ def fired(wide: DataFrame, names, keep=("symbol", "dt", "day_index")) -> DataFra
 
 
 # ---------------------------------------------------------------------- scores
+# fixed values: column names
 SCORE_NAMES = (
-    "mom_21d mom_63d mom_126d mom_252d_skip reversal_5d reversal_21d dist_sma_50 dist_sma_200 "
-    "rsi_14 low_vol_63d rel_volume_20 low_atr_14 near_52w_high"
-).split()
+    "mom_21d", "mom_63d", "mom_126d", "mom_252d_skip", "reversal_5d", "reversal_21d", "dist_sma_50",
+    "dist_sma_200", "rsi_14", "low_vol_63d", "rel_volume_20", "low_atr_14", "near_52w_high",
+)
 
 
 def scores(ix: DataFrame, names=None) -> DataFrame:
@@ -218,7 +219,7 @@ def scores(ix: DataFrame, names=None) -> DataFrame:
     mom_252d_skip is plain 252-session momentum: nothing is skipped.
     """
     _, _, _, C, A, V = _px()
-    names = list(names) if names is not None else SCORE_NAMES + list(EXTRA_SCORES)
+    names = list(names) if names is not None else [*SCORE_NAMES, *EXTRA_SCORES]
     mom = lambda n: A / lagged("adj_close", n) - 1.0
     d = ix
     if "dist_sma_200" in names:
