@@ -360,8 +360,11 @@ def event_reaction_signals(d):
     """
 WITH px AS (SELECT symbol, dt, adj_close/lag(adj_close) OVER w-1.0 AS move, lead(adj_close,60) OVER w/adj_close-1.0 AS drift
   FROM x_ix WINDOW w AS (PARTITION BY symbol ORDER BY day_index)),
-j AS (SELECT px.*, e.surprise_pct AS sp FROM px LEFT JOIN x_ev1 e ON e.symbol=px.symbol AND e.tradeable_from=px.dt WHERE move IS NOT NULL)
-SELECT count(sp) AS events, round(corr(sp,move),6)+0.0 AS surprise_move_corr,
+j AS (SELECT px.*, e.surprise_pct AS sp FROM px LEFT JOIN x_ev1 e ON e.symbol=px.symbol AND e.tradeable_from=px.dt WHERE move IS NOT NULL),
+q AS (SELECT move, drift, greatest(((rn-1)*5+n-2)//NULLIF(n-1,0),1)-1 AS b, greatest(((n-1)*5+n-2)//NULLIF(n-1,0),1)-1 AS tb FROM (
+ SELECT *, row_number() OVER (ORDER BY sp, symbol||'|'||dt) AS rn, count(*) OVER () AS n FROM j WHERE sp IS NOT NULL)),
+e AS (SELECT avg(move) FILTER (b=tb)-avg(move) FILTER (b=0) AS ms, avg(drift) FILTER (b=tb)-avg(drift) FILTER (b=0) AS ds FROM q)
+SELECT count(sp) AS events, round((SELECT ms FROM e),6)+0.0 AS move_spread, round((SELECT ds FROM e),6)+0.0 AS drift_spread, round(corr(sp,move),6)+0.0 AS surprise_move_corr,
  round((SELECT corr(sp,drift) FROM j WHERE sp IS NOT NULL AND drift IS NOT NULL),6)+0.0 AS surprise_drift_corr,
  round(avg(CASE WHEN sp IS NOT NULL THEN CASE WHEN abs(move)<0.005 THEN 1 ELSE 0 END END),6)+0.0 AS share_near_zero,
  round(stddev_samp(CASE WHEN sp IS NOT NULL THEN move END)/stddev_samp(CASE WHEN sp IS NULL THEN move END),6)+0.0 AS event_vol_ratio

@@ -329,9 +329,16 @@ def live_book(d):
     return rounded(b, usd=4)
 
 
-@query("live_capacity")
+@query(
+    "live_capacity",
+    """SELECT count(*) AS names, CAST(coalesce(sum(CASE WHEN shares=0 THEN 1 ELSE 0 END),0) AS BIGINT) AS zero_shares, round(median(close),6)+0.0 AS median_price,
+ round(median(close)*10*count(*),6)+0.0 AS min_gross_usd, CAST(coalesce(sum(CASE WHEN shares=0 THEN 1 ELSE 0 END),0)>count(*)*0.05 AS INTEGER) AS too_small FROM (
+SELECT close, side*round_even(100000.0e0/count(*) OVER ()/close,0) AS shares
+FROM (SELECT *, CASE WHEN bucket=0 THEN -1 WHEN bucket=top_bucket THEN 1 END AS side FROM x_live3) WHERE side IS NOT NULL)""",
+)
 def live_capacity(d):
-    return rounded(books.capacity(books.live_book(wide(d), "mom126", ["beta", "size"], 100_000, min_names=5, width=d.wide_names)))
+    """An empty book has no names, no price and is not too small."""
+    return rounded(books.capacity(books.live_book(wide(d), "mom126", ["beta", "size"], 100_000, min_names=50, width=d.wide_names)))
 
 
 @query(
@@ -536,7 +543,48 @@ def sleeve_compare(d):
     return rounded(studies.sleeve_compare(zscored(d), {"slow": ["z_mom126", "z_low_vol63"], "fast": ["z_reversal5"]}, "fwd_21", H, Q, d.wide_names))
 
 
-@query("portfolio_methods", None)
+# one composite score, built in four ways; the residual leaves out a factor that at most half of a date's names have
+CTES["x_pm"] = """
+SELECT symbol, dt, sector, fwd_21, half_bps, vol63, score, beta, size, mom126, 2*count(beta) OVER d>count(*) OVER d AS u1, 2*count(size) OVER d>count(*) OVER d AS u2,
+ 2*count(mom126) OVER d>count(*) OVER d AS u3 FROM (
+SELECT *, (coalesce(z_reversal5,0)+coalesce(z_low_vol63,0))/NULLIF(CAST(z_reversal5 IS NOT NULL AS INTEGER)+CAST(z_low_vol63 IS NOT NULL AS INTEGER),0) AS score FROM x_wz)
+WHERE score IS NOT NULL AND fwd_21 IS NOT NULL AND half_bps IS NOT NULL WINDOW d AS (PARTITION BY dt)"""
+CTES["x_pm1"] = """
+SELECT symbol, dt, sector, fwd_21, half_bps, vol63, score-avg(score) OVER d AS y, CASE WHEN u1 THEN beta-avg(beta) OVER d ELSE 0 END AS x1,
+ CASE WHEN u2 THEN size-avg(size) OVER d ELSE 0 END AS x2, CASE WHEN u3 THEN mom126-avg(mom126) OVER d ELSE 0 END AS x3, count(*) OVER d AS nn FROM x_pm
+WHERE (u1 OR u2 OR u3) AND (NOT u1 OR beta IS NOT NULL) AND (NOT u2 OR size IS NOT NULL) AND (NOT u3 OR mom126 IS NOT NULL) WINDOW d AS (PARTITION BY dt)"""
+
+
+def off(v: str, *axes: str) -> str:
+    """v without its projections, within the date, on orthogonal axes."""
+    return v + "".join(f" - {x}*coalesce(sum({v}*{x}) OVER d/NULLIF(sum({x}*{x}) OVER d,0),0)" for x in axes)
+
+
+CTES["x_pm2"] = f"SELECT *, {off('x2', 'x1')} AS e2 FROM x_pm1 WHERE nn>=30 WINDOW d AS (PARTITION BY dt)"
+CTES["x_pm3"] = f"SELECT *, {off('x3', 'x1', 'e2')} AS e3 FROM x_pm2 WINDOW d AS (PARTITION BY dt)"
+PM = "symbol, dt, sector, fwd_21, half_bps, vol63"
+CTES["x_pms"] = " UNION ALL ".join(f"SELECT '{m}' AS signal, {PM}, score FROM x_pm" for m in ("A quintile", "B signal", "C risk")) + f"""
+UNION ALL SELECT 'D neutral', {PM}, {off('y', 'x1', 'e2', 'e3')} FROM x_pm3 WINDOW d AS (PARTITION BY dt)"""
+CTES["x_pmq"] = bucket_sql("x_pms", "signal, dt, sector", ADAPT, 2, "signal='A quintile'")
+CTES["x_pmw"] = " UNION ALL ".join(
+    f"SELECT signal, {PM}, w FROM ({weight_sql(raw, src)})" for raw, src in (
+        ("CASE WHEN bucket=0 THEN -1.0e0 WHEN bucket=top_bucket THEN 1.0e0 ELSE 0.0e0 END", "x_pmq"),
+        (DEV, "(SELECT * FROM x_pms WHERE signal='B signal')"), (f"{DEV}/NULLIF(vol63,0)", "(SELECT * FROM x_pms WHERE signal IN ('C risk','D neutral'))"),
+    )
+)
+CTES["x_pmb"] = "SELECT signal AS method, dt, sum(w*fwd_21-abs(w)*2*half_bps/10000) AS ret FROM x_pmw GROUP BY 1, 2"
+
+
+@query("weights_neutral", "SELECT symbol, dt, round(w,6)+0.0 AS w FROM x_pmw WHERE signal='D neutral'")
+def weights_neutral(d):
+    p = zscored(d).withColumn("score", xsection.composite(["z_reversal5", "z_low_vol63"]))
+    p = p.filter("score is not null and fwd_21 is not null and half_bps is not null")
+    p = xsection.residualize(p, "score", FACTORS, out="neutral", min_names=30, need_share=0.5, width=d.wide_names)
+    w = books.weights(p.filter("neutral is not null"), "neutral", "neutral", Q, width=d.wide_names)
+    return rounded(w.select("symbol", "dt", "w"))
+
+
+@query("portfolio_methods", STATS.format(k="method", src="x_pmb"))
 def portfolio_methods(d):
     from ..plans import studies
 

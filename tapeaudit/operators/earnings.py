@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lagged, sym_order
-from . import asof, calendar
+from ..functions import cut, lagged, sym_order
+from . import asof, calendar, xsection
 from .features import expanding_z, streak
 
 DRIFT_WINDOW = 60
@@ -62,8 +62,9 @@ def attach_reaction(panel: DataFrame, events: DataFrame, ix: DataFrame, cal: Dat
 
 
 def quality_tests(events: DataFrame, ix: DataFrame, drift: int = 60) -> DataFrame:
-    """Does the surprise move the price: correlation with the event-session move, the
-    move on event sessions against others, and the share of events with almost no move."""
+    """Does the surprise move the price: correlation with the event-session move, move and later drift of the fifth with
+    the largest surprises less those of the fifth with the smallest, the move on event sessions against others, and the
+    share of events with almost no move."""
     w = sym_order()
     px = ix.select(
         "symbol",
@@ -76,6 +77,11 @@ def quality_tests(events: DataFrame, ix: DataFrame, drift: int = 60) -> DataFram
     )
     j = px.join(ev, ["symbol", "dt"], "left").filter("move is not null")
     hit = F.col("surprise_pct").isNotNull()
+    j = cut(j)
+    fifth = j.filter(hit).withColumns({"_all": F.lit(1), "_key": F.concat("symbol", F.lit("|"), "dt")})
+    fifth = xsection.with_bucket(fifth, ["_all"], "surprise_pct", 5, tie="_key")
+    edge = lambda c: F.avg(F.when(F.col("bucket") == F.col("top_bucket"), F.col(c))) - F.avg(F.when(F.col("bucket") == 0, F.col(c)))
+    ends = fifth.agg(edge("move").alias("move_spread"), edge("drift").alias("drift_spread")).withColumn("_j", F.lit(1))
     a = j.agg(
         F.count(F.when(hit, 1)).alias("events"),
         F.corr(F.when(hit, F.col("surprise_pct")), F.col("move")).alias("surprise_move_corr"),
@@ -85,4 +91,5 @@ def quality_tests(events: DataFrame, ix: DataFrame, drift: int = 60) -> DataFram
         F.stddev_samp(F.when(~hit, F.col("move"))).alias("_o"),
         F.avg(F.when(hit, (F.abs("move") < 0.005).cast("int"))).alias("share_near_zero"),
     )
-    return a.withColumn("event_vol_ratio", F.try_divide("_e", "_o")).drop("_e", "_o")
+    a = a.withColumn("event_vol_ratio", F.try_divide("_e", "_o")).drop("_e", "_o")
+    return a.withColumn("_j", F.lit(1)).join(ends, "_j").drop("_j")
