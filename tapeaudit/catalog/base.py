@@ -69,9 +69,15 @@ class Data:
     def wbars(self):
         return cut(panels.wide_bars(self.spark, self.dir))
 
+    @cached_property
+    def wide_rows(self) -> int:
+        """Rows of the weekly bars (Parquet metadata)."""
+        return self.wbars.count()
+
     @cached_property
     def wsymbols(self):
-        return panels.wide_symbols(self.spark, self.dir)
+        """Stored: the planner sees the size of the file instead of a guess for the join of three tables."""
+        return cut(panels.wide_symbols(self.spark, self.dir))
 
     @cached_property
     def wcalendar(self):
@@ -79,7 +85,7 @@ class Data:
 
     @cached_property
     def wix(self):
-        return calendar.index_bars(self.wbars, self.wcalendar, self.wsymbols)
+        return calendar.index_bars(self.wbars, self.wcalendar, self.wsymbols, self.wide_rows)
 
     @cached_property
     def earnings(self):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MARKET
-from ..functions import cut, lagged, settle
+from ..functions import cut, dealt, lagged, settle
 from ..operators import books, entities, features, inference, labels, perf, quality, ranking, xsection
 from ..sources import panels
 from .base import CTES, query, r, rounded
@@ -30,7 +30,9 @@ def wide(d):
 
 
 def zscored(d):
-    p = xsection.zscore(wide(d), ["dt", "sector"], SIG, width=d.wide_names)
+    # all windows by date and sector that follow find their rows together
+    p = dealt(wide(d), d.wide_rows, "dt", "sector")
+    p = xsection.zscore(p, ["dt", "sector"], SIG, width=d.wide_names)
     return p.withColumns({"z_" + s: settle("z_" + s, 9) for s in SIG})
 
 
@@ -235,7 +237,7 @@ CTES["x_resid"] = """SELECT *, round(y - x1*(sum(y*x1) OVER d/NULLIF(sum(x1*x1)
 
 
 def residuals(d, p=None):
-    p = long_scores(d) if p is None else p
+    p = long_scores(d).select("signal", "symbol", "dt", "sector", "score", "half_bps", "fwd_21", *FACTORS) if p is None else p
     e = xsection.residualize(p, "score", FACTORS, ["signal", "dt"], sector="sector", min_names=40, width=d.wide_names)
     return e.withColumn("resid", settle("resid", 8))
 

@@ -26,7 +26,8 @@ def trailing(df: DataFrame, n: int, wanted: Mapping[str, tuple[str, Column | str
     Frames at the start of a series are partial, nulls are left out, and a frame of nothing but nulls gives null (count: 0).
     Rows are cut into blocks of n. A frame of n rows is the end of one block and the beginning of the next, or one
     whole block, so it takes a running value from each side: two values a row whatever n is. Blocks of a series stay
-    in its partition: no further shuffle.
+    in its partition: no further shuffle. Blocks follow the order of the rows, so the sort for the values from the front
+    also serves the step back to the block before.
     """
     by = [by] if isinstance(by, str) else list(by)
     place = F.row_number().over(sym_order(by, order)) - 1
@@ -38,11 +39,11 @@ def trailing(df: DataFrame, n: int, wanted: Mapping[str, tuple[str, Column | str
     for name, (f, value) in wanted.items():
         head["_head_" + name] = fn[f](value).over(grown(F.col(order).asc()))
         tail["_tail_" + name] = fn[f](value).over(grown(F.col(order).desc()))
-    d = d.withColumns(head).withColumns(tail)
+    d = d.withColumns(tail).withColumns(head)
     whole = F.col("_at") % n == n - 1
     out = {}
     for name, (f, _) in wanted.items():
-        before = F.lag("_tail_" + name, n - 1).over(sym_order(by, order))
+        before = F.lag("_tail_" + name, n - 1).over(Window.partitionBy(*by).orderBy("_block", order))
         out[name] = F.when(whole, F.col("_head_" + name)).otherwise(_JOIN[f](before, F.col("_head_" + name)))
     return d.withColumns(out).drop("_at", "_block", *head, *tail)
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Rows that a task of a wide stage (several sorts over some 20 columns, about 2 KB of memory a row) gets on average.
+ROWS_PER_TASK = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir; a session without one (a
@@ -22,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """`df`, of about `rows` rows, dealt by `keys` over as many tasks as keep each near ROWS_PER_TASK rows, whatever the
+    session's shuffle partitions are; unknown `rows` leave it as it is."""
+    if rows is None:
+        return df
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return df.repartition(tasks, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it from there.
 

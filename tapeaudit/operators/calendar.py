@@ -10,25 +10,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MARKET
+from ..functions import cut, dealt
 
 
 def trading_calendar(bars: DataFrame) -> DataFrame:
-    """Distinct bar dates with a dense index from 0 (dow: 0 = Sunday)."""
+    """Distinct bar dates with a dense index from 0 (dow: 0 = Sunday).
+
+    Stored, so that its size is known and a join with it does not shuffle the bars.
+    """
     d = bars.select("dt").distinct()
-    return d.select(
+    days = d.select(
         "dt",
         (F.row_number().over(Window.orderBy("dt")) - 1).alias("day_index"),
         F.year("dt").alias("year"),
         F.month("dt").alias("month"),
         (F.dayofweek("dt") - 1).alias("dow"),
     )
+    return cut(days)
 
 
-def index_bars(bars: DataFrame, calendar: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Bars with their session index, sector and kind; unknown symbols drop out."""
-    return bars.join(calendar.select("dt", "day_index"), "dt").join(
-        symbols.select("symbol", "sector", "kind"), "symbol"
-    )
+def index_bars(bars: DataFrame, calendar: DataFrame, symbols: DataFrame, rows: int | None = None) -> DataFrame:
+    """Bars with their session index, sector and kind; unknown symbols drop out.
+
+    With `rows`, the number of bars, symbols are dealt over as many tasks as keep the windows that follow small.
+    """
+    days = bars.join(calendar.select("dt", "day_index"), "dt")
+    return dealt(days, rows, "symbol").join(symbols.select("symbol", "sector", "kind"), "symbol")
 
 
 def snap_forward(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MARKET, TRADING_DAYS
-from ..functions import full, lagged, ratio, rows_back, sym_order
+from ..functions import cut, full, lagged, ratio, rows_back, sym_order
 from ..functions.frames import LONG, trailing, trailing_mean
 from . import ranking
 
@@ -153,22 +153,22 @@ def research_panel(ix: DataFrame, horizons=(21,), market: str = MARKET) -> DataF
         .select("dt", "day_index", "symbol", "adj_close")
         .select("dt", (F.col("adj_close") / lagged("adj_close") - 1.0).alias("mkt"))
     )
-    p = ix.filter(F.col("kind") == "stock").join(mkt, "dt", "left")
+    # one row per session, stored: the join with it leaves the rows where their symbol's windows need them
+    p = ix.filter(F.col("kind") == "stock").join(cut(mkt), "dt", "left")
     a = F.col("adj_close")
     p = p.withColumn("ret", a / lagged("adj_close") - 1.0).withColumn(
         "_usd", F.col("close") * F.col("volume")
     )
-    p = _trailing_beta(p, 252, 120)
     p = p.select(
-        *[c for c in p.columns if c != "beta"],
+        "*",
         full(F.avg("_usd"), "_usd", 20).alias("adv"),
         full(F.stddev_samp("ret"), "ret", 63, 40).alias("vol63"),
-        "beta",
         (a / lagged("adj_close", 126) - 1.0).alias("mom126"),
         (a / lagged("adj_close", 252) - 1.0).alias("mom252"),
         (-(a / lagged("adj_close", 5) - 1.0)).alias("reversal5"),
         *[(F.lead("adj_close", h).over(sym_order()) / a - 1.0).alias(f"fwd_{h}") for h in horizons],
     ).drop("_usd")
+    p = _trailing_beta(p, 252, 120)
     return p.withColumn("size", size_col()).withColumn("half_bps", half_spread_bps())
 
 

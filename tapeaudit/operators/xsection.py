@@ -131,17 +131,17 @@ def residualize(
     With `sector`, also on sector indicators: centring inside (group, sector) does
     the same.  Only complete rows take part, the others get null.  With
     `need_share`, a factor present on at most that share of a group's rows is left
-    out of that group.  Cross moments are summed map-side, so a group of any size
-    is one row of moments; the coefficients are joined back.
+    out of that group.  Counts, means and cross moments are summed map-side, so a group
+    of any size is one row of each; these are stored and joined back, and rows are not
+    shuffled: `width` changes nothing.
     """
     by, factors, k = list(by), list(factors), len(list(factors))
-    d = df
+    d = cut(df)
     if need_share is None:
         use = [F.lit(True)] * k
     else:
-        d = ranking.group_join(
-            d, by, width, _rows=F.count(F.lit(1)), **{f"_c{i}": F.count(f) for i, f in enumerate(factors)}
-        )
+        counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f).alias(f"_c{i}") for i, f in enumerate(factors)])
+        d = ranking.join_on(d, cut(counts), by)
         use = [F.col(f"_c{i}") > F.col("_rows") * need_share for i in range(k)]
     some = use[0]
     ok = F.col(score).isNotNull()
@@ -151,19 +151,19 @@ def residualize(
     d = d.withColumns({f"_x{i}": F.when(use[i], F.col(f)).otherwise(0.0) for i, f in enumerate(factors)})
     d = d.withColumn("_ok", ok & some)
     cell = [*by, sector] if sector else by
-    mean = lambda c: F.avg(F.when(F.col("_ok"), F.col(c)))
+    mean = lambda c, name: F.avg(F.when(F.col("_ok"), F.col(c))).alias(name)
     xs = [f"_x{i}" for i in range(k)]
-    d = ranking.group_join(d, cell, width, _my=mean(score), **{"_m" + x: mean(x) for x in xs})
+    means = d.groupBy(*cell).agg(mean(score, "_my"), *[mean(x, "_m" + x) for x in xs])
+    d = ranking.join_on(d, cut(means), cell)
     d = d.withColumns({x: F.when(F.col("_ok"), F.col(x) - F.col("_m" + x)) for x in xs})
     d = d.withColumn("_y", F.when(F.col("_ok"), F.col(score) - F.col("_my")))
     cols = [*xs, "_y"]
     sums = {f"a_{i}_{j}": F.sum(F.col(xs[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k + 1)}
     sums["_n"] = F.count("_y")
     mirror = {f"a_{j}_{i}": F.col(f"a_{i}_{j}") for i in range(k) for j in range(i + 1, k)}
-    d = cut(d.select(*df.columns, *xs, "_y", "_ok"))
     moments = d.filter("_ok").groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()])
     moments = moments.filter(F.col("_n") >= min_names).withColumns(mirror)
-    d = ranking.join_on(d, _solve(moments, k).select(*by, *[f"b{i}" for i in range(k)]), by)
+    d = ranking.join_on(d, cut(_solve(moments, k).select(*by, *[f"b{i}" for i in range(k)])), by)
     fitted = sum((F.col(f"b{i}") * F.col(x) for i, x in enumerate(xs[1:], 1)), F.col("b0") * F.col(xs[0]))
     return d.select(*df.columns, (F.col("_y") - fitted).alias(out))
 
