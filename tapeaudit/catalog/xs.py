@@ -93,7 +93,7 @@ def xs_bucket(d):
 
 @query("xs_bucket_unbounded", "SELECT signal, symbol, dt, bucket, top_bucket FROM x_b_dt")
 def xs_bucket_unbounded(d):
-    p = long_scores(d).filter("fwd_21 is not null")
+    p = long_scores(d).filter("fwd_21 is not null").select("signal", "symbol", "dt", "score")
     b = xsection.with_bucket(p, ["signal", "dt"], "score", Q, min_names=50)
     return b.select("signal", "symbol", "dt", "bucket", "top_bucket")
 

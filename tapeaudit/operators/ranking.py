@@ -8,8 +8,9 @@ bound, or beyond MAX_GROUP, the ranks are put together from ordered pieces:
 1. rows are dealt by sampled ranges of (group, value), and of the tie-breaker where
    there is one, so a piece has about as many rows as any other, however the values
    lie: close together, far apart or, with a tie-breaker, all equal;
-2. a running count over the pieces of a group gives each piece its offset;
-3. only the rows of one piece are ordered inside a task.
+2. only the rows of one piece are ordered inside a task, and numbered as they are written;
+3. a running count over the pieces of a group gives each piece its offset, a small stored
+   table that is joined back.
 
 Where ties share a rank, rows are first reduced to (group, value, count), so ties of any
 size cost one row.
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import ROWS_PER_TASK, cut
 
 MAX_GROUP = 1_000_000
 
@@ -42,14 +43,18 @@ def join_on(a: DataFrame, b: DataFrame, keys, how="left") -> DataFrame:
 
 
 def in_pieces(df: DataFrame, order) -> DataFrame:
-    """`df` with _piece, the number of its piece in the order of the columns `order`, nulls first.
+    """`df` with _piece, the number of its piece in the order of the columns `order`, nulls first, and _at, the
+    row's place inside the piece.
 
     Written once, since ranges are sampled: all that follows sees the same pieces. As many pieces as the session
-    has shuffle partitions; rows that are equal in all of `order` share one.
+    has shuffle partitions, or more, so that none is much larger than ROWS_PER_TASK; rows that are equal in all of
+    `order` share one. `df` is stored before, or sampling would compute it once more.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-    return cut(dealt.withColumn("_piece", F.spark_partition_id()))
+    df = cut(df)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return cut(placed.withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
 
 
 def running(vals: DataFrame, by, value: str, **totals: str) -> DataFrame:
@@ -75,7 +80,7 @@ def running(vals: DataFrame, by, value: str, **totals: str) -> DataFrame:
         .orderBy(F.col(value).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = join_on(vals, bins, [*by, "_piece"], "inner")
+    out = join_on(vals, cut(bins), [*by, "_piece"], "inner")
     return out.select(
         *kept,
         *[n + "_all" for n in totals],
@@ -135,13 +140,15 @@ def row_numbers(
     placed = in_pieces(df, [*by, value, tie])
     g = Window.partitionBy(*by)
     upto = g.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = placed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_c"))
-    pieces = pieces.select(*by, "_piece", (F.sum("_c").over(upto) - F.col("_c")).alias("_piece_before"), F.sum("_c").over(g).alias("_piece_n"))
-    within = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(F.col(value).asc_nulls_first(), tie))
-    r = join_on(placed, pieces, [*by, "_piece"]).withColumn(out, (F.col("_piece_before") + within).cast("bigint"))
+    pieces = placed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    # the number of a group's first row, less that row's place in the piece
+    pieces = pieces.select(
+        *by, "_piece", (F.sum("_c").over(upto) - F.col("_c") + 1 - F.col("_first")).alias("_piece_from"), F.sum("_c").over(g).alias("_piece_n")
+    )
+    r = join_on(placed, cut(pieces), [*by, "_piece"]).withColumn(out, (F.col("_at") + F.col("_piece_from")).cast("bigint"))
     if size:
         r = r.withColumn(size, F.col("_piece_n"))
-    return r.drop("_piece", "_piece_before", "_piece_n")
+    return r.drop("_piece", "_at", "_piece_from", "_piece_n")
 
 
 def group_join(df: DataFrame, by, width: int | None = None, **aggs: Column) -> DataFrame:
