@@ -581,6 +581,7 @@ CTES["x_pmb"] = "SELECT signal AS method, dt, sum(w*fwd_21-abs(w)*2*half_bps/100
 def weights_neutral(d):
     p = zscored(d).withColumn("score", xsection.composite(["z_reversal5", "z_low_vol63"]))
     p = p.filter("score is not null and fwd_21 is not null and half_bps is not null")
+    p = p.select("symbol", "dt", "sector", "vol63", "score", *FACTORS)
     p = xsection.residualize(p, "score", FACTORS, out="neutral", min_names=30, need_share=0.5, width=d.wide_names)
     w = books.weights(p.filter("neutral is not null"), "neutral", "neutral", Q, width=d.wide_names)
     return rounded(w.select("symbol", "dt", "w"))

@@ -54,7 +54,7 @@ def book_costed(
 METHODS = ("quintile", "signal", "risk", "neutral")
 
 
-def weights(
+def sector_weights(
     df: DataFrame, score: str, method: str, q: int = 5, by=(), sector: str = "sector", vol: str = "vol63",
     width: int | None = None,
 ) -> DataFrame:
@@ -81,7 +81,16 @@ def weights(
         raise ValueError(method)
     d = d.withColumn("_w", F.coalesce(raw, F.lit(0.0)))
     d = ranking.group_join(d, cell, width, _g=F.sum(F.abs("_w")))
-    d = d.withColumn("_w", F.coalesce(F.try_divide("_w", "_g"), F.lit(0.0)))
+    return d.select(*df.columns, F.coalesce(F.try_divide("_w", "_g"), F.lit(0.0)).alias("_w"))
+
+
+def weights(
+    df: DataFrame, score: str, method: str, q: int = 5, by=(), sector: str = "sector", vol: str = "vol63",
+    width: int | None = None,
+) -> DataFrame:
+    """Adds w: the weights of sector_weights, scaled so that every date has gross one."""
+    by = list(by)
+    d = sector_weights(df, score, method, q, by, sector, vol, width)
     d = ranking.group_join(d, [*by, "dt"], width, _t=F.sum(F.abs("_w")))
     return d.select(*df.columns, F.coalesce(F.try_divide("_w", "_t"), F.lit(0.0)).alias("w"))
 
@@ -93,6 +102,15 @@ def book_weighted(weighted: DataFrame, fwd: str, half_bps: str = "half_bps", by=
     return weighted.groupBy(*by, "dt").agg(F.sum(gross).alias("gross"), F.sum(gross - cost).alias("net"))
 
 
+def book_by_sector_weights(weighted: DataFrame, fwd: str, half_bps: str = "half_bps", by=()) -> DataFrame:
+    """book_weighted from the weights _w of sector_weights: the date's gross is divided out of its sums, so rows
+    are not gathered by date once more."""
+    total, w = F.sum(F.abs("_w")), F.col("_w")
+    cost = F.abs("_w") * 2 * F.col(half_bps) / 10_000
+    share = lambda x: F.when(total > 0, F.sum(x) / total).otherwise(F.sum(x))
+    return weighted.groupBy(*by, "dt").agg(share(w * F.col(fwd)).alias("gross"), share(w * F.col(fwd) - cost).alias("net"))
+
+
 # ----------------------------------------------------------------------- spreads
 # fixed values of the high-low spread estimator
 CS_K = 3 - 2 * 2**0.5

@@ -92,15 +92,16 @@ def portfolio_methods(
 ) -> DataFrame:
     """Four constructions of one score: quintile, signal weight, risk weight, factor neutral."""
     d = panel.filter(F.col(score).isNotNull() & F.col(fwd).isNotNull() & F.col("half_bps").isNotNull())
+    d = d.select("symbol", "dt", "sector", fwd, "half_bps", "vol63", score, *factors)
+    # stored by the regression; the four constructions read it from there
     d = xsection.residualize(d, score, factors, out="neutral_score", min_names=30, need_share=0.5, width=width)
-    d = cut(d)
     parts = []
     for name, col, method in (
         ("A quintile", score, "quintile"), ("B signal", score, "signal"), ("C risk", score, "risk"),
         ("D neutral", "neutral_score", "neutral"),
     ):
-        w = books.weights(d.filter(F.col(col).isNotNull()), col, method, q, width=width)
-        b = books.book_weighted(w, fwd)
+        w = books.sector_weights(d.filter(F.col(col).isNotNull()), col, method, q, width=width)
+        b = books.book_by_sector_weights(w, fwd)
         parts.append(b.select(F.lit(name).alias("method"), "dt", F.col("net").alias("ret")))
     return perf.perf_stats(reduce(DataFrame.unionByName, parts), h, ["method"])
 
