@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COSTS
-from ..functions import lagged
+from ..functions import cut, lagged
 from . import ranking, xsection
 
 
@@ -58,7 +58,7 @@ def sector_weights(
     df: DataFrame, score: str, method: str, q: int = 5, by=(), sector: str = "sector", vol: str = "vol63",
     width: int | None = None,
 ) -> DataFrame:
-    """Adds w: every sector has equal gross, every date has gross one.
+    """Adds _w: every sector of a date has gross one, or zero where nothing has weight.
 
     quintile: +1 / -1 on the outer buckets; signal: distance to the sector mean;
     risk and neutral: that distance over volatility.
@@ -172,7 +172,9 @@ def live_book(
 ) -> DataFrame:
     """Positions for the latest full date: sector z-score, factor residual, outer sector
     buckets, equal dollars, whole shares."""
-    d = latest_section(panel, [score, *factors], min_names)
+    # read for the last full date and again for its rows
+    d = cut(panel.select("symbol", "dt", sector, "close", score, *factors))
+    d = latest_section(d, [score, *factors], min_names)
     d = xsection.zscore(d, ["dt", sector], [score], "_z_", width).filter(F.col("_z_" + score).isNotNull())
     d = xsection.residualize(d, "_z_" + score, factors, out="res", min_names=1, width=width).filter("res is not null")
     d = xsection.with_bucket(d, ["dt", sector], "res", q, adaptive=True, width=width)
