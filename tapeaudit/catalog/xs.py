@@ -435,7 +435,7 @@ JOIN (SELECT signal, greatest(least(corr(score,l),0.99),-0.99) AS c FROM x_auto
 CROSS JOIN (SELECT pow(count(DISTINCT symbol),2)/(SELECT sum(rho*rho) FROM (SELECT a.symbol, b.symbol, corr(a.neutral, b.neutral) AS rho FROM x_pr1 a JOIN x_pr1 b ON a.dt=b.dt GROUP BY a.symbol, b.symbol)) AS n_eff FROM x_pr1) e""",
 )
 def breadth_realised(d):
-    p = cut(long_scores(d))
+    p = cut(long_scores(d).select("signal", "symbol", "dt", "day_index", "sector", "score", "fwd_21"))
     st = perf.perf_stats(sector_book(d, p), H, ["signal"]).select("signal", "sharpe")
     ic = ic_of(d, p).groupBy("signal").agg(F.avg("ic").alias("ic"))
     rho = xsection.score_autocorr(p, "score", H, ["signal"], min_pairs=1)
