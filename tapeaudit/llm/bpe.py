@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -13,6 +14,8 @@ MEMORY = 200_000
 #: A word longer than this many bytes is merged exactly and not kept.
 LONG_WORD = 512
 _NEVER = np.int64(1) << 40
+#: Spreads the keys of pairs over their table (2^64 over the golden ratio, a fixed value).
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_symbols() -> list[str]:
@@ -45,6 +48,8 @@ class Vocabulary:
     _by_pair: dict[tuple[int, int], int] = field(default_factory=dict, repr=False)
     _proposals: dict[bytes, int] = field(default_factory=dict, repr=False)
     _longest: dict[bytes, int] = field(default_factory=dict, repr=False)
+    _atoms: dict[int, int] = field(default_factory=dict, repr=False)
+    _table: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return {k: v if not k.startswith("_") else {} for k, v in self.__dict__.items()}
@@ -79,6 +84,31 @@ class Vocabulary:
             self._longest = out
         return self._longest
 
+    @property
+    def atoms(self) -> dict[int, int]:
+        """The symbol of each byte value that has one."""
+        if not self._atoms:
+            self._atoms = {t[0]: n for t, n in self.by_text.items() if len(t) == 1}
+        return self._atoms
+
+    @property
+    def table(self) -> dict[str, np.ndarray]:
+        """The merges by pair in a table with open addressing, at most a quarter full: `keys` (-1 where free) and `made`."""
+        if not self._table:
+            size = 1 << (4 * len(self.pair_keys) + 4).bit_length()
+            keys, made = np.full(size, -1, np.int64), np.full(size, _NEVER)
+            for key, m, at in zip(self.pair_keys.tolist(), self.pair_made.tolist(), _places(self.pair_keys, size).tolist()):
+                while keys[at] >= 0:
+                    at = (at + 1) % size
+                keys[at], made[at] = key, m
+            self._table = {"keys": keys, "made": made}
+        return self._table
+
+
+def _places(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where the search for each key begins in a table of `size` (a power of two)."""
+    return (keys.astype(np.uint64) * _SPREAD >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
 
 def load(path: str) -> Vocabulary:
     """Read a byte-level BPE file of the `tokenizers` format."""
@@ -126,11 +156,11 @@ def _whole(v: Vocabulary) -> np.ndarray:
 
 def split(v: Vocabulary, word: bytes) -> list[int]:
     """A word's bytes as symbols; the mark at its end belongs to the last one."""
-    find = v.by_text
+    atoms = v.atoms
     if v.suffix and word.endswith(v.suffix) and len(word) > len(v.suffix):
         cut = len(word) - len(v.suffix)
-        return [find[word[i : i + 1]] for i in range(cut - 1)] + [find[word[cut - 1 :]]]
-    return [find[word[i : i + 1]] for i in range(len(word))]
+        return [atoms[b] for b in word[: cut - 1]] + [v.by_text[word[cut - 1 :]]]
+    return [atoms[b] for b in word]
 
 
 def merge(v: Vocabulary, parts: list[int]) -> list[int]:
@@ -181,9 +211,15 @@ def _merge_long(v: Vocabulary, parts: list[int]) -> list[int]:
 
 def propose(v: Vocabulary, word: bytes) -> list[int]:
     """Greedy: the longest symbol that encodes as itself, again and again; empty if bytes are left over."""
-    find, longest, out, at, n = v.proposals, v.longest, [], 0, len(word)
+    return _greedy(v.proposals, v.longest, word)
+
+
+def _greedy(find: dict[bytes, int], longest: dict[bytes, int], word: bytes) -> list[int]:
+    out, at, n = [], 0, len(word)
     while at < n:
-        end = min(n, at + longest.get(word[at : at + 4], 3))
+        end = at + longest.get(word[at : at + 4], 3)
+        if end > n:
+            end = n
         s = find.get(word[at:end])
         while s is None:
             end -= 1
@@ -224,29 +260,40 @@ def compatible(v: Vocabulary, first: np.ndarray, second: np.ndarray) -> np.ndarr
 
 def pair_ranks(v: Vocabulary, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """What the merge of each pair makes; _NEVER where there is no such merge."""
+    keys, made = v.table["keys"], v.table["made"]
     key = first << 32 | second
-    at = np.minimum(np.searchsorted(v.pair_keys, key), len(v.pair_keys) - 1)
-    return np.where(v.pair_keys[at] == key, v.pair_made[at], _NEVER)
+    at = _places(key, len(keys))
+    there = keys[at]
+    out = np.where(there == key, made[at], _NEVER)
+    on = np.flatnonzero((there != key) & (there >= 0))
+    while len(on):
+        at[on] = (at[on] + 1) % len(keys)
+        there = keys[at[on]]
+        same = there == key[on]
+        out[on[same]] = made[at[on[same]]]
+        on = on[~same & (there >= 0)]
+    return out
 
 
 def merge_many(v: Vocabulary, words: Sequence[list[int]]) -> list[list[int]]:
     """`merge` for many short words at once, one merge of every unfinished word per round."""
     out: list[list[int]] = [[] for _ in words]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((t for ts in words for t in ts), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
     who = np.flatnonzero(sizes)
     sizes = sizes[who]
+    rank = np.full(len(flat), _NEVER)
+    rank[:-1] = pair_ranks(v, flat[:-1], flat[1:])
     while len(who):
         starts = np.cumsum(sizes) - sizes
-        rank = np.full(len(flat), _NEVER)
-        rank[:-1] = pair_ranks(v, flat[:-1], flat[1:])
         rank[starts + sizes - 1] = _NEVER
         best = np.minimum.reduceat(rank, starts)
         ended = best == _NEVER
         if ended.any():
-            for w, s, n in zip(who[ended].tolist(), starts[ended].tolist(), sizes[ended].tolist()):
-                out[w] = flat[s : s + n].tolist()
             stay = np.repeat(~ended, sizes)
+            done, n = flat[~stay].tolist(), sizes[ended]
+            for w, s, e in zip(who[ended].tolist(), (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
+                out[w] = done[s:e]
             flat, rank = flat[stay], rank[stay]
             who, sizes, best = who[~ended], sizes[~ended], best[~ended]
             if not len(who):
@@ -261,15 +308,23 @@ def merge_many(v: Vocabulary, words: Sequence[list[int]]) -> list[list[int]]:
         word_of = np.repeat(np.arange(len(who)), sizes)
         flat[at] = rank[at]
         sizes = sizes - np.bincount(word_of[at], minlength=len(who))
-        flat = np.delete(flat, at + 1)
+        left = np.ones(len(flat), bool)
+        left[at + 1] = False
+        flat, rank = flat[left], rank[left]
+        # only the pairs of a new symbol with its neighbours are looked up again
+        new = at - np.arange(len(at))
+        near = np.concatenate([new, new[new > 0] - 1])
+        near = near[near < len(flat) - 1]
+        rank[near] = pair_ranks(v, flat[near], flat[near + 1])
     return out
 
 
 def encode_words(v: Vocabulary, found: Sequence[bytes]) -> tuple[list[list[int]], int]:
     """Symbols of each word, and how many words the check sent to exact merging."""
-    tokens = [propose(v, w) if len(w) <= LONG_WORD else [] for w in found]
+    find, longest = v.proposals, v.longest
+    tokens = [_greedy(find, longest, w) if len(w) <= LONG_WORD else [] for w in found]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    flat = np.fromiter((t for ts in tokens for t in ts), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(tokens)), sizes)
     touch = owner[:-1] == owner[1:]
     good = compatible(v, flat[:-1][touch], flat[1:][touch])

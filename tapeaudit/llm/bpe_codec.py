@@ -51,6 +51,8 @@ class Codec:
         self.v, self.known = v, known
         self.bytes_of: dict[int, bytes] = {int(i): t for i, t in zip(v.ids, v.texts)}
         self.bytes_of |= {i: s.encode() for s, i in v.specials.items()}
+        self.id_of: list[int] = v.ids.tolist()
+        self.said_as = [str(i) for i in self.id_of]
         self.merged_exactly = 0
 
     def learn(self, found: set[str]) -> None:
@@ -61,9 +63,9 @@ class Codec:
             new = list(found)
         symbols, failed = bpe.encode_words(self.v, [w.encode() for w in new])
         self.merged_exactly += failed
+        ids, said = self.id_of.__getitem__, self.said_as.__getitem__
         for w, s in zip(new, symbols):
-            ids = self.v.ids[s].tolist()
-            self.known[w] = tuple(ids), ",".join(map(str, ids))
+            self.known[w] = tuple(map(ids, s)), ",".join(map(said, s))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same in decimal joined by commas."""
@@ -77,8 +79,9 @@ class Codec:
         self.learn(found)
         look, out = self.known.__getitem__, []
         for ps in pieces:
-            said = [x for p in ps for x in ([((special[p],), str(special[p]))] if isinstance(p, str) else map(look, p))]
-            out.append((list(chain.from_iterable([x[0] for x in said])), ",".join([x[1] for x in said])))
+            said = chain.from_iterable([((special[p],), str(special[p]))] if isinstance(p, str) else map(look, p) for p in ps)
+            ids, texts_of_ids = zip(*said) if any(ps) else ((), ())
+            out.append((list(chain.from_iterable(ids)), ",".join(texts_of_ids)))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -67,3 +67,29 @@ def test_repeated_rows_do_not_add_to_the_sample(spark, monkeypatch):
     assert a.languages == b.languages and (a.weights != 0).sum() >= (b.weights != 0).sum() > 0
     got = {r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "der Hund lag auf alten Decken")], "doc_id bigint, text string"), b).collect()}
     assert got == {"de"}
+
+
+def test_pair_table_and_few_lookups(monkeypatch):
+    """The table knows exactly the merges, and merging many words looks up each pair once and new symbols' pairs only."""
+    import random
+
+    import numpy as np
+
+    from tapeaudit.llm import bpe
+    from tapeaudit.llm.queries import vocabulary_path
+
+    v = bpe.load(vocabulary_path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    n = len(v.texts)
+    pairs = [*v.by_pair, *[(rng.randrange(n), rng.randrange(n)) for _ in range(50_000)]]
+    a, b = np.array(pairs, np.int64).T
+    assert bpe.pair_ranks(v, a, b).tolist() == [v.by_pair.get(p, int(bpe._NEVER)) for p in pairs]
+
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 60))).encode() for _ in range(300)] + [b"", b"a" * 40]
+    parts = [bpe.split(v, w) for w in words]
+    asked, look = [], bpe.pair_ranks
+    monkeypatch.setattr(bpe, "pair_ranks", lambda v, x, y: asked.append(len(x)) or look(v, x, y))
+    got = bpe.merge_many(v, parts)
+    assert got == [bpe.merge(v, p) for p in parts]
+    letters, merges = sum(map(len, parts)), sum(map(len, parts)) - sum(map(len, got))
+    assert sum(asked) <= letters + 2 * merges
