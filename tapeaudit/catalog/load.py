@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import sym_order
+from ..functions import cut, sym_order
 from ..functions.lineage import shared_dir
 from ..operators import calendar, entities, quality
 from ..sources import panel_cache, panels, readers
@@ -113,18 +113,21 @@ def src_tsv_bad_lines(d):
 def _filing_files(d) -> list[str]:
     """The three tables of a filing batch as tab-separated files, with lines that are cut off or have a field too many."""
     li = d.table("lineitem").join(d.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    acc = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ACCESSION_NUMBER")
+    key, ship = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.col("l_shipdate").cast("date")
+    # read by six writers
+    li = cut(li.select(*key, ship.alias("ship"), F.lower("p_brand").alias("brand"), "l_returnflag", "l_quantity", "l_extendedprice"))
+    acc = F.concat_ws("-", *key).alias("ACCESSION_NUMBER")
     day = lambda c: F.upper(F.date_format(c, "dd-MMM-yyyy"))
-    ship = F.col("l_shipdate").cast("date")
-    sub = li.select(
+    # one line per filing: told apart by the columns it is made of, before they become text
+    sub = li.select(*key, "ship", "brand").distinct().select(
         acc,
-        day(F.date_add(ship, F.col("l_linenumber"))).alias("FILING_DATE"),
+        day(F.date_add("ship", F.col("l_linenumber"))).alias("FILING_DATE"),
         F.when(F.col("l_orderkey") % 3 == 0, "3").otherwise("4").alias("DOCUMENT_TYPE"),
-        F.lower("p_brand").alias("ISSUERTRADINGSYMBOL"),
-    ).distinct()
+        F.col("brand").alias("ISSUERTRADINGSYMBOL"),
+    )
     trans = li.select(
         acc,
-        day(ship).alias("TRANS_DATE"),
+        day("ship").alias("TRANS_DATE"),
         F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("M")
         .alias("TRANS_CODE"),
         F.when(F.col("l_orderkey") % 10 == 1, "n/a").otherwise(F.col("l_quantity").cast("string"))

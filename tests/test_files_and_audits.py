@@ -103,3 +103,18 @@ def test_audits_catch_a_leak(spark):
     }
     assert audit.audit_labels_absent(layers["past"][0], bars, "2020-01-03", ["x"]).count() == 2
     assert audit.audit_labels_absent(layers["future"][0], bars, "2020-01-03", ["x"]).count() == 0
+
+
+def test_filing_files_join_the_lines_once(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tapeaudit.catalog import load
+    from tapeaudit.catalog.base import Data
+
+    written, write = [], DataFrameWriter.csv
+    plan = lambda w: w._df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, *a, **k: written.append(plan(self)) or write(self, *a, **k))
+    files = load._filing_files(Data(spark, "/root/testdata/sf0.001"))
+    assert len(written) == 6 and not any("Join" in p for p in written)
+    sub = spark.read.csv(files[0], sep="\t", header=True).filter("FILING_DATE is not null and DOCUMENT_TYPE in ('3', '4')")
+    assert sub.count() == sub.distinct().count() > 1000
