@@ -27,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
     """`df`, of about `rows` rows, dealt by `keys` over as many tasks as keep each near ROWS_PER_TASK rows, whatever the
-    session's shuffle partitions are; unknown `rows` leave it as it is."""
+    session's shuffle partitions are, in whole rounds of the session's cores; unknown `rows` leave it as it is."""
     if rows is None:
         return df
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    return df.repartition(tasks, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rounds = max(1, -(-rows // (ROWS_PER_TASK * cores)))
+    return df.repartition(rounds * cores, *keys)
 
 
 def cut(df: DataFrame) -> DataFrame:
