@@ -65,6 +65,11 @@ class Data:
     def panel(self):
         return features.feature_panel(self.features, features.market_state(self.features), self.names)
 
+    @cached_property
+    def line_rows(self) -> int:
+        """Rows of the line items (Parquet metadata)."""
+        return self.table("lineitem").count()
+
     @cached_property
     def wbars(self):
         return cut(panels.wide_bars(self.spark, self.dir))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import cut, sym_order
+from ..functions import cut, dealt, lineage, sym_order
 from ..functions.lineage import shared_dir
 from ..operators import calendar, entities, quality
 from ..sources import panel_cache, panels, readers
@@ -96,7 +97,7 @@ SELECT t.acc AS accession, symbol, filing_date, trans_date, trans_code, shares,
 FROM t JOIN s USING (acc) LEFT JOIN w USING (acc)""",
 )
 def src_tsv_join3(d):
-    return rounded(readers.load_filings_tsv(d.spark, *_filing_files(d))[0])
+    return rounded(readers.load_filings_tsv(d.spark, *_filing_files(d), rows=d.line_rows)[0])
 
 
 @query(
@@ -111,15 +112,19 @@ def src_tsv_bad_lines(d):
 
 
 def _filing_files(d) -> list[str]:
-    """The three tables of a filing batch as tab-separated files, with lines that are cut off or have a field too many."""
-    li = d.table("lineitem").join(d.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    key, ship = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.col("l_shipdate").cast("date")
+    """The three tables of a filing batch as tab-separated gzip files, with lines that are cut off or have a field too many."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = d.table("lineitem").select(*key, F.col("l_shipdate").cast("date").alias("ship"), "l_returnflag", "l_quantity", "l_extendedprice")
+    part = d.table("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_brand").alias("brand"))
+    # lines are dealt once: those of a filing are of one part, so they meet in the task that joins the part, with its few parts hashed
+    li = dealt(li, d.line_rows, "l_partkey", per_task=lineage.LINES_PER_TASK).join(part.hint("shuffle_hash"), "l_partkey")
+    filing = Window.partitionBy(*key, "ship", "brand").orderBy("ship")
     # read by six writers
-    li = cut(li.select(*key, ship.alias("ship"), F.lower("p_brand").alias("brand"), "l_returnflag", "l_quantity", "l_extendedprice"))
+    li = cut(li.withColumn("nth", F.row_number().over(filing)))
     acc = F.concat_ws("-", *key).alias("ACCESSION_NUMBER")
     day = lambda c: F.upper(F.date_format(c, "dd-MMM-yyyy"))
-    # one line per filing: told apart by the columns it is made of, before they become text
-    sub = li.select(*key, "ship", "brand").distinct().select(
+    # one line per filing
+    sub = li.filter("nth = 1").select(
         acc,
         day(F.date_add("ship", F.col("l_linenumber"))).alias("FILING_DATE"),
         F.when(F.col("l_orderkey") % 3 == 0, "3").otherwise("4").alias("DOCUMENT_TYPE"),
@@ -145,11 +150,11 @@ def _filing_files(d) -> list[str]:
         li.filter("l_orderkey % 50 = 9").select(acc, *[one.alias(f"f{i}") for i in range(5)]),
         li.filter("l_orderkey % 50 = 11").select(acc),
     ]
-    out = []
+    out, how = [], {"sep": "\t", "header": True, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
     for good, bad in zip((sub, trans, own), broken):
         out.append(_folder(d))
-        good.write.csv(out[-1], sep="\t", header=True)
-        bad.write.csv(out[-1], sep="\t", header=True, mode="append")
+        good.write.options(**how).csv(out[-1])
+        bad.write.options(**how).csv(out[-1], mode="append")
     return out
 
 

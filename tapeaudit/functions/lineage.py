@@ -11,6 +11,9 @@ _own: dict[str, str] = {}
 
 #: Rows that a task of a wide stage (several sorts over some 20 columns, about 2 KB of memory a row) gets on average.
 ROWS_PER_TASK = 200_000
+#: The same for lines of a few short fields (one or two sorts, some 100 bytes a row): fewer and larger tasks, as the pieces of a
+#: shuffle compress the worse the more there are.
+LINES_PER_TASK = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
-    """`df`, of about `rows` rows, dealt by `keys` over as many tasks as keep each near ROWS_PER_TASK rows, whatever the
-    session's shuffle partitions are, in whole rounds of the session's cores; unknown `rows` leave it as it is."""
+def dealt(df: DataFrame, rows: int | None, *keys: str, per_task: int | None = None) -> DataFrame:
+    """`df`, of about `rows` rows, dealt by `keys` over as many tasks as keep each near `per_task` (ROWS_PER_TASK) rows, whatever
+    the session's shuffle partitions are, in whole rounds of the session's cores; unknown `rows` leave it as it is."""
     if rows is None:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    rounds = max(1, -(-rows // (ROWS_PER_TASK * cores)))
+    rounds = max(1, -(-rows // ((per_task or ROWS_PER_TASK) * cores)))
     return df.repartition(rounds * cores, *keys)
 
 

@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import cut
+from ..functions import cut, dealt, lineage
 
 
-def read_lines(spark: SparkSession, path, ddl: str, **options) -> tuple[DataFrame, DataFrame]:
+def read_lines(spark: SparkSession, path, ddl: str, stored: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """Rows of delimited (gzip) files with a header, and the lines that do not fit the schema, as (file, line).
 
     Too few or too many fields, and fields that are not of their type, make a bad line; none is dropped silently.
     Gzip cannot be split, so a file is one task; the rows are stored once as Parquet in the shared folder, which
-    later steps read in splits. All columns are read there, so what counts as bad does not depend on
-    the columns that a query happens to use.
+    later steps read in splits. With `stored=False` nothing is stored: rows and bad lines each read the files when they
+    are used. All columns are read in both ways, so what counts as bad does not depend on the columns that a query happens to use.
     """
     reader = spark.read.schema(f"{ddl}, _line string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", **options)
-    stored = cut(reader.csv(path).select("*", F.col("_metadata.file_name").alias("_file")))
-    return stored.filter("_line is null").drop("_line", "_file"), stored.filter("_line is not null").select(
+    parsed = reader.csv(path)
+    # a condition that every line meets keeps the columns that a query does not use from being pruned
+    whole = F.hash(*parsed.columns) <= 2**31 - 1
+    parsed = parsed.select("*", F.col("_metadata.file_name").alias("_file"))
+    parsed = cut(parsed) if stored else parsed.filter(whole)
+    return parsed.filter("_line is null").drop("_line", "_file"), parsed.filter("_line is not null").select(
         F.col("_file").alias("file"), F.col("_line").alias("line")
     )
 
@@ -76,42 +80,57 @@ TRANSACTIONS = "ACCESSION_NUMBER string, TRANS_DATE string, TRANS_CODE string, T
 OWNERS = "ACCESSION_NUMBER string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string"
 
 
-def load_filings_tsv(spark: SparkSession, submission, transactions, owners) -> tuple[DataFrame, DataFrame]:
+def load_filings_tsv(spark: SparkSession, submission, transactions, owners, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Three tab-separated tables of one filing batch joined to one row per trade, and the bad lines as
-    (table, file, line).  A table that is not there fails at once."""
+    (table, file, line).  A table that is not there fails at once.  `rows`, about the lines of the longest table, sets the tasks
+    of the join.  The lines are read once by the join, and again where the bad ones are asked for, too; they are not stored."""
     given = {"submission": (submission, SUBMISSION), "transactions": (transactions, TRANSACTIONS), "owners": (owners, OWNERS)}
-    read = {name: read_lines(spark, path, ddl, sep="\t") for name, (path, ddl) in given.items()}
+    read = {name: read_lines(spark, path, ddl, stored=False, sep="\t") for name, (path, ddl) in given.items()}
     bad = [lines.select(F.lit(name).alias("table"), "file", "line") for name, (_, lines) in read.items()]
-    return join_filings(*[rows for rows, _ in read.values()]), reduce(DataFrame.unionByName, bad)
+    return join_filings(*[good for good, _ in read.values()], rows), reduce(DataFrame.unionByName, bad)
 
 
 def read_filings_tsv(spark: SparkSession, submission: str, transactions: str, owners: str) -> DataFrame:
     return load_filings_tsv(spark, submission, transactions, owners)[0]
 
 
-def join_filings(sub: DataFrame, trans: DataFrame, own: DataFrame) -> DataFrame:
-    """Form 4 purchases and sales with the filing's first owner."""
-    day = lambda c: F.try_to_timestamp(F.initcap(F.lower(F.col(c))), F.lit("dd-MMM-yyyy")).cast("date")
+def join_filings(sub: DataFrame, trans: DataFrame, own: DataFrame, rows: int | None = None) -> DataFrame:
+    """Form 4 purchases and sales with the filing's first owner.  Fields become values before the join, so that these are shuffled
+    and not texts."""
+    # months are read in upper and lower case
+    day = lambda c: F.try_to_timestamp(F.col(c), F.lit("dd-MMM-yyyy")).cast("date")
     num = lambda c: F.col(c).try_cast("double")
-    first_owner = own.groupBy("ACCESSION_NUMBER").agg(
-        F.min(F.struct("RPTOWNERNAME", "RPTOWNER_RELATIONSHIP")).alias("o")
+    acc = F.col("ACCESSION_NUMBER").alias("accession")
+    filings = sub.filter((F.col("DOCUMENT_TYPE") == "4") & F.col("ISSUERTRADINGSYMBOL").isNotNull()).select(
+        acc,
+        F.translate(F.upper(F.trim("ISSUERTRADINGSYMBOL")), ".", "-").alias("symbol"),
+        day("FILING_DATE").alias("filing_date"),
     )
+    trades = trans.filter(F.col("TRANS_CODE").isin("P", "S")).select(
+        acc,
+        day("TRANS_DATE").alias("trans_date"),
+        F.col("TRANS_CODE").alias("trans_code"),
+        num("TRANS_SHARES").alias("shares"),
+        num("TRANS_PRICEPERSHARE").alias("price"),
+    )
+    owners = own.select(acc, "RPTOWNERNAME", "RPTOWNER_RELATIONSHIP")
+    tables = (filings.filter(F.col("filing_date").isNotNull()), trades, owners)
+    filings, trades, owners = (dealt(df, rows, "accession", per_task=lineage.LINES_PER_TASK) for df in tables)
+    first_owner = owners.groupBy("accession").agg(F.min(F.struct("RPTOWNERNAME", "RPTOWNER_RELATIONSHIP")).alias("o"))
     return (
-        trans.filter(F.col("TRANS_CODE").isin("P", "S"))
-        .join(sub.filter(F.col("DOCUMENT_TYPE") == "4"), "ACCESSION_NUMBER")
-        .join(first_owner, "ACCESSION_NUMBER", "left")
+        trades.join(filings, "accession")
+        .join(first_owner, "accession", "left")
         .select(
-            F.col("ACCESSION_NUMBER").alias("accession"),
-            F.translate(F.upper(F.trim("ISSUERTRADINGSYMBOL")), ".", "-").alias("symbol"),
-            day("FILING_DATE").alias("filing_date"),
-            day("TRANS_DATE").alias("trans_date"),
-            F.col("TRANS_CODE").alias("trans_code"),
-            num("TRANS_SHARES").alias("shares"),
-            num("TRANS_PRICEPERSHARE").alias("price"),
+            "accession",
+            "symbol",
+            "filing_date",
+            "trans_date",
+            "trans_code",
+            "shares",
+            "price",
             F.col("o.RPTOWNERNAME").alias("owner"),
             F.col("o.RPTOWNER_RELATIONSHIP").alias("relationship"),
         )
-        .filter(F.col("symbol").isNotNull() & F.col("filing_date").isNotNull())
     )
 
 

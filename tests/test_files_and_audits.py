@@ -118,3 +118,44 @@ def test_filing_files_join_the_lines_once(spark, monkeypatch):
     assert len(written) == 6 and not any("Join" in p for p in written)
     sub = spark.read.csv(files[0], sep="\t", header=True).filter("FILING_DATE is not null and DOCUMENT_TYPE in ('3', '4')")
     assert sub.count() == sub.distinct().count() > 1000
+
+
+def test_filing_tables_are_not_stored(spark, tmp_path, monkeypatch):
+    """The files are read where they are used, and what is a bad line does not depend on the columns used."""
+    monkeypatch.setattr(readers, "cut", lambda df: pytest.fail("stored"))
+    (tmp_path / "s").write_text("ACCESSION_NUMBER\tFILING_DATE\tDOCUMENT_TYPE\tISSUERTRADINGSYMBOL\n1\t05-JAN-2020\t4\tbrk.b\n2\t05-JAN-2020\t4\n3\t05-xyz-2020\t4\ta\n")
+    (tmp_path / "t").write_text("ACCESSION_NUMBER\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\n" + "".join(f"{i}\t03-JAN-2020\tP\t5\t1\n" for i in (1, 2, 3)))
+    (tmp_path / "o").write_text("ACCESSION_NUMBER\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\n1\tb\tx\n1\ta\ty\n1\ta\tx\tz\n")
+    for n in (None, 10):
+        rows, bad = readers.load_filings_tsv(spark, *[str(tmp_path / n) for n in "sto"], rows=n)
+        assert [(r.symbol, r.filing_date, r.owner, r.relationship) for r in rows.collect()] == [("BRK-B", D(2020, 1, 5), "a", "y")]
+        assert rows.select("price").count() == 1 and bad.select("file").count() == bad.count() == 2
+    rows, bad = readers.read_lines(spark, str(tmp_path / "s"), "a int, d string, t int, s int", stored=False, sep="\t")
+    assert rows.select("a").count() == rows.count() == 0 and bad.select("file").count() == 3
+
+
+def test_filings_are_shuffled_once_into_tasks_by_rows(spark, monkeypatch):
+    import os
+
+    from tapeaudit.catalog import load
+    from tapeaudit.catalog.base import Data
+    from tapeaudit.functions import lineage
+
+    monkeypatch.setattr(lineage, "LINES_PER_TASK", 100)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lines, cut = [], load.cut
+    monkeypatch.setattr(load, "cut", lambda df: lines.append(df) or cut(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = Data(spark, "/root/testdata/sf0.001")
+        files = load._filing_files(d)
+        # the lines and the parts; telling filings apart shuffles nothing more
+        assert plan(lines[0]).count("Exchange hashpartitioning(l_partkey") == plan(lines[0]).count("Exchange") == 2
+        assert lines[0].rdd.getNumPartitions() >= d.line_rows // 100 > 50  # the session has 4 shuffle partitions
+        assert {n[-7:] for f in files for n in os.listdir(f) if n.startswith("part-")} == {".csv.gz"}
+        rows = readers.load_filings_tsv(spark, *files, rows=d.line_rows)[0]
+        assert plan(rows).count("Exchange hashpartitioning(accession") == plan(rows).count("Exchange") == 3
+        assert rows.rdd.getNumPartitions() >= d.line_rows // 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
